@@ -6,7 +6,7 @@ import importlib
 
 from catalog.base import ORACLE, QUERIES
 
-MODULES = ["timeline", "texts"]
+MODULES = ["timeline", "texts", "cleaning"]
 
 
 def all_queries():

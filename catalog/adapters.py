@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from catalog.base import Tables, staged
@@ -94,3 +94,33 @@ paragraphs AS (
          string_agg(text, ' ' ORDER BY seq) AS text, min(who) AS speaker
   FROM cue_para GROUP BY media_id, p_seq)
 """
+
+# -- rolling captions: overlapping six-word windows of every line of a document -----------
+
+WINDOW_WORDS, STEP_WORDS = 6, 3
+
+
+@staged
+def rolling_captions(t: Tables) -> DataFrame:
+    """Windows of six words every three words inside a line; 600 ms apart, 1200 ms long, with a
+    five second rest between lines."""
+    lines = t.documents.select(
+        F.col("doc_id").alias("media_id"), F.posexplode(F.split("text", "[.\n]+")).alias("line", "raw")
+    ).withColumn("words", F.filter(F.split("raw", "[ \t]+"), lambda w: w != ""))
+    n = F.size("words")
+    windows = F.transform(
+        F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((n - WINDOW_WORDS) / STEP_WORDS).cast("int"))),
+        lambda i: F.array_join(F.slice("words", i * STEP_WORDS + 1, WINDOW_WORDS), " "),
+    )
+    cues = lines.where(n > 0).select("media_id", "line", F.posexplode(windows).alias("pos", "text"))
+    last = F.lead("pos").over(Window.partitionBy("media_id", "line").orderBy("pos")).isNull()
+    cues = cues.withColumn("step", F.when(last, 6200).otherwise(600).cast("bigint"))
+    placed = ordered_scan(
+        cues, ["media_id"], ["line", "pos"], F.floor(F.col("line") / 4096).cast("bigint"),
+        [Scan("seq", "position"), Scan("start_ms", "sum_before", F.col("step"))],
+    )
+    return placed.select(
+        "media_id", F.col("seq").cast("bigint").alias("seq"),
+        F.col("start_ms").cast("bigint").alias("start_ms"),
+        F.lit(1200).cast("bigint").alias("dur_ms"), "text", F.lit(None).cast("string").alias("speaker"),
+    )

@@ -44,10 +44,15 @@ def block_fold(
     columns: Sequence[str],
     make: Callable[[], Fold],
     emits: str,
+    prepare: Callable[[DataFrame], DataFrame] = lambda rows: rows,
 ) -> DataFrame:
-    """Fold ``columns`` of ``df`` in order inside each key. ``emits`` is the DDL of emitted rows."""
+    """Fold ``columns`` of ``df`` in order inside each key. ``emits`` is the DDL of emitted rows;
+    ``prepare`` derives columns after the rows have been spread over the tasks."""
     keys, order, columns = list(keys), list(order), list(columns)
     source = df.select(*keys, block.alias("__blk"), *dict.fromkeys([*order, *columns]))
+    # Fold work is heavy per byte: an explicit count keeps small inputs spread over the tasks.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    source = prepare(source.repartition(tasks, *keys, "__blk"))
     key_ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys).schema)
     names = [f.split()[0] for f in emits.split(", ")]
 
@@ -141,6 +146,7 @@ class Collapse:
 
     def push(self, row: tuple) -> Iterable[tuple]:
         seq, start, dur, text, speaker = row
+        text = C.dedupe(text)
         if not text:
             return []
         if self.state:
@@ -159,17 +165,18 @@ class Collapse:
 
 
 class Sentences:
-    """Cues to sentence-like cues. ``noise`` marks text that is only a bracketed note."""
+    """Cues to sentence-like cues; text that is only a bracketed note is dropped or attached."""
 
     def __init__(self) -> None:
         self.state: list = []
 
     def push(self, row: tuple) -> Iterable[tuple]:
-        seq, piece, start, dur, text, speaker, mark, noise = row
+        seq, piece, start, dur, text, speaker, mark = row
+        text = C.dedupe(text)
         if not text:
             return []
         held = self.state
-        if noise:
+        if C.is_noise(text):
             if held and len(C.key(held[4])) < 8:
                 held[4] = C.join(held[4], text)
             return []
