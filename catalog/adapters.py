@@ -124,3 +124,39 @@ def rolling_captions(t: Tables) -> DataFrame:
         F.col("start_ms").cast("bigint").alias("start_ms"),
         F.lit(1200).cast("bigint").alias("dur_ms"), "text", F.lit(None).cast("string").alias("speaker"),
     )
+
+# -- jobs: one per conversation, with a summary and a source ------------------------------
+
+
+def export_jobs(t: Tables) -> DataFrame:
+    first = t.conversations.where(F.col("turn") == 0)
+    upload = F.col("conv_id") % 2 == 1
+    return first.select(
+        F.col("conv_id").alias("media_id"),
+        F.concat(F.lit("job:"), "conv_id").alias("id"),
+        F.when(upload, "upload").otherwise("youtube").alias("kind"),
+        F.left("text", F.lit(300)).alias("title"),
+        F.when(upload, F.concat(F.lit("rec<"), "conv_id", F.lit(">.mp3")))
+        .otherwise(F.concat(F.lit("https://example.com/v/"), "conv_id")).alias("source_label"),
+        F.concat(F.lit("rec"), "conv_id", F.lit(".mp3")).alias("file_name"),
+        F.concat(F.lit("v"), "conv_id").alias("video_id"),
+        F.concat(F.lit("https://example.com/v/"), "conv_id").alias("url"),
+        F.struct(F.when(upload, "upload").otherwise("youtube").alias("kind")).alias("source"),
+        F.lit("en").alias("language"),
+        F.when(upload, "transcription").otherwise("asr").alias("source_type"),
+        F.lit("landed").alias("provider"), F.lit("Landed captions").alias("provider_label"),
+        F.lit("meeting").alias("summary_kind"),
+        F.when(upload, "").otherwise(F.concat(F.lit(' one "two" & <'), "role", F.lit(">\n"))).alias("summary"),
+        F.when(upload, "chunk-estimated").otherwise("source").alias("timestamp_quality"),
+    )
+
+
+JOBS_SQL = """jobs AS (SELECT conv_id AS media_id, 'job:' || conv_id AS id,
+  CASE WHEN conv_id % 2 = 1 THEN 'upload' ELSE 'youtube' END AS kind, left(text, 300) AS title,
+  CASE WHEN conv_id % 2 = 1 THEN 'rec<' || conv_id || '>.mp3' ELSE 'https://example.com/v/' || conv_id END AS source_label,
+  'rec' || conv_id || '.mp3' AS file_name, 'v' || conv_id AS video_id, 'https://example.com/v/' || conv_id AS url,
+  'en' AS language, CASE WHEN conv_id % 2 = 1 THEN 'transcription' ELSE 'asr' END AS source_type,
+  'meeting' AS summary_kind, CASE WHEN conv_id % 2 = 1 THEN '' ELSE ' one "two" & <' || role || '>' || chr(10) END AS summary,
+  CASE WHEN conv_id % 2 = 1 THEN 'Chunk-estimated (approximate)' ELSE 'Source caption timing' END AS quality_label,
+  CASE WHEN conv_id % 2 = 1 THEN 'Transcribed audio' ELSE 'Auto-generated' END AS type_label
+  FROM conversations WHERE turn = 0)"""

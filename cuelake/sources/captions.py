@@ -293,7 +293,10 @@ def _balanced_object(html, token):
 
     import pandas as pd
 
-    decoder = json.JSONDecoder()
+    def reject(name):
+        raise ValueError(name)
+
+    decoder = json.JSONDecoder(parse_constant=reject)
 
     def find(page, mark):
         at = page.find(mark) if page is not None else -1
