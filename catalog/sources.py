@@ -131,7 +131,7 @@ mm AS (SELECT doc_id AS media_id, (g - 1)::BIGINT AS seq, min(i) * 7000 AS start
 
 
 @query("src03_read_caption_markdown", f"""WITH {MD_SQL} SELECT media_id, seq, start_ms::BIGINT AS start_ms,
-  coalesce(greatest(400, lead(start_ms) OVER (PARTITION BY media_id ORDER BY seq) - start_ms), 4000)::BIGINT AS dur_ms, {S.trim('text')} AS text FROM mm""")
+  CASE WHEN lead(start_ms) OVER (PARTITION BY media_id ORDER BY seq) IS NULL THEN 4000 ELSE greatest(400, lead(start_ms) OVER (PARTITION BY media_id ORDER BY seq) - start_ms) END::BIGINT AS dur_ms, {S.trim('text')} AS text FROM mm""")
 def markdown_segments(t):
     return C.read_caption_markdown(markdown_payloads(t))
 
@@ -144,7 +144,7 @@ def _(t):
 
 
 @query("wn07_duration_from_next", f"""WITH {MD_SQL} SELECT media_id, seq,
-  coalesce(greatest(400, lead(start_ms) OVER (PARTITION BY media_id ORDER BY seq) - start_ms), 4000)::BIGINT AS dur_ms FROM mm""")
+  CASE WHEN lead(start_ms) OVER (PARTITION BY media_id ORDER BY seq) IS NULL THEN 4000 ELSE greatest(400, lead(start_ms) OVER (PARTITION BY media_id ORDER BY seq) - start_ms) END::BIGINT AS dur_ms FROM mm""")
 def _(t):
     return markdown_segments(t).select("media_id", "seq", "dur_ms")
 
@@ -230,7 +230,7 @@ def silence_log(t):
     return out.select("media_id", "line_no", "line")
 
 
-SILENCE_SQL = """lg AS (SELECT user_id AS media_id, (row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) - 1)::BIGINT AS line_no, event_type,
+SILENCE_SQL = """lg AS (SELECT user_id AS media_id, (row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) - 1)::BIGINT AS line_no, event_type,
    round(value * 100)::BIGINT AS c FROM events),
 s1 AS (SELECT *, max(CASE WHEN event_type = 'view' THEN line_no END) OVER w AS open_no,
   arg_max(CASE WHEN event_type = 'view' THEN greatest(0, c - 100) END, CASE WHEN event_type = 'view' THEN line_no END) OVER w AS open_c,

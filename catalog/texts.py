@@ -9,6 +9,7 @@ from catalog.adapters import PARAGRAPHS_SQL, SEGMENTS_SQL, paragraphs, segments
 from catalog.base import query
 from cuelake.functions import clock as K
 from cuelake.functions import text as T
+from cuelake.functions.arrays import posexplode_rows
 from cuelake.operators.ordered import Scan, ordered_scan, row_block
 from cuelake.sources.links import canonicalize_links
 
@@ -322,7 +323,7 @@ def _(t):
 
 @query("str20_split_sentences")
 def _(t):
-    return t.documents.select("doc_id", F.posexplode(T.split_sentences(F.col("text"))).alias("pos", "sentence"))
+    return posexplode_rows(t.documents, ["doc_id"], T.split_sentences(F.col("text")), "pos", "sentence")
 
 
 SENTENCES_SQL = r"""sent AS (SELECT doc_id, parts[i] AS s, i - 1 AS idx, len(parts) AS n FROM (
@@ -335,7 +336,8 @@ def doc_sentences(t):
     parts = F.filter(
         F.transform(F.split("text", "[.\n]+"), lambda x: F.trim(x)), lambda x: F.length(x) >= 10
     )
-    return t.documents.select("doc_id", F.size(parts).alias("n"), F.posexplode(parts).alias("idx", "s"))
+    base = t.documents.select("doc_id", parts.alias("parts")).withColumn("n", F.size("parts"))
+    return posexplode_rows(base, ["doc_id", "n"], F.col("parts"), "idx", "s")
 
 
 SCORE_SQL = f"""round(CASE WHEN pos <= 0.12 OR pos >= 0.72 THEN 1.4 ELSE 1.0 END::DOUBLE
@@ -488,7 +490,7 @@ def _(t):
 
 
 _AS_OF = 1_712_000_000_000
-_MIN = f"round(greatest(0, {_AS_OF} - epoch_ms(ts)) / 60000.0)"
+_MIN = f"round(greatest(0, {_AS_OF} - epoch_us(ts) // 1000) / 60000.0)"
 
 
 @query("dt05_relative_age", f"""SELECT event_id, CASE WHEN {_MIN} < 1 THEN 'just now'

@@ -24,12 +24,13 @@ def asof_join(
     left_order: Sequence[str] = ("seq",),
 ) -> DataFrame:
     """Each left row with the last right row at or before it (backward) or the first at or
-    after it (forward), as struct column ``prefix``; null when there is none.
+    after it (forward), as struct column ``prefix``; null when there is none. ``both`` gives the
+    last at or before as ``prefix`` and the first strictly after as ``prefix``_next.
 
     Both sides are stacked and scanned in time order, so a busy key is read block by block.
     """
-    if direction not in ("backward", "forward"):
-        raise ValueError("direction is backward or forward")
+    if direction not in ("backward", "forward", "both"):
+        raise ValueError("direction is backward, forward or both")
     left_cols = [c for c in left.columns if c not in keys]
     right_cols = [c for c in right.columns if c not in keys]
     blank_left = F.lit(None).cast(left.select(F.struct(*left_cols).alias("s")).schema["s"].dataType)
@@ -37,7 +38,7 @@ def asof_join(
         right.select(F.struct(*right_cols).alias("s")).schema["s"].dataType
     )
     # At equal times a right row must be seen first going forward in time, and last otherwise.
-    right_side, left_side = (0, 1) if direction == "backward" else (1, 0)
+    right_side, left_side = (1, 0) if direction == "forward" else (0, 1)
 
     def ranks(columns: Sequence[str], real: bool) -> Column:
         return F.struct(
@@ -62,16 +63,20 @@ def asof_join(
     stacked = side(left, left_at, left_side, F.struct(*left_cols), blank_right).unionByName(
         side(right, right_at, right_side, blank_left, F.struct(*right_cols))
     )
-    kind = "last" if direction == "backward" else "next"
+    scans = [Scan("__hit", "next" if direction == "forward" else "last", F.col("__r"))]
+    hits = [F.col("__hit").alias(prefix)]
+    if direction == "both":
+        scans.append(Scan("__after", "next", F.col("__r")))
+        hits.append(F.col("__after").alias(f"{prefix}_next"))
     scanned = ordered_scan(
         stacked,
         keys,
         ["__t", "__side", "__rank", "__tie"],
         time_block("__t", width_ms),
-        [Scan("__hit", kind, F.col("__r"))],
+        scans,
     )
     return scanned.where(F.col("__side") == left_side).select(
-        *keys, *[F.col(f"__l.{c}").alias(c) for c in left_cols], F.col("__hit").alias(prefix)
+        *keys, *[F.col(f"__l.{c}").alias(c) for c in left_cols], *hits
     )
 
 
@@ -201,7 +206,7 @@ def nearest_silence(targets: DataFrame, silences: DataFrame) -> DataFrame:
     strictly inside the recording, ties by input order; the target itself when there is none.
 
     ``targets``: media_id, target_ms, duration_ms. Only the midpoints next to a target can be
-    nearest, so two as-of joins replace the range join.
+    nearest, so one as-of scan in both directions replaces the range join.
     """
     mids = (
         silences.where(F.col("end_ms") - F.col("start_ms") >= 700)
@@ -212,11 +217,7 @@ def nearest_silence(targets: DataFrame, silences: DataFrame) -> DataFrame:
     # the left, and on the right they are rejected together with everything after them.
     mids = mids.where(F.col("mid") > 0)
     both = asof_join(
-        targets, mids, ["media_id"], F.col("target_ms"), F.col("mid"), ["pos"], "backward", "a",
-        left_order=["target_ms"],
-    )
-    both = asof_join(
-        both, mids, ["media_id"], F.col("target_ms"), F.col("mid"), ["pos"], "forward", "b",
+        targets, mids, ["media_id"], F.col("target_ms"), F.col("mid"), ["pos"], "both", "near",
         left_order=["target_ms"],
     )
 
@@ -228,7 +229,7 @@ def nearest_silence(targets: DataFrame, silences: DataFrame) -> DataFrame:
             F.struct(away.alias("away"), F.col(f"{side}.pos").alias("pos"), mid.alias("mid")),
         )
 
-    best = F.least(candidate("a"), candidate("b"))
+    best = F.least(candidate("near"), candidate("near_next"))
     return both.select(
         "media_id", "target_ms", "duration_ms",
         F.coalesce(best["mid"], F.col("target_ms").cast("double")).alias("cut_ms"),

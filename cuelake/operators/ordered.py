@@ -51,8 +51,12 @@ def ordered_scan(
     order: Sequence[str],
     block: Column,
     scans: Sequence[Scan],
+    spread: bool = False,
 ) -> DataFrame:
-    """Add the scan columns to ``df``. Keys must not be null; order must be unique in a key."""
+    """Add the scan columns to ``df``. Keys must not be null; order must be unique in a key.
+
+    ``spread`` fixes the number of tasks after the shuffle, for callers whose next step is heavy
+    per byte and would suffer from small partitions being merged."""
     for scan in scans:
         if scan.kind not in FORWARD | BACKWARD:
             raise ValueError(f"unknown scan kind {scan.kind}")
@@ -117,7 +121,11 @@ def ordered_scan(
             carried[carry] = F.lead(a).over(step)
             merged[s.name] = F.coalesce(h, c)["v"]
 
-    wide = base.withColumns(local)
+    if spread:
+        tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        wide = base.repartition(tasks, *keys, "__blk").withColumns(local)
+    else:
+        wide = base.withColumns(local)
     blocks = base.groupBy(*keys, "__blk").agg(*summary)
     carry_rows = blocks.select(*keys, "__blk", *[col.alias(n) for n, col in carried.items()])
     joined = wide.join(carry_rows, [*keys, "__blk"], "left")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuelake.functions import text as T
+from cuelake.functions.arrays import posexplode_rows
 from cuelake.operators.folds import (
     FOLD_ROWS, Collapse, Contained, Sentences, block_fold, paragraph_chain,
     transcript_chain,
@@ -72,9 +73,9 @@ def explode_speaker_marks(cues: DataFrame) -> DataFrame:
             "interior": F.size("pieces") > 1,
         }
     )
-    rows = split.select(
-        "*", F.posexplode("pieces").alias("piece", "part")
-    ).where(F.col("part") != "")
+    rows = posexplode_rows(split, ["*"], F.col("pieces"), "piece", "part").where(
+        F.col("part") != ""
+    )
     # Durations are shared by text length, at least 250 ms each; starts add up inside a cue.
     shared = F.when(
         F.col("frequent") & ~F.col("interior"), F.col("dur_ms")
@@ -83,15 +84,31 @@ def explode_speaker_marks(cues: DataFrame) -> DataFrame:
     along = Window.partitionBy("media_id", "seq").orderBy("piece").rowsBetween(
         Window.unboundedPreceding, -1
     )
-    peeled = rows.withColumn("peel", T.peel_speaker(F.col("part")))
-    mark = F.when(F.col("frequent"), F.col("peel.speaker").isNotNull()).otherwise(
-        (F.col("piece") > 0) | F.col("peel.turn_mark")
+    # Marks are gone from a piece, so peeling it is lifting a leading name: in steps, which keeps
+    # each generated expression small.
+    peeled = rows.withColumn(
+        "name",
+        T.trim(
+            F.coalesce(
+                F.nullif(F.regexp_extract("part", T.LABELLED, 1), F.lit("")),
+                F.regexp_extract("part", T.LABELLED, 2),
+            )
+        ),
+    )
+    fake = T.is_false_speaker(F.col("name")) & ~T.is_single_letter(F.col("name"))
+    peeled = peeled.withColumn("lifted", (F.col("name") != "") & ~fake)
+    said = F.when(F.col("lifted"), T.normalize_speaker(F.col("name")))
+    rest = F.when(F.col("lifted"), T.trim(F.regexp_extract("part", T.LABELLED, 3))).otherwise(
+        F.col("part")
+    )
+    mark = F.when(F.col("frequent"), F.col("lifted")).otherwise(
+        (F.col("piece") > 0) | F.col("lifted")
     )
     return peeled.select(
         "media_id", "seq", F.col("piece").cast("bigint").alias("piece"),
         (F.col("start_ms") + F.coalesce(F.sum("dur").over(along), F.lit(0.0))).alias("start_ms"),
-        F.col("dur").alias("dur_ms"), F.col("peel.text").alias("text"),
-        F.coalesce("peel.speaker", "speaker").alias("speaker"), mark.alias("turn_mark"),
+        F.col("dur").alias("dur_ms"), rest.alias("text"),
+        F.coalesce(said, "speaker").alias("speaker"), mark.alias("turn_mark"),
     )
 
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from cuelake.functions import clock as K
 from cuelake.functions import text as T
@@ -268,6 +269,6 @@ def export_names(jobs: DataFrame) -> DataFrame:
     return jobs.select("media_id", T.safe_filename(nfc(title)).alias("basename"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(text):
     return text.str.normalize("NFC")

@@ -5,10 +5,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from cuelake import schemas
 from cuelake.functions import clock as K
 from cuelake.functions import text as T
+from cuelake.functions.arrays import posexplode_rows
 
 # Markers of the markdown payload.
 IGNORED_LINES = ["To request", "Interactive version"]
@@ -19,7 +21,7 @@ LAST_CHUNK_SEC = 4.0
 
 def _segments(df: DataFrame, cues: Column) -> DataFrame:
     """Explode an array of struct(start_ms, dur_ms, text); blank cues are gone already."""
-    return df.select("media_id", F.posexplode(cues).alias("seq", "cue")).select(
+    return posexplode_rows(df, ["media_id"], cues, "seq", "cue").select(
         "media_id", F.col("seq").cast("bigint").alias("seq"), "cue.start_ms", "cue.dur_ms", "cue.text"
     )
 
@@ -163,31 +165,41 @@ def markdown_fields(payloads: DataFrame) -> DataFrame:
             ),
             "__lines": lines,
         }
-    ).withColumn(
-        "__at",
-        F.filter(
-            F.when(F.size("__lines") > 0, F.sequence(F.lit(1), F.size("__lines"))).otherwise(
-                F.array().cast("array<int>")
+    )
+    # One entry per line: its start in seconds when it opens a chunk, and its words.
+    df = df.withColumn(
+        "__lines",
+        F.transform(
+            "__lines",
+            lambda s: F.struct(
+                K.parse_timestamp_token(F.regexp_extract(s, TIMED_LINE, 1)).alias("at"), s.alias("line")
             ),
-            lambda i: F.regexp_like(F.get("__lines", i - 1), F.lit(TIMED_LINE)),
+        ),
+    )
+    df = df.withColumn(
+        "__opens",
+        F.filter(
+            F.transform("__lines", lambda x, i: F.struct(i.alias("i"), x["at"].alias("at"))),
+            lambda x: x["at"].isNotNull(),
         ),
     )
 
-    def chunk(at: Column, k: Column) -> Column:
-        nxt = F.get("__at", k + 1)
-        until = F.coalesce(nxt, F.size("__lines") + 1)
-        stamp = lambda i: K.parse_timestamp_token(
-            F.regexp_extract(F.get("__lines", i - 1), TIMED_LINE, 1)
+    def chunk(x: Column, k: Column) -> Column:
+        nxt = F.get("__opens", k + 1)
+        until = F.coalesce(nxt["i"], F.size("__lines"))
+        body = F.transform(
+            F.slice("__lines", x["i"] + 1, until - x["i"]), lambda part: part["line"]
+        )
+        text = F.regexp_replace(
+            F.array_join(body, " "), f"^\\[(?:\\d{{1,2}}:)?\\d{{1,2}}:\\d{{2}}\\][{T.SPACE}]*", ""
         )
-        first = F.regexp_extract(F.get("__lines", at - 1), TIMED_LINE, 2)
-        rest = F.array_join(F.slice("__lines", at + 1, until - at - 1), " ")
-        length = F.when(nxt.isNull(), LAST_CHUNK_SEC).otherwise(
-            F.greatest(F.lit(0.4), (stamp(nxt) - stamp(at)).cast("double"))
+        length = F.coalesce(
+            F.greatest(F.lit(400), (nxt["at"] - x["at"]) * 1000), F.lit(int(LAST_CHUNK_SEC * 1000))
         )
         return F.struct(
-            (stamp(at) * 1000).cast("bigint").alias("start_ms"),
-            F.round(length * 1000).cast("bigint").alias("dur_ms"),
-            T.trim(F.concat(first, F.lit(" "), rest)).alias("text"),
+            (x["at"] * 1000).cast("bigint").alias("start_ms"),
+            F.when(nxt.isNull(), int(LAST_CHUNK_SEC * 1000)).otherwise(length).cast("bigint").alias("dur_ms"),
+            T.trim(text).alias("text"),
         )
 
     untimed = T.trim(
@@ -201,7 +213,7 @@ def markdown_fields(payloads: DataFrame) -> DataFrame:
             F.lit(int(LAST_CHUNK_SEC * 1000)).cast("bigint").alias("dur_ms"), untimed.alias("text"),
         )
     )
-    cues = F.when(F.size("__at") > 0, F.transform("__at", chunk)).when(untimed != "", whole)
+    cues = F.when(F.size("__opens") > 0, F.transform("__opens", chunk)).when(untimed != "", whole)
     return df.withColumn("cues", cues)
 
 
@@ -255,7 +267,7 @@ def markdown_failures(payloads: DataFrame) -> DataFrame:
 
 
 def _tracks(df: DataFrame, tracks: Column) -> DataFrame:
-    return df.select("media_id", F.posexplode(tracks).alias("pos", "t")).select(
+    return posexplode_rows(df, ["media_id"], tracks, "pos", "t").select(
         "media_id", "pos", "t.*"
     )
 
@@ -287,7 +299,7 @@ def extract_page_json(pages: DataFrame, token: str, column: str = "html") -> Dat
     return pages.withColumn("json", _balanced_object(F.col(column), F.lit(token)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _balanced_object(html, token):
     import json
 

@@ -132,7 +132,8 @@ def read_silence_log(
         "line", f"silence_{name}:\\s*(-?[0-9.]+)", 1
     ).try_cast("double") * 1000
     parsed = lines.select(
-        "media_id", "line_no", F.greatest(F.lit(0.0), number("start")).alias("__open"),
+        "media_id", "line_no",
+        F.when(number("start").isNotNull(), F.greatest(F.lit(0.0), number("start"))).alias("__open"),
         number("end").alias("__close"),
     ).where(F.col("__open").isNotNull() | F.col("__close").isNotNull())
     opened = F.when(F.col("__open").isNotNull(), F.struct("line_no", "__open"))
