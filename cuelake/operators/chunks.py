@@ -27,7 +27,13 @@ CHUNK_BLOCK_MS = 86_400_000
 
 
 def _fixed(ms: Column) -> Column:
-    return F.format_string("%.3f", ms / 1000)
+    """Seconds with three decimals, rounded half up on the exact binary value of the double."""
+    sec = ms / 1000
+    whole = F.floor(sec).cast("bigint")
+    scaled = ((sec - whole) * F.lit(float(1 << 52))).cast("bigint")
+    n = F.shiftright(scaled * 1000 + F.lit(1 << 51), 52)
+    text = (whole + F.floor(n / 1000)).cast("bigint").cast("string")
+    return F.concat(text, F.lit("."), F.lpad((n % 1000).cast("string"), 3, "0"))
 
 
 def _planned(core_start: Column, core_end: Column, duration: Column) -> list[Column]:
