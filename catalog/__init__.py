@@ -6,7 +6,7 @@ import importlib
 
 from catalog.base import ORACLE, QUERIES
 
-MODULES = ["timeline", "texts", "cleaning", "exports", "sources", "chunking"]
+MODULES = ["timeline", "texts", "cleaning", "exports", "sources", "chunking", "labels"]
 
 
 def all_queries():
