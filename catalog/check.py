@@ -41,8 +41,9 @@ def compare(spark, con, name, fn, sql, folder):
     b = sorted(tuple(canon(r[i]) for i in order) for r in want)
     if a == b:
         return "OK", len(rows), took, f"sql {t_sql:.1f}s" if t_sql > 5 else ""
-    only_a = [x for x in a if x not in set(b)][:2]
-    only_b = [x for x in b if x not in set(a)][:2]
+    in_a, in_b = set(a), set(b)
+    only_a = [x for x in a if x not in in_b][:2]
+    only_b = [x for x in b if x not in in_a][:2]
     return "DIFF", len(rows), took, f"sql rows {len(b)}\n  spark {only_a}\n  sql   {only_b}"
 
 
