@@ -6,7 +6,9 @@ import importlib
 
 from catalog.base import ORACLE, QUERIES
 
-MODULES = ["timeline", "texts", "cleaning", "exports", "sources", "chunking", "labels"]
+MODULES = [
+    "timeline", "texts", "cleaning", "exports", "sources", "chunking", "labels", "evidence", "framing",
+]
 
 
 def all_queries():

@@ -131,7 +131,7 @@ def block_fold(
 
 def _plain(series: pd.Series) -> list:
     """Python values with None for missing ones."""
-    return [None if v is None or v != v else v for v in series.tolist()]
+    return [None if v is None or v is pd.NA or v != v else v for v in series.tolist()]
 
 
 # -- the cue folds -----------------------------------------------------------------------
