@@ -91,6 +91,9 @@ def block_fold(
         return frame(key, done)
 
     at = [*keys, "__blk"]
+    # The carried side goes by other names: both sides may stem from the same rows.
+    carry_at = [f"__carry_{c}" for c in at]
+    renamed = [F.col(c).alias(n) for c, n in zip(at, carry_at)]
     along = Window.partitionBy(*keys).orderBy("__blk")
     known = cut_lineage(
         source.groupBy(*at).agg(F.count(F.lit(1)).alias("n")).select(
@@ -107,7 +110,7 @@ def block_fold(
         fresh = (
             source.join(stale.select(*at), at, "left_semi")
             .groupBy(*at)
-            .cogroup(stale.groupBy(*at))
+            .cogroup(stale.select(*renamed, "state_in").groupBy(*carry_at))
             .applyInPandas(states, state_ddl)
             .select(*at, F.col("state_out").alias("fresh_out"))
         )
@@ -124,7 +127,7 @@ def block_fold(
         )
     return (
         source.groupBy(*at)
-        .cogroup(known.select(*at, "state_in", "is_last").groupBy(*at))
+        .cogroup(known.select(*renamed, "state_in", "is_last").groupBy(*carry_at))
         .applyInPandas(emit, f"{key_ddl}, {emits}")
     )
 

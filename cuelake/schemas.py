@@ -43,7 +43,7 @@ SUMMARY_PAYLOAD = (
 )
 BACKUP_JOB = (
     "STRUCT<id: STRING, kind: STRING, video_id: STRING, url: STRING, file_name: STRING, "
-    "size_bytes: BIGINT, last_modified: BIGINT, fingerprint: STRING, title: STRING, "
+    "mime_type: STRING, size_bytes: BIGINT, last_modified: BIGINT, fingerprint: STRING, title: STRING, "
     "language: STRING, requested_lang: STRING, source_type: STRING, provider: STRING, "
     "provider_label: STRING, segment_count: BIGINT, duration_sec: DOUBLE, created_at: BIGINT, "
     "summary_kind: STRING, summary: STRING, timestamp_quality: STRING, processing_mode: STRING>"
