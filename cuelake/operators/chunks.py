@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -134,8 +135,9 @@ def request_checks() -> dict[str, Column]:
 # -- merging -----------------------------------------------------------------------------
 
 _SIDE = StructType([StructField("end", IntegerType()), StructField("norm", StringType()), StructField("key", StringType())])
+_LEFT = StructType([*_SIDE.fields, StructField("near", ArrayType(IntegerType()))])
 _SIDES = StructType([
-    StructField("left", ArrayType(_SIDE)), StructField("right", ArrayType(_SIDE)), StructField("suffix", StringType()),
+    StructField("left", ArrayType(_LEFT)), StructField("right", ArrayType(_SIDE)), StructField("suffix", StringType()),
 ])
 
 
@@ -155,6 +157,17 @@ def comparison_keys(text: pd.Series) -> pd.Series:
     return text.map(comparison_key, na_action="ignore")
 
 
+def may_match(a: str, b: str, grams: dict[str, Counter]) -> bool:
+    """False only where the keys are provably too far apart: an edit spoils at most three of the
+    trigrams two texts share, so near texts keep many in common."""
+    longest = max(len(a), len(b))
+    edits = int((1 - POSSIBLE) * longest + 1e-9)
+    if abs(len(a) - len(b)) > edits:
+        return False
+    needed = longest - 2 - 3 * edits
+    return needed <= 0 or (grams[a] & grams[b]).total() >= needed
+
+
 @F.pandas_udf(_SIDES)
 def boundary_sides(tail: pd.Series, head: pd.Series, chars: pd.Series, words: pd.Series) -> pd.DataFrame:
     """Keys of every word-aligned suffix of the previous text and prefix of the next one. Unicode
@@ -169,6 +182,15 @@ def boundary_sides(tail: pd.Series, head: pd.Series, chars: pd.Series, words: pd
         rights = [e for e in [m.end() for m in word.finditer(h)][:w] if e <= c]
         left = [{"end": s, "norm": normalized(t[s:]), "key": comparison_key(t[s:])} for s in reversed(lefts)]
         right = [{"end": e, "norm": normalized(h[:e]), "key": comparison_key(h[:e])} for e in rights]
+        grams = {
+            k: Counter(zip(k, k[1:], k[2:])) for k in {e["key"] for e in left} | {e["key"] for e in right}
+        }
+        for i, a in enumerate(left):  # i + 1 words; the other side may have two fewer or more
+            a["near"] = [
+                j for j in range(max(0, i - 2), min(len(right), i + 3))
+                if min(len(a["norm"]), len(right[j]["norm"])) >= MIN_CHARS
+                and may_match(a["key"], right[j]["key"], grams)
+            ]
         out.append((left, right, normalized(t[-c:])))
     return pd.DataFrame(out, columns=["left", "right", "suffix"])
 
@@ -224,33 +246,23 @@ def match_boundaries(checkpoints: DataFrame, content_mode: str = "speech") -> Da
     )
 
     def of_left(a: Column, i: Column) -> Column:
-        def one(b: Column, k: Column, from_: Column) -> Column:
+        def one(j: Column) -> Column:
+            b = F.get(F.col("__s.right"), j)
             exact = a["norm"] == b["norm"]
             longest = F.greatest(F.length(a["key"]), F.length(b["key"]))
             # Beyond this distance the pair is below the threshold: the search stops there.
             bound = F.floor((1 - POSSIBLE) * longest + 1e-9).cast("int")
-            far = F.abs(F.length(a["key"]) - F.length(b["key"])) > bound
             apart = F.call_function("levenshtein", a["key"], b["key"], bound)
             sim = (
-                F.when(exact, 1.0)
-                .when((a["key"] == "") | (b["key"] == "") | far, 0.0)
+                F.when(exact, 1.0).when((a["key"] == "") | (b["key"] == ""), 0.0)
                 .otherwise(F.when(apart < 0, 0.0).otherwise(1 - apart / longest))
             )
             first = F.left(a["key"], F.lit(8)) == F.left(b["key"], F.lit(8))
             second = F.substring(a["key"], 9, 8) == F.substring(b["key"], 9, 8)
             anchored = (F.right(a["key"], F.lit(8)) == F.right(b["key"], F.lit(8))) & (first | second)
-            return entry(sim, b["end"], i + 1, from_ + k + 1, exact, exact | ((sim >= AUTO) & anchored))
+            return entry(sim, b["end"], i + 1, j + 1, exact, exact | ((sim >= AUTO) & anchored))
 
-        # Left has i + 1 words; the right side may have two fewer or more.
-        from_ = F.greatest(F.lit(0), i - 2)
-        near = F.slice(F.col("__s.right"), from_ + 1, i + 3 - from_)
-        scored = F.transform(
-            near, lambda b, k: F.when(F.length(b["norm"]) >= MIN_CHARS, one(b, k, from_))
-        )
-        return F.when(
-            F.length(a["norm"]) >= MIN_CHARS,
-            F.filter(scored, lambda x: x.isNotNull() & (x["sim"] >= POSSIBLE)),
-        ).otherwise(F.array().cast(f"array<{kind}>"))
+        return F.filter(F.transform(a["near"], one), lambda x: x["sim"] >= POSSIBLE)
 
     ready = ready.withColumn(
         "__c", F.concat(prefixes.cast(f"array<{kind}>"), F.flatten(F.transform(F.col("__s.left"), of_left)).cast(f"array<{kind}>"))

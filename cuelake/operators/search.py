@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuelake.functions import text as T
+from cuelake.functions.arrays import posexplode_rows
 
 MAX_TERMS = 10_000
 SEARCH_BLOCK = 16_384
@@ -46,8 +46,16 @@ def term_counts(docs: DataFrame, column: str, terms: DataFrame) -> DataFrame:
     found = [r[0] for r in terms.select("term").where(F.trim("term") != "").distinct().limit(MAX_TERMS + 1).collect()]
     if len(found) > MAX_TERMS:
         raise ValueError(f"at most {MAX_TERMS} terms; split the list")
-    wanted = F.array(*[F.lit(x) for x in sorted(found)])
-    hits = docs.select(F.explode(wanted).alias("term"), F.col(column).alias("__text")).select(
-        "term", T.count_literal(F.col("__text"), F.col("term")).alias("n")
+    ordered = sorted(t.strip() for t in found)
+    if not ordered:
+        return docs.select(F.lit("").alias("term"), F.lit(0).cast("bigint").alias("n")).limit(0)
+    wanted = F.array(*[F.lit(t.lower()) for t in ordered])
+    low = docs.select(F.lower(column).alias("__low")).withColumn("__size", F.length("__low"))
+    counts = F.transform(
+        wanted,
+        lambda w: ((F.col("__size") - F.length(F.replace(F.col("__low"), w, F.lit("")))) / F.length(w)).cast("bigint"),
     )
-    return hits.groupBy("term").agg(F.sum("n").cast("bigint").alias("n"))
+    hits = posexplode_rows(low.select(counts.alias("c")), [], F.col("c"), "i", "n")
+    total = hits.groupBy("i").agg(F.sum("n").cast("bigint").alias("n"))
+    names = F.array(*[F.lit(t) for t in ordered])
+    return total.select(F.get(names, F.col("i")).alias("term"), "n")

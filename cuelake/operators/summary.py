@@ -12,6 +12,7 @@ from cuelake.functions.arrays import posexplode_rows
 from cuelake.operators.folds import FOLD_ROWS, block_fold
 from cuelake.operators.joins import attach_key_values
 from cuelake.operators.ordered import BLOCK_ROWS, Scan, ordered_scan, row_block
+from cuelake.session import stage_table
 
 KEY = ["media_id"]
 # Request limits.
@@ -98,6 +99,8 @@ def summary_sentences(paragraphs: DataFrame) -> DataFrame:
         paragraphs.select("media_id", "seq", T.split_sentences(F.col("text")).alias("parts")),
         ["media_id", "seq"], F.col("parts"), "pos", "sentence",
     ).withColumn("usable", ~T.is_boilerplate(F.col("sentence")))
+    # Splitting is the costly part and the rows are read several times below.
+    rows = stage_table(rows, "sentences")
     some = rows.groupBy("media_id").agg(
         F.count_if("usable").alias("n_usable"), F.count(F.lit(1)).alias("n_all")
     )
