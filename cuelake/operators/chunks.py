@@ -16,6 +16,7 @@ from cuelake.functions import text as T
 from cuelake.functions.checks import one_of, within
 from cuelake.operators.joins import nearest_silence
 from cuelake.operators.ordered import Scan, ordered_scan, row_block, time_block
+from cuelake.session import stage_table
 
 # Planning and merge settings (milliseconds, bytes, characters).
 CORE_MS, BUFFER_MS, MIN_CORE_MS, MAX_BYTES = 300_000, 3_000, 10_000, 3_000_000
@@ -294,7 +295,8 @@ def match_boundaries(checkpoints: DataFrame, content_mode: str = "speech") -> Da
 def merge_chunks(checkpoints: DataFrame, content_mode: str = "speech") -> tuple[DataFrame, DataFrame]:
     """(segments, audit): texts without the removed overlap at core times, and one audit row per
     neighbouring pair. Raw checkpoints are never changed."""
-    matched = match_boundaries(checkpoints, content_mode)
+    # Both results and the numbering below read the matches: compare once.
+    matched = stage_table(match_boundaries(checkpoints, content_mode), "matched")
     audit = matched.where(F.col("prev_id").isNotNull()).select(
         "media_id", F.col("prev_id").alias("previous_id"), F.col("id").alias("next_id"),
         "similarity", "removed", "method", "confidence",
