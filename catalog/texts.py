@@ -109,17 +109,14 @@ def pairs(t):
     )
 
 
-A, B = F.col("a"), F.col("b")
-
-
 @query("str04_suffix_prefix_overlap", f"""WITH {PAIRS_SQL}
 SELECT media_id, seq, ({S.overlap('a', "concat(right(a, seq::INT % 17), b)")})::BIGINT AS shared,
   ({S.overlap('a', 'b')})::BIGINT AS plain FROM pair""")
 def _(t):
-    tail = F.concat(F.right(A, (F.col("seq") % 17).cast("int")), B)
+    tail = F.concat(F.right(F.col("a"), (F.col("seq") % 17).cast("int")), F.col("b"))
     return pairs(t).select(
-        "media_id", "seq", T.suffix_prefix_overlap(A, tail).cast("bigint").alias("shared"),
-        T.suffix_prefix_overlap(A, B).cast("bigint").alias("plain"),
+        "media_id", "seq", T.suffix_prefix_overlap(F.col("a"), tail).cast("bigint").alias("shared"),
+        T.suffix_prefix_overlap(F.col("a"), F.col("b")).cast("bigint").alias("plain"),
     )
 
 
@@ -128,8 +125,8 @@ o AS (SELECT *, {S.overlap('a', 'b')} AS ov FROM
   (SELECT media_id, seq, a, concat(right(a, seq::INT % 17), b) AS b FROM pair))
 SELECT media_id, seq, {S.join_cue('a', 'b', 'ov')} AS text FROM o""")
 def _(t):
-    tail = F.concat(F.right(A, (F.col("seq") % 17).cast("int")), B)
-    return pairs(t).select("media_id", "seq", T.join_cue(A, tail).alias("text"))
+    tail = F.concat(F.right(F.col("a"), (F.col("seq") % 17).cast("int")), F.col("b"))
+    return pairs(t).select("media_id", "seq", T.join_cue(F.col("a"), tail).alias("text"))
 
 
 @query("str07_pick_longer", f"""WITH {PAIRS_SQL},
@@ -139,8 +136,8 @@ o AS (SELECT media_id, seq, a, b, {S.overlap('a', 'b')} AS ov, {S.key('a')} AS x
 SELECT media_id, seq, CASE WHEN contains(y, x) AND length(y) > length(x) THEN b
   WHEN contains(x, y) THEN a ELSE {S.join_cue('a', 'b', 'ov')} END AS text FROM o""")
 def _(t):
-    longer = F.when(F.col("gap_ms") >= 2000, F.concat_ws(" ", "a", "b")).otherwise(B)
-    return pairs(t).select("media_id", "seq", T.pick_longer(A, longer).alias("text"))
+    longer = F.when(F.col("gap_ms") >= 2000, F.concat_ws(" ", "a", "b")).otherwise(F.col("b"))
+    return pairs(t).select("media_id", "seq", T.pick_longer(F.col("a"), longer).alias("text"))
 
 
 @query("str08_should_collapse", f"""WITH {PAIRS_SQL},
@@ -151,7 +148,7 @@ SELECT media_id, seq, (x <> '' AND y <> '' AND gap_ms < 4200 AND (starts_with(y,
   OR {S.overlap('a', 'b')} >= CASE WHEN regexp_matches(a || b, '{S.HANGUL}') THEN 2 ELSE 4 END)) AS collapse
 FROM o""")
 def _(t):
-    return pairs(t).select("media_id", "seq", T.should_collapse(A, B, F.col("gap_ms")).alias("collapse"))
+    return pairs(t).select("media_id", "seq", T.should_collapse(F.col("a"), F.col("b"), F.col("gap_ms")).alias("collapse"))
 
 
 _DIFF = "coalesce(who_a <> who_b, false)"
@@ -169,7 +166,7 @@ def _(t):
     return pairs(t).select(
         "media_id", "seq",
         T.should_break_sentence(
-            A, B, F.col("gap_ms"), F.col("who_a"), F.col("who_b"), F.col("who_b").isNotNull()
+            F.col("a"), F.col("b"), F.col("gap_ms"), F.col("who_a"), F.col("who_b"), F.col("who_b").isNotNull()
         ).alias("breaks"),
     )
 
@@ -185,7 +182,7 @@ def _(t):
     return pairs(t).select(
         "media_id", "seq",
         T.should_break_paragraph(
-            A, F.col("who_b").isNotNull(), F.col("gap_ms"), F.col("span_ms"), F.col("who_a"),
+            F.col("a"), F.col("who_b").isNotNull(), F.col("gap_ms"), F.col("span_ms"), F.col("who_a"),
             F.col("who_b"),
         ).alias("breaks"),
     )
@@ -201,7 +198,7 @@ o AS (SELECT media_id, seq, {_ascii(S.key('a'))} AS x, {_ascii(S.key('b'))} AS y
 SELECT media_id, seq, round(CASE WHEN x = '' OR y = '' THEN 0.0 WHEN x = y THEN 1.0
   ELSE 1.0 - levenshtein(x, y)::DOUBLE / greatest(length(x), length(y)) END, 6) AS similarity FROM o""")
 def _(t):
-    x, y = T.fold_key(A), T.fold_key(B)
+    x, y = T.fold_key(F.col("a")), T.fold_key(F.col("b"))
     ratio = 1 - F.levenshtein(x, y) / F.greatest(F.length(x), F.length(y))
     return pairs(t).select(
         "media_id", "seq",
