@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from cuelake.llm import bitpack, mixing, packing, quality_rules, sharding, site_quality, toxicity
+from cuelake.llm import bitpack, mixing, near_vectors, packing, pages, quality_rules, sharding, simhash, site_quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -69,6 +68,16 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.assign_shards(docs, "doc_id", SHARDS, SLOTS)
 
 
+@query("op5_near_vectors")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return near_vectors.group_vectors(_read(spark, folder, "embeddings"))
+
+
+@query("op6_main_text")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return pages.extract(_read(spark, folder, "pages"))
+
+
 @query("op7_token_files")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     manifest = bitpack.write_corpus(_read(spark, folder, "documents"), _tokenizer("byte_bpe_50k.json"), keeps_spaces=True, end_id=2)
@@ -86,3 +95,9 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_mixing")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(_read(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op10_simhash")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    grouped = simhash.group_documents(_read(spark, folder, "documents"))
+    return grouped.select("doc_id", simhash.hex_of(grouped["fp"]).alias("fingerprint"), "component_id")
