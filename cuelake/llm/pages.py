@@ -51,6 +51,7 @@ ASIDE_WORDS = {
     "social", "sponsor", "sponsored", "subscribe", "subscription", "teaser", "toolbar", "topbar", "widget",
 }
 CONTENT_ELEMENTS = {"article", "main"}
+CRUMB = 8
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 _MARKUP = re.compile(
@@ -182,6 +183,10 @@ def main_text(html: str | None) -> str:
 
 def choose(nodes: list[tuple[Node, str]]) -> list[tuple[Node, str]]:
     """Content nodes among the nodes that are not ruled out."""
+    inside = [(node, text) for node, text in nodes if node.inside]
+    # an article that says so, unless it is a crumb beside the rest of the page
+    if inside and CRUMB * sum(len(t) for _, t in inside) >= sum(len(t) for _, t in nodes):
+        nodes = inside
     if len(nodes) < 2:
         return nodes
     sums: dict[str, list[float]] = {}

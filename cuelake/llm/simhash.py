@@ -100,10 +100,15 @@ def _placed(rows: DataFrame, masks: list[int], bands: int, bound: int, points: i
     cells = F.array(F.xxhash64("cell", "path"))
     for d in distances:
         near = F.sequence(F.floor(F.greatest(d - bound, F.lit(0)) / shell), F.floor((d + bound) / shell))
-        cells = F.flatten(F.transform(cells, lambda c, near=near: F.transform(near, lambda s: F.xxhash64(c, s))))
+        cells = _spread(cells, near)
     return deeper.select("fp", F.explode(cells).alias("cell"), "path")
 
 
+def _spread(cells: Column, near: Column) -> Column:
+    """Every cell with every shell."""
+    return F.flatten(F.transform(cells, lambda c: F.transform(near, lambda s: F.xxhash64(c, s))))
+
+
 def links_of_cells(cell: np.ndarray, far: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links among rows ordered by (cell, far), far being a distance to one vantage point, as a star
     per connected group: each row's fingerprint and that of the first row of its group."""

@@ -131,7 +131,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: in
     some = known.where(F.pmod(F.xxhash64("_y_id", F.lit(17)), F.lit(1_000_000)) < int(share * 1_000_000))
     # proven bound: max_rows rows of two numbers
     return stage_table(
-        docs.join(F.broadcast(some), F.col("doc_id").cast("long") == F.col("_y_id")).select("text", "y"), f"sample_{label}"
+        docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id").cast("long") == F.col("_y_id")).select("text", "y"),
+        f"sample_{label}",
     )
 
 
