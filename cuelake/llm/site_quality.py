@@ -61,9 +61,9 @@ def evidence(stats: DataFrame, labels: DataFrame, max_rows: int) -> tuple[Column
     # proven bound of both the broadcast and the collected rows: max_rows rows of numbers
     rows = stats.join(F.broadcast(some), F.col("doc_id") == F.col("_y_id")).select(*FEATURES, "y").toPandas()
     y = (rows["y"].to_numpy() > 0).astype(float)
-    base = float(y.mean()) if len(y) else 0.5  # no labels: no evidence and an even prior
-    if not 0 < base < 1:
-        return F.lit(0.0), min(max(base, 0.01), 0.99)
+    if len(set(y)) < 2:  # nothing to tell apart: no evidence, and the one label or an even prior
+        return F.lit(0.0), min(max(float(y[0]), 0.01), 0.99) if len(y) else 0.5
+    base = float(y.mean())
     w, mean, scale = train(np.column_stack(_expanded([rows[f].to_numpy() for f in FEATURES])), y)
     total = F.lit(float(w[-1]) - float(np.log(base / (1 - base))))
     for c, k, m, s in zip(_expanded([F.col(f) for f in FEATURES]), w, mean, scale):
