@@ -71,18 +71,65 @@ def _(t):
     return decisions(t)
 
 
-def media(t):
-    return frames(t).groupBy("media_id").agg((F.max("t_ms") + 500).cast("bigint").alias("duration_ms")).withColumn("last_changed", F.lit(False))
+def event_decisions(t):
+    """Events as decisions of a scan: one recording per user."""
+    kind = (
+        F.when(F.col("event_type") == "error", F.when(F.col("event_id") % 2 == 0, "black").otherwise("unobservable"))
+        .when(F.col("event_type") == "signup", "stable").when(F.col("event_type") == "purchase", "candidate").otherwise("same")
+    )
+    at = F.unix_millis(F.col("ts").cast("timestamp")).cast("double")
+    d = t.events.select(F.col("user_id").alias("media_id"), at.alias("t_ms"), kind.alias("kind"), (F.col("event_id") % 97 == 0).alias("motion"))
+    since = F.when(F.col("kind").isin("candidate", "stable"), F.floor(F.col("t_ms") / 7_200_000) * 7_200_000.0)
+    return d.withColumn("since", since).withColumn("motion", F.col("motion") & (F.col("kind") == "same"))
 
 
-@query("st02_display_states")
+def event_media(t):
+    last = F.max(F.unix_millis(F.col("ts").cast("timestamp")))
+    return t.events.groupBy(F.col("user_id").alias("media_id")).agg((last + 500).alias("duration_ms")).withColumn("last_changed", F.col("media_id") % 3 == 0)
+
+
+def scan_sql(most):
+    return f"""d AS (SELECT user_id AS media_id, (epoch_us(ts) // 1000)::DOUBLE AS t_ms, event_id, CASE event_type WHEN 'error' THEN CASE WHEN event_id % 2 = 0 THEN 'black' ELSE 'unobservable' END WHEN 'signup' THEN 'stable' WHEN 'purchase' THEN 'candidate' ELSE 'same' END AS kind FROM events),
+s AS (SELECT *, kind = 'same' AND event_id % 97 = 0 AS motion, CASE WHEN kind IN ('candidate', 'stable') THEN floor(t_ms / 7200000) * 7200000 END AS since, kind IN ('black', 'unobservable') AS gap FROM d),
+l AS (SELECT *, lag(kind) OVER w AS pk, lag(since) OVER w AS ps, coalesce(lag(t_ms) OVER w, greatest(0, t_ms - 500)) AS before FROM s WINDOW w AS (PARTITION BY media_id ORDER BY t_ms)),
+m AS (SELECT *, coalesce(pk = 'candidate', false) AS pending, coalesce(pk = 'candidate' AND ps = since, false) AS again, (before + t_ms) / 2 AS middle FROM l),
+o AS (SELECT *, kind = 'same' AND pending AS returns, (kind IN ('candidate', 'stable') AND NOT again) OR (kind = 'same' AND pending) AS opens, kind = 'stable' AND again AS confirms FROM m),
+c AS (SELECT *, sum(opens::INT) OVER w AS state_no, max(CASE WHEN opens THEN t_ms END) OVER w AS open_at, max(CASE WHEN gap THEN t_ms END) OVER w AS gap_at FROM o WINDOW w AS (PARTITION BY media_id ORDER BY t_ms)),
+r AS (SELECT *, state_no > 0 AND (gap_at IS NULL OR gap_at < open_at) AS active FROM c),
+x AS (SELECT media_id, max(t_ms)::BIGINT + 500 AS duration_ms, min(CASE WHEN opens AND state_no > {most} THEN t_ms END) AS over_ms, min(CASE WHEN motion AND active THEN t_ms END) AS moved_ms FROM r GROUP BY 1),
+z AS (SELECT media_id, duration_ms, media_id % 3 = 0 AS last_changed, CASE WHEN over_ms <= coalesce(moved_ms, over_ms) THEN 'limit' WHEN moved_ms IS NOT NULL THEN 'motion' END AS reason, least(over_ms, moved_ms) AS stop_ms FROM x),
+k AS (SELECT r.* FROM r JOIN z USING (media_id) WHERE stop_ms IS NULL OR t_ms < stop_ms OR (t_ms = stop_ms AND reason = 'motion')),
+g AS (SELECT media_id, state_no, min(CASE WHEN opens THEN t_ms END) AS o_t, arg_min(before, t_ms) FILTER (opens) AS o_low, arg_min(kind, t_ms) FILTER (opens) AS o_kind, arg_min(returns, t_ms) FILTER (opens) AS o_returns,
+  max(CASE WHEN active AND (opens OR confirms OR kind = 'same') THEN t_ms END) AS seen_ms, arg_min(middle, t_ms) FILTER (gap) AS g_mid, min(CASE WHEN gap THEN t_ms END) AS g_t, arg_min(kind, t_ms) FILTER (gap) AS g_kind, bool_or(confirms) AS confirmed, arg_max(kind, t_ms) AS last_kind FROM k GROUP BY ALL),
+n AS (SELECT *, CASE WHEN state_no = 1 AND o_t < 500 THEN 0.0 ELSE (o_low + o_t) / 2 END AS start_ms FROM g),
+h AS (SELECT *, lead(start_ms) OVER w AS next_start, lead(o_t) OVER w AS next_t, lead(o_low) OVER w AS next_low, lead(o_returns) OVER w AS next_returns FROM n JOIN z USING (media_id) WINDOW w AS (PARTITION BY media_id ORDER BY state_no)),
+v AS (SELECT *, next_t IS NULL AND g_t IS NULL AS open_end, stop_ms IS NULL AND next_t IS NULL AND g_t IS NULL AND last_kind <> 'candidate' AND NOT last_changed AS verified, o_kind = 'candidate' AND NOT confirmed AS uncertain FROM h),
+b AS (SELECT *, greatest(start_ms, coalesce(g_mid, next_start, CASE WHEN verified THEN duration_ms::DOUBLE END, seen_ms)) AS end_ms, open_end AND stop_ms IS NULL AND NOT verified AS unverified FROM v WHERE state_no > 0)"""
+
+
+AUDIT_SQL = f"""WITH {scan_sql(200)} SELECT media_id, g_kind AS kind, g_mid AS start_ms, coalesce(next_start, CASE WHEN stop_ms IS NULL THEN duration_ms END)::DOUBLE AS end_ms FROM v WHERE g_t IS NOT NULL AND coalesce(next_start, CASE WHEN stop_ms IS NULL THEN duration_ms END) > g_mid
+UNION ALL SELECT media_id, 'transition', start_ms, next_t FROM b WHERE next_returns
+UNION ALL SELECT r.media_id, 'transition', b.start_ms, r.t_ms FROM r JOIN z USING (media_id) JOIN b USING (media_id) WHERE r.t_ms = z.stop_ms AND z.reason = 'limit' AND r.returns AND b.next_t IS NULL AND b.g_t IS NULL
+UNION ALL SELECT media_id, 'transition', end_ms, duration_ms::DOUBLE FROM b WHERE unverified"""
+
+
+@query("st02_display_states", f"""WITH {scan_sql(200)} SELECT media_id, state_no::BIGINT AS state_no, sha256(concat_ws(':', media_id, state_no)) AS state_id, start_ms, end_ms, o_low AS start_low_ms, o_t AS start_high_ms,
+  CASE WHEN g_t IS NOT NULL THEN 2 * g_mid - g_t ELSE coalesce(next_low, seen_ms) END AS end_low_ms, coalesce(g_t, next_t, least(duration_ms, seen_ms + CASE WHEN last_kind = 'same' THEN 500 ELSE 0 END)) AS end_high_ms,
+  concat_ws(',', 'boundary-uncertain', CASE WHEN uncertain THEN 'dynamic' END, CASE WHEN uncertain OR unverified THEN 'incomplete' END, CASE WHEN open_end AND reason = 'motion' THEN 'region-review' END) AS flags FROM b""")
+def _(t):
+    return M.display_states(event_decisions(t), event_media(t))[0].withColumn("flags", F.array_join("flags", ","))
+
+
+@query("st04_scan_audit", AUDIT_SQL)
 def _(t):
-    return M.display_states(decisions(t), media(t))[0].withColumn("flags", F.array_join("flags", ","))
+    return M.display_states(event_decisions(t), event_media(t))[1]
 
 
-@query("st04_scan_audit")
+@query("st02_frame_states")
 def _(t):
-    return M.display_states(decisions(t), media(t))[1]
+    """States of the decisions that the detector makes over frames."""
+    media = frames(t).groupBy("media_id").agg((F.max("t_ms") + 500).cast("bigint").alias("duration_ms")).withColumn("last_changed", F.lit(False))
+    return M.display_states(decisions(t), media)[0].withColumn("flags", F.array_join("flags", ","))
 
 
 KIND_SQL = """k AS (SELECT user_id AS media_id, (epoch_us(ts) // 1000)::DOUBLE AS t_ms, CASE event_type WHEN 'error' THEN 'black' WHEN 'signup' THEN 'unobservable' ELSE 'same' END AS kind FROM events),
@@ -120,9 +167,10 @@ def _(t):
     return M.audit_coverage(event_gaps(t))
 
 
-@query("st06_state_limit")
+@query("st06_state_limit", f"""WITH {scan_sql(10)} SELECT media_id, CASE WHEN stop_ms IS NULL THEN 'complete' ELSE 'paused' END AS status, coalesce(stop_ms, duration_ms)::DOUBLE AS cursor_ms, reason, (SELECT count(*) FROM b WHERE b.media_id = z.media_id)::BIGINT AS kept FROM z""")
 def _(t):
-    return M.display_states(decisions(t), media(t), max_states=10)[0].groupBy("media_id").agg(F.count(F.lit(1)).alias("kept"))
+    states, _audit, status = M.display_states(event_decisions(t), event_media(t), max_states=10)
+    return status.join(states.groupBy("media_id").agg(F.count(F.lit(1)).alias("kept")), "media_id", "left").na.fill(0, ["kept"])
 
 
 @query("st05_refine_boundaries")
@@ -131,7 +179,7 @@ def _(t):
     seen = M.ordered_scan(f, ["media_id"], ["t_ms"], M.time_block("t_ms"), [M.Scan("b", "lag", F.struct("t_ms", "pixels"))])
     c = seen.where(F.col("b").isNotNull()).select(
         "media_id", F.col("t_ms").cast("bigint").alias("change_id"), F.col("b.t_ms").cast("bigint").alias("low_ms"), F.col("t_ms").cast("bigint").alias("high_ms"),
-        F.col("b.pixels").alias("baseline"), "width", "height")
+        F.col("b.pixels").alias("baseline"), "width", "height", F.lit(100_000).cast("bigint").alias("duration_ms"))
     return M.refine_boundaries(c, f.select("media_id", F.col("t_ms").cast("bigint").alias("t_ms"), "pixels"), GRID)
 
 
@@ -142,9 +190,9 @@ def _(t):
     return upsert_checkpoints(early, late).groupBy("media_id").agg(F.count(F.lit(1)).alias("chunks"))
 
 
-@query("tk06_representatives", """WITH e AS (SELECT vec_id // 2 AS state_id, vec_id, label FROM embeddings) SELECT state_id, arg_max(vec_id, label * 1000000 + vec_id) AS representative_id FROM e GROUP BY 1""")
+@query("tk06_representatives", """WITH e AS (SELECT vec_id // 5 AS state_id, vec_id, label, first_value(label) OVER (PARTITION BY vec_id // 5 ORDER BY vec_id) AS least FROM embeddings) SELECT state_id, max(vec_id) AS representative_id FROM e WHERE label >= least GROUP BY 1""")
 def _(t):
-    e = t.embeddings.select(F.floor(F.col("vec_id") / 2).cast("bigint").alias("state_id"), F.col("vec_id").alias("evidence_id"), F.col("label").alias("sharpness"), F.col("vec_id").alias("ord"))
+    e = t.embeddings.select(F.floor(F.col("vec_id") / 5).cast("bigint").alias("state_id"), F.col("vec_id").alias("evidence_id"), F.col("label").alias("sharpness"), F.col("vec_id").alias("ord"))
     return M.representative_evidence(e)
 
 

@@ -213,80 +213,114 @@ def detect_decisions(
     )
 
 
-def display_states(decisions: DataFrame, media: DataFrame, max_states: int = 200) -> tuple[DataFrame, DataFrame]:
-    """(states, audit) from decisions(media_id, t_ms, kind, since, motion), by windows alone.
-
-    A state opens at a candidate with a new ``since``, at a stable frame that was not pending, or
-    at a "same" frame that ends a pending one; black and unobservable frames close it. Motion, and
-    the limit of states, pause a recording: what follows is not claimed. media: media_id,
-    duration_ms, last_changed (is the final frame unreadable or different from the last baseline)."""
-    step = 500.0
-    paused = decisions.where((F.col("kind") == "same") & F.col("motion")).groupBy("media_id").agg(F.min("t_ms").alias("cut"))
-    rows = attach_key_values(decisions, ["media_id"], time_block("t_ms"), paused)
-    rows = rows.where(F.col("cut").isNull() | (F.col("t_ms") <= F.col("cut")))
+def display_states(
+    decisions: DataFrame, media: DataFrame, max_states: int = 200, step_ms: float = 500.0, refined: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(states, audit, status) from decisions(media_id, t_ms, kind, since, motion), by windows alone.
+
+    A state opens at a candidate with a new ``since``, at a stable frame that was not pending, or at
+    a "same" frame that ends a pending one; black and unobservable frames close it. A recording is
+    paused before the frame that would open state ``max_states`` + 1, and after a frame with motion
+    inside a state; decisions behind the pause are cut first, so nothing is claimed of that time.
+    status has one row per recording: paused or complete, the cursor to go on from, and the reason.
+
+    media: media_id, duration_ms, last_changed (is the final frame unreadable or different from the
+    last baseline). step_ms is the time between two samples. refined(media_id, t_ms, low_ms,
+    high_ms) narrows the boundaries of candidates that open a state."""
+    keys, block = ["media_id"], time_block("t_ms")
+    seen = ordered_scan(decisions, keys, ["t_ms"], block, [Scan("prev", "lag", F.struct("t_ms", "kind", "since"))])
     gap = F.col("kind").isin("black", "unobservable")
-    seen = ordered_scan(
-        rows, ["media_id"], ["t_ms"], time_block("t_ms"),
-        [Scan("prev", "lag", F.struct("t_ms", "kind", "since"))],
-    )
-    was_pending = F.coalesce(F.col("prev.kind") == "candidate", F.lit(False))
-    new_candidate = (F.col("kind") == "candidate") & ~(was_pending & (F.col("prev.since") == F.col("since")))
-    fresh_stable = (F.col("kind") == "stable") & ~(was_pending & (F.col("prev.since") == F.col("since")))
-    back_to_same = (F.col("kind") == "same") & was_pending
-    opens = new_candidate | fresh_stable | back_to_same
-    before = F.coalesce(F.col("prev.t_ms"), F.greatest(F.lit(0.0), F.col("t_ms") - step))
+    pending = F.coalesce(F.col("prev.kind") == "candidate", F.lit(False))
+    again = pending & (F.col("prev.since") == F.col("since"))
+    before = F.coalesce(F.col("prev.t_ms"), F.greatest(F.lit(0.0), F.col("t_ms") - step_ms))
+    returns = (F.col("kind") == "same") & pending
     marked = seen.withColumns({
-        "opens": opens, "gap": gap, "middle": (before + F.col("t_ms")) / 2,
-        "transition": back_to_same,
-        "gap_opens": gap & ~F.coalesce(F.col("prev.kind").isin("black", "unobservable"), F.lit(False)),
-    })
-    spans = ordered_scan(
-        marked, ["media_id"], ["t_ms"], time_block("t_ms"),
+        "gap": gap, "returns": returns, "before": before, "middle": (before + F.col("t_ms")) / 2,
+        "opens": ((F.col("kind").isin("candidate", "stable")) & ~again) | returns,
+        "confirms": (F.col("kind") == "stable") & again,
+    }).drop("prev")
+    counted = ordered_scan(
+        marked, keys, ["t_ms"], block,
         [
-            Scan("state_no", "sum", F.when(F.col("opens"), 1).otherwise(0).cast("bigint")),
-            Scan("gap_no", "sum", F.when(F.col("gap_opens"), 1).otherwise(0).cast("bigint")),
+            Scan("state_no", "sum", F.col("opens").cast("bigint")),
+            Scan("gaps", "sum", F.col("gap").cast("bigint")),
+            Scan("gaps_then", "last", F.when(F.col("opens"), F.struct(F.col("t_ms").alias("t")))),
         ],
     )
-    start = F.when((F.col("state_no") == 1) & (F.col("t_ms") < step), 0.0).otherwise(F.col("middle"))
-    inside = spans.where((F.col("state_no") > 0) & ~F.col("gap"))
-    bodies = inside.groupBy("media_id", "state_no").agg(
-        F.min(F.when(F.col("opens"), start)).alias("start_ms"), F.max("t_ms").alias("seen_ms"),
-        F.max_by("kind", "t_ms").alias("last_kind"), F.max(F.col("kind").isin("stable")).alias("stable"),
-        F.max(F.col("motion") & (F.col("kind") == "same")).alias("moved"), F.min_by("transition", "t_ms").alias("returned"),
+    first_gap = ordered_scan(counted, keys, ["t_ms"], block, [Scan("gap_at", "last", F.when(F.col("gap"), F.col("t_ms")))])
+    active = (F.col("state_no") > 0) & (F.col("gap_at").isNull() | (F.col("gap_at") < F.col("gaps_then.t")))
+    rows = first_gap.withColumn("active", active).drop("gaps", "gaps_then", "gap_at")
+
+    over = F.when(F.col("opens") & (F.col("state_no") > max_states), F.col("t_ms"))
+    moved = F.when((F.col("kind") == "same") & F.col("motion") & F.col("active"), F.col("t_ms"))
+    stops = rows.groupBy("media_id").agg(F.min(over).alias("over_ms"), F.min(moved).alias("moved_ms"))
+    by_limit = F.col("over_ms").isNotNull() & (F.col("moved_ms").isNull() | (F.col("over_ms") <= F.col("moved_ms")))
+    stops = media.join(stops, "media_id").select(
+        "media_id", "duration_ms", "last_changed",
+        F.when(by_limit, F.lit("limit")).when(F.col("moved_ms").isNotNull(), F.lit("motion")).alias("reason"),
+        F.when(by_limit, F.col("over_ms")).otherwise(F.col("moved_ms")).alias("stop_ms"),
     )
-    # A gap right after a state ends it half way to the first unreadable frame.
-    ends = spans.where("gap_opens").groupBy("media_id", "state_no").agg(F.min("middle").alias("gap_ms"))
-    body = bodies.join(ends, ["media_id", "state_no"], "left").join(media, "media_id")
-    chain = ordered_scan(
-        body, ["media_id"], ["state_no"], row_block("state_no"),
-        [Scan("next_start", "lead", F.col("start_ms")), Scan("next_returned", "lead", F.col("returned"))],
+    known = attach_key_values(rows, keys, block, stops.select("media_id", "stop_ms", "reason"))
+    at_stop = F.col("t_ms") == F.col("stop_ms")
+    kept = known.where(F.col("stop_ms").isNull() | (F.col("t_ms") < F.col("stop_ms")) | (at_stop & (F.col("reason") == "motion")))
+    if refined is not None:
+        kept = kept.join(refined.select("media_id", "t_ms", F.col("low_ms").alias("r_low"), F.col("high_ms").alias("r_high")), ["media_id", "t_ms"], "left")
+    else:
+        kept = kept.withColumns({"r_low": F.lit(None).cast("double"), "r_high": F.lit(None).cast("double")})
+    narrowed = F.col("opens") & (F.col("kind") == "candidate")
+    low = F.when(narrowed, F.coalesce("r_low", "before")).otherwise(F.col("before"))
+    high = F.when(narrowed, F.coalesce("r_high", "t_ms")).otherwise(F.col("t_ms"))
+
+    moves_end = F.col("active") & (F.col("opens") | F.col("confirms") | (F.col("kind") == "same"))
+    opening = F.when(F.col("opens"), F.struct("t_ms", low.alias("low_ms"), high.alias("high_ms"), "kind", "returns"))
+    groups = kept.groupBy("media_id", "state_no").agg(
+        F.min(opening).alias("o"),
+        F.max(F.when(moves_end, F.col("t_ms"))).alias("seen_ms"),
+        F.min(F.when(F.col("gap"), F.struct("t_ms", "middle", "kind"))).alias("g"),
+        F.max("confirms").alias("confirmed"),
+        F.max_by("kind", "t_ms").alias("last_kind"),
     )
-    last = F.col("next_start").isNull() & F.col("gap_ms").isNull()
-    settled = F.col("last_kind").isin("stable", "same")
-    claimed = last & settled & ~F.col("last_changed") & ~F.col("moved")
-    end = (
-        F.coalesce("gap_ms", "next_start", F.when(claimed, F.col("duration_ms").cast("double")), "seen_ms")
+    early = (F.col("state_no") == 1) & (F.col("o.t_ms") < step_ms)
+    groups = groups.withColumn("start_ms", F.when(early, F.lit(0.0)).otherwise((F.col("o.low_ms") + F.col("o.high_ms")) / 2))
+    chain = ordered_scan(
+        groups.join(stops, "media_id"), keys, ["state_no"], row_block("state_no"), [Scan("next", "lead", F.struct("start_ms", "o"))]
     )
-    unfinished = ~F.col("stable") & ~F.col("returned")
-    states = chain.select(
-        "media_id", "state_no", F.sha2(F.concat_ws(":", "media_id", "state_no"), 256).alias("state_id"),
-        "start_ms", F.greatest(F.col("start_ms"), end).alias("end_ms"),
+    complete = F.col("stop_ms").isNull()
+    open_end = F.col("next").isNull() & F.col("g").isNull()
+    verified = complete & open_end & (F.col("last_kind") != "candidate") & ~F.col("last_changed")
+    uncertain = (F.col("o.kind") == "candidate") & ~F.col("confirmed")
+    end = F.coalesce(F.col("g.middle"), F.col("next.start_ms"), F.when(verified, F.col("duration_ms").cast("double")), F.col("seen_ms"))
+    moving = open_end & (F.col("reason") == "motion")
+    unverified = open_end & complete & ~verified
+    built = chain.where("state_no > 0").withColumns({"end_ms": F.greatest(F.col("start_ms"), end), "unverified": unverified})
+    end_low = F.when(F.col("g").isNotNull(), 2 * F.col("g.middle") - F.col("g.t_ms")).otherwise(F.coalesce(F.col("next.o.low_ms"), F.col("seen_ms")))
+    after = F.least(F.col("duration_ms").cast("double"), F.col("seen_ms") + F.when(F.col("last_kind") == "same", F.lit(step_ms)).otherwise(F.lit(0.0)))
+    states = built.select(
+        "media_id", "state_no", F.sha2(F.concat_ws(":", "media_id", "state_no"), 256).alias("state_id"), "start_ms", "end_ms",
+        F.col("o.low_ms").alias("start_low_ms"), F.col("o.high_ms").alias("start_high_ms"), end_low.alias("end_low_ms"),
+        F.coalesce(F.col("g.t_ms"), F.col("next.o.high_ms"), after).alias("end_high_ms"),
         F.array_compact(F.array(
-            F.lit("boundary-uncertain"), F.when(unfinished, F.lit("dynamic")),
-            F.when(unfinished | (last & ~claimed & ~F.col("moved")), F.lit("incomplete")), F.when(F.col("moved"), F.lit("region-review")),
+            F.lit("boundary-uncertain"), F.when(uncertain, F.lit("dynamic")),
+            F.when(uncertain | F.col("unverified"), F.lit("incomplete")), F.when(moving, F.lit("region-review")),
         )).alias("flags"),
-        F.when(F.col("state_no") > max_states, "paused").otherwise("pending").alias("status"),
-        last.alias("is_last"), (last & ~claimed & ~F.col("moved")).alias("unverified"), "duration_ms", "next_returned", "seen_ms",
     )
-    audit_gaps = gap_intervals(spans, media)
-    fades = states.where(F.col("next_returned")).select(
-        "media_id", F.lit("transition").alias("kind"), "start_ms", F.col("end_ms").alias("end_ms"))
-    tails = states.where(F.col("unverified")).select(
+    # a gap runs to the start of the next state, or to the end of a recording that was scanned whole
+    until = F.coalesce(F.col("next.start_ms"), F.when(complete, F.col("duration_ms").cast("double")))
+    gaps = chain.where(F.col("g").isNotNull() & (until > F.col("g.middle"))).select(
+        "media_id", F.col("g.kind").alias("kind"), F.col("g.middle").alias("start_ms"), until.alias("end_ms"))
+    fades = built.where("next.o.returns").select(
+        "media_id", F.lit("transition").alias("kind"), "start_ms", F.col("next.o.t_ms").alias("end_ms"))
+    # the frame that the limit stops at may end a short state too
+    stopped = known.where(at_stop & (F.col("reason") == "limit") & F.col("returns")).select("media_id", F.col("t_ms").alias("end_ms"))
+    newest = built.where(F.col("next").isNull() & F.col("g").isNull()).select("media_id", "start_ms")
+    stopped = stopped.join(newest, "media_id").select("media_id", F.lit("transition").alias("kind"), "start_ms", "end_ms")
+    tails = built.where("unverified").select(
         "media_id", F.lit("transition").alias("kind"), F.col("end_ms").alias("start_ms"), F.col("duration_ms").cast("double").alias("end_ms"))
-    return (
-        states.where(F.col("status") == "pending").select("media_id", "state_no", "state_id", "start_ms", "end_ms", "flags"),
-        audit_gaps.unionByName(fades).unionByName(tails),
+    status = stops.select(
+        "media_id", F.when(complete, F.lit("complete")).otherwise(F.lit("paused")).alias("status"),
+        F.coalesce("stop_ms", F.col("duration_ms").cast("double")).alias("cursor_ms"), "reason",
     )
+    return states, gaps.unionByName(fades).unionByName(stopped).unionByName(tails), status
 
 
 def gap_intervals(spans: DataFrame, media: DataFrame) -> DataFrame:
@@ -317,9 +351,10 @@ def audit_coverage(audit: DataFrame) -> DataFrame:
 
 
 def representative_evidence(evidence: DataFrame) -> DataFrame:
-    """Per state the newer capture when it is at least as sharp as the first one."""
-    return evidence.groupBy("state_id").agg(
-        F.max_by("evidence_id", F.struct("sharpness", "ord")).alias("representative_id"))
+    """Per state the newest capture that is at least as sharp as the first one."""
+    first = evidence.groupBy("state_id").agg(F.min_by("sharpness", "ord").alias("__least"))
+    return evidence.join(first, "state_id").where(F.col("sharpness") >= F.col("__least")).groupBy("state_id").agg(
+        F.max_by("evidence_id", "ord").alias("representative_id"))
 
 
 def tile_plan(images: DataFrame, max_side: int = 8192, max_pixels: int = 16_777_216) -> DataFrame:
@@ -358,9 +393,9 @@ def _tiles(width: int, height: int, weight: float, max_side: int, max_pixels: in
 
 
 def refine_boundaries(changes: DataFrame, dense: DataFrame, grid: Grid = Grid(), step_ms: int = 200, slack_ms: int = 250) -> DataFrame:
-    """changes(media_id, change_id, low_ms, high_ms, baseline, width, height) narrowed with dense
-    frames(media_id, t_ms, pixels): the first changed frame inside the bracket, widened by the
-    timing uncertainty. Frames and brackets meet in time bins, one bin per frame."""
+    """changes(media_id, change_id, low_ms, high_ms, baseline, width, height, duration_ms) narrowed with
+    dense frames(media_id, t_ms, pixels): the first changed frame inside the bracket, widened by the
+    timing uncertainty and kept inside the recording. Frames and brackets meet in time bins, one bin per frame."""
     width_ms = 10_000
     bins = F.sequence(F.floor(F.col("low_ms") / width_ms), F.floor(F.col("high_ms") / width_ms))
     spread = changes.withColumn("bin", F.explode(bins))
@@ -378,7 +413,8 @@ def refine_boundaries(changes: DataFrame, dense: DataFrame, grid: Grid = Grid(),
     high = F.coalesce("first_hit", "high_ms")
     low = F.greatest(F.col("low_ms"), high - step_ms)
     return out.select(
-        "media_id", "change_id", F.greatest(F.lit(0), low - slack_ms).cast("bigint").alias("low_ms"), (high + slack_ms).cast("bigint").alias("high_ms"))
+        "media_id", "change_id", F.greatest(F.lit(0), low - slack_ms).cast("bigint").alias("low_ms"),
+        F.least(F.col("duration_ms"), high + slack_ms).cast("bigint").alias("high_ms"))
 
 
 def apply_provider(rows: DataFrame, provide: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
