@@ -125,14 +125,15 @@ SELECT s.media_id, 'segments' AS list, s.seq::INT AS pos, (s.start_ms / 1000.0):
 UNION ALL SELECT p.media_id, 'paragraphs', p.seq::INT, (p.start_ms / 1000.0)::DOUBLE, (p.dur_ms / 1000.0)::DOUBLE, p.text, p.speaker, j.id, {TITLE},
   CASE WHEN j.kind = 'upload' THEN NULL ELSE j.video_id END FROM paragraphs p JOIN jobs j USING (media_id)""")
 def _(t):
-    doc = D.document_parts(D.export_json(export_jobs(t), segments(t), paragraphs(t)))
+    # parts of ten entries, so that recordings have several documents
+    doc = D.export_json(export_jobs(t), segments(t), paragraphs(t), per_part=10)
     row = "ARRAY<STRUCT<start: DOUBLE, duration: DOUBLE, text: STRING, speaker: STRING>>"
     back = doc.withColumn(
-        "d", F.from_json("text", f"STRUCT<id: STRING, title: STRING, videoId: STRING, segments: {row}, paragraphs: {row}>")
+        "d", F.from_json("text", f"STRUCT<id: STRING, title: STRING, videoId: STRING, segments: {row}, paragraphs: {row}, segmentsBefore: INT, paragraphsBefore: INT>")
     )
     parts = [
-        back.select("media_id", F.lit(name).alias("list"), F.posexplode(f"d.{name}").alias("pos", "e"),
-                    "d.id", "d.title", F.col("d.videoId").alias("video_id"))
+        back.select("media_id", F.lit(name).alias("list"), F.posexplode(f"d.{name}").alias("k", "e"), F.coalesce(f"d.{name}Before", F.lit(0)).alias("before"),
+                    "d.id", "d.title", F.col("d.videoId").alias("video_id")).withColumn("pos", F.col("k") + F.col("before"))
         for name in ("segments", "paragraphs")
     ]
     return parts[0].unionByName(parts[1]).select(

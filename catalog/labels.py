@@ -87,7 +87,7 @@ def _(t):
 
 
 EDIT_SQL = PARAGRAPHS_SQL + """,
-ed AS (SELECT media_id, seq, CASE WHEN speaker = 'assistant' THEN 'Edited ' || seq WHEN dur_ms < 2000 THEN '' END AS e_text, 'Ana' AS e_speaker
+ed AS (SELECT media_id, seq, CASE WHEN speaker = 'assistant' THEN 'Edited ' || seq WHEN dur_ms < 2000 THEN '' END AS e_text, 'Ana' AS e_speaker, NOT (speaker = 'assistant' AND seq % 2 = 0) AS e_set
   FROM paragraphs WHERE speaker = 'assistant' OR dur_ms < 2000 OR speaker = 'system')"""
 
 
@@ -96,7 +96,7 @@ def edits(t):
     return p.where((F.col("speaker") == "assistant") | (F.col("dur_ms") < 2000) | (F.col("speaker") == "system")).select(
         "media_id", "seq",
         F.when(F.col("speaker") == "assistant", F.concat(F.lit("Edited "), "seq")).when(F.col("dur_ms") < 2000, "").alias("text"),
-        F.lit(" Ana ").alias("speaker"), "start_ms",
+        F.lit(" Ana ").alias("speaker"), "start_ms", (~((F.col("speaker") == "assistant") & (F.col("seq") % 2 == 0))).alias("set_speaker"),
     )
 
 
@@ -104,7 +104,7 @@ def edits(t):
 own AS (SELECT s.*, p.seq AS o, p.start_ms + greatest(p.dur_ms, 400) AS o_end FROM segments s ASOF LEFT JOIN paragraphs p ON s.media_id = p.media_id AND s.start_ms >= p.start_ms),
 k AS (SELECT own.media_id, own.start_ms, own.dur_ms, own.text, CASE WHEN e.media_id IS NOT NULL AND e.e_text IS NULL THEN 'Ana' ELSE own.speaker END AS speaker, 1 AS side, own.seq AS o
   FROM own LEFT JOIN ed e ON e.media_id = own.media_id AND e.seq = own.o WHERE NOT coalesce(e.e_text IS NOT NULL AND own.start_ms < own.o_end, false)),
-n AS (SELECT p.media_id, p.start_ms, p.dur_ms, e.e_text, 'Ana', 0, p.seq FROM paragraphs p JOIN ed e USING (media_id, seq) WHERE e.e_text <> ''),
+n AS (SELECT p.media_id, p.start_ms, p.dur_ms, e.e_text, CASE WHEN e.e_set THEN 'Ana' ELSE p.speaker END, 0, p.seq FROM paragraphs p JOIN ed e USING (media_id, seq) WHERE e.e_text <> ''),
 a AS (SELECT * FROM k UNION ALL SELECT * FROM n)
 SELECT media_id, (row_number() OVER (PARTITION BY media_id ORDER BY start_ms, side, o) - 1)::BIGINT AS seq, start_ms, dur_ms, text, speaker FROM a""")
 def _(t):
@@ -112,11 +112,17 @@ def _(t):
 
 
 @query("so08_edited_paragraphs", f"""WITH {EDIT_SQL} SELECT p.media_id, p.seq, p.start_ms, p.dur_ms, coalesce(e.e_text, p.text) AS text,
-  CASE WHEN e.media_id IS NOT NULL THEN 'Ana' ELSE p.speaker END AS speaker FROM paragraphs p LEFT JOIN ed e USING (media_id, seq)""")
+  CASE WHEN e.e_set THEN 'Ana' ELSE p.speaker END AS speaker FROM paragraphs p LEFT JOIN ed e USING (media_id, seq)""")
 def _(t):
     return P.update_paragraphs(segments(t), paragraphs(t), edits(t))[1]
 
 
+@query("so08_edit_records", f"""WITH {EDIT_SQL} SELECT p.media_id, p.start_ms, coalesce(e.e_text, p.text) AS text, CASE WHEN e.e_set THEN 'Ana' ELSE p.speaker END AS speaker
+FROM paragraphs p JOIN ed e USING (media_id, seq) WHERE coalesce(e.e_text, p.text) <> p.text OR e.e_set""")
+def _(t):
+    return P.update_paragraphs(segments(t), paragraphs(t), edits(t))[2]
+
+
 @query("jn08_overlay_edits", f"""WITH {EDIT_SQL} SELECT p.media_id, p.seq, p.start_ms, p.dur_ms,
   CASE WHEN e.media_id IS NOT NULL THEN e.e_text ELSE p.text END AS text, CASE WHEN e.media_id IS NOT NULL THEN ' Ana ' ELSE p.speaker END AS speaker
 FROM paragraphs p LEFT JOIN ed e USING (media_id, seq)""")
@@ -124,14 +130,23 @@ def _(t):
     return J.overlay_edits(paragraphs(t), edits(t).drop("seq")).select("media_id", "seq", "start_ms", "dur_ms", "text", "speaker")
 
 
+def renames(t):
+    """Two rows per name of which the later one counts, and a name renamed to itself."""
+    names = t.conversations.select(F.col("role").alias("old")).distinct()
+    new = F.when(F.col("old") == "assistant", "assistant").when(F.col("old") == "user", " Ana ").otherwise(" ")
+    return names.select("old", new.alias("new"), F.lit(2).alias("ord")).unionByName(names.select("old", F.lit("Bob").alias("new"), F.lit(1).alias("ord")))
+
+
 @query("so09_rename_speakers", f"""WITH {PARAGRAPHS_SQL},
 own AS (SELECT s.*, coalesce(p.speaker, s.speaker) AS label FROM segments s ASOF LEFT JOIN paragraphs p ON s.media_id = p.media_id AND s.start_ms >= p.start_ms)
 SELECT media_id, seq, start_ms, dur_ms, text, CASE label WHEN 'user' THEN 'Ana' WHEN 'system' THEN NULL ELSE speaker END AS speaker FROM own""")
 def _(t):
-    renames = t.conversations.where(F.col("role") != "assistant").select(F.col("role").alias("old")).distinct().withColumn(
-        "new", F.when(F.col("old") == "user", " Ana ").otherwise(" ")
-    )
-    return P.rename_speakers(segments(t), paragraphs(t), renames)[0]
+    return P.rename_speakers(segments(t), paragraphs(t), renames(t))[0]
+
+
+@query("so09_rename_records", f"""WITH {PARAGRAPHS_SQL} SELECT media_id, start_ms, text, CASE speaker WHEN 'user' THEN 'Ana' END AS speaker FROM paragraphs WHERE speaker IN ('user', 'system')""")
+def _(t):
+    return P.rename_speakers(segments(t), paragraphs(t), renames(t))[2]
 
 
 # -- summaries ---------------------------------------------------------------------------
@@ -336,7 +351,8 @@ def _(t):
 h AS (SELECT term, (length(lower(d.text)) - length(replace(lower(d.text), term, ''))) / length(term) AS n FROM documents d, terms)
 SELECT term, sum(n)::BIGINT AS n FROM h GROUP BY term""")
 def _(t):
-    terms = t.benchmark.select(F.lower(F.regexp_extract("text", "^[^ ,.]+", 0)).alias("term")).distinct()
+    first = F.lower(F.regexp_extract("text", "^[^ ,.]+", 0))
+    terms = t.benchmark.select(F.explode(F.array(first, F.concat(first, F.lit(" ")), F.lit(" "))).alias("term"))
     return Q.term_counts(t.documents, "text", terms)
 
 

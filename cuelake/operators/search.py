@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from functools import reduce
+
+import ahocorasick
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuelake.functions.arrays import posexplode_rows
-
-MAX_TERMS = 10_000
+BLOCK_TERMS = 50_000
 SEARCH_BLOCK = 16_384
 
 
@@ -40,22 +43,40 @@ def search_history(jobs: DataFrame, paragraphs: DataFrame, term: str) -> DataFra
 
 
 def term_counts(docs: DataFrame, column: str, terms: DataFrame) -> DataFrame:
-    """(term, n): literal, case-insensitive, non-overlapping counts over all rows. The term list
-    goes into the plan as one array after its size is checked, so rows are not multiplied by it
-    before counting and partial sums leave at most one row per term and task."""
-    found = [r[0] for r in terms.select("term").where(F.trim("term") != "").distinct().limit(MAX_TERMS + 1).collect()]
-    if len(found) > MAX_TERMS:
-        raise ValueError(f"at most {MAX_TERMS} terms; split the list")
-    ordered = sorted(t.strip() for t in found)
-    if not ordered:
-        return docs.select(F.lit("").alias("term"), F.lit(0).cast("bigint").alias("n")).limit(0)
-    wanted = F.array(*[F.lit(t.lower()) for t in ordered])
-    low = docs.select(F.lower(column).alias("__low")).withColumn("__size", F.length("__low"))
-    counts = F.transform(
-        wanted,
-        lambda w: ((F.col("__size") - F.length(F.replace(F.col("__low"), w, F.lit("")))) / F.length(w)).cast("bigint"),
-    )
-    hits = posexplode_rows(low.select(counts.alias("c")), [], F.col("c"), "i", "n")
-    total = hits.groupBy("i").agg(F.sum("n").cast("bigint").alias("n"))
-    names = F.array(*[F.lit(t) for t in ordered])
-    return total.select(F.get(names, F.col("i")).alias("term"), "n")
+    """(term, n): literal, case-insensitive, non-overlapping counts over all rows, per trimmed term.
+
+    A text is scanned once for all terms of a block by one automaton, which a task builds from at
+    most about BLOCK_TERMS terms; a longer list is dealt into blocks by hash and takes one scan per
+    block. Tasks give one row per term that they met, terms that nothing holds are joined back."""
+    trimmed = terms.select(F.trim("term").alias("term")).where("term <> ''").distinct()
+    blocks = max(1, -(-trimmed.count() // BLOCK_TERMS))
+    dealt = trimmed.select(F.lower("term").alias("low"), F.pmod(F.xxhash64(F.lower("term")), F.lit(blocks)).alias("blk")).distinct()
+    low = docs.select(F.lower(column).alias("low"))
+    found = []
+    for blk in range(blocks):
+        words = [r["low"] for r in dealt.where(F.col("blk") == blk).collect()]
+        if words:
+            found.append(low.mapInPandas(_counter(words), "low string, n long"))
+    if not found:
+        return trimmed.select("term", F.lit(0).cast("bigint").alias("n"))
+    total = reduce(DataFrame.unionByName, found).groupBy("low").agg(F.sum("n").alias("n"))
+    return trimmed.withColumn("low", F.lower("term")).join(total, "low", "left").select("term", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
+
+
+def _counter(words: list[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        machine = ahocorasick.Automaton()
+        for k, w in enumerate(words):
+            machine.add_word(w, (k, len(w)))
+        machine.make_automaton()
+        totals: dict[int, int] = {}
+        for batch in batches:
+            for text in batch["low"]:
+                ends: dict[int, int] = {}
+                for last, (k, size) in machine.iter(text or ""):
+                    if last - size >= ends.get(k, -1):  # begins after the last counted one of this term
+                        ends[k] = last
+                        totals[k] = totals.get(k, 0) + 1
+        yield pd.DataFrame([(words[k], n) for k, n in totals.items()], columns=["low", "n"])
+
+    return count

@@ -141,33 +141,31 @@ def speaker_names(paragraphs: DataFrame, segments: DataFrame) -> DataFrame:
 
 def update_paragraphs(
     segments: DataFrame, paragraphs: DataFrame, edits: DataFrame
-) -> tuple[DataFrame, DataFrame]:
-    """Apply edits(media_id, seq, text, speaker; null text keeps the text) to both tables.
-
-    A text change replaces the segments the paragraph owns before its end by one segment, or by
-    nothing when blank; a speaker change relabels them."""
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Apply edits(media_id, seq, text, speaker[, set_speaker]) to both tables; also the records of
+    the edits that changed something: (media_id, start_ms, text, speaker) as they are now.
+
+    A null text keeps the text. The speaker is set where ``set_speaker`` holds (a blank one clears
+    it); without that column, where a speaker is given. A text change replaces the segments that the
+    paragraph owns before its end by one segment, or by nothing when blank; a change of the speaker
+    alone relabels them. An edit that changes nothing leaves the segments as they are."""
+    sets = F.coalesce("set_speaker", F.lit(False)) if "set_speaker" in edits.columns else F.col("speaker").isNotNull()
     e = edits.select(
-        "media_id", F.col("seq").alias("owner_seq"), F.col("text").alias("e_text"),
-        F.nullif(T.trim(F.col("speaker")), F.lit("")).alias("e_speaker"),
-    )
-    p = paragraphs.join(e.withColumnRenamed("owner_seq", "seq").withColumn("hit", F.lit(True)), ["media_id", "seq"], "left")
-    hit = F.col("hit").isNotNull()
-    retext = hit & F.col("e_text").isNotNull() & (F.col("e_text") != F.col("text"))
-    p = p.withColumns(
-        {
-            "__retext": F.coalesce(retext, F.lit(False)),
-            "__end": F.col("start_ms") + F.greatest(F.col("dur_ms"), F.lit(400)),
-        }
-    )
-    new_p = p.withColumns(
-        {
-            "text": F.when(F.col("__retext"), F.col("e_text")).otherwise(F.col("text")),
-            "speaker": F.when(hit, F.col("e_speaker")).otherwise(F.col("speaker")),
-        }
-    )
-    changed = new_p.where(hit).select(
-        "media_id", F.col("seq").alias("owner_seq"), "__retext", "__end", F.col("speaker").alias("__who"),
-        F.lit(True).alias("__hit"),
+        "media_id", "seq", F.col("text").alias("e_text"), F.nullif(T.trim(F.col("speaker")), F.lit("")).alias("e_speaker"),
+        sets.alias("e_sets"), F.lit(True).alias("hit"),
+    )
+    p = paragraphs.join(e, ["media_id", "seq"], "left").withColumns({
+        "n_text": F.coalesce("e_text", "text"),
+        "n_speaker": F.when(F.coalesce("e_sets", F.lit(False)), F.col("e_speaker")).otherwise(F.col("speaker")),
+    })
+    p = p.withColumns({
+        "retext": F.col("hit").isNotNull() & ~F.col("n_text").eqNullSafe(F.col("text")),
+        "respeak": F.col("hit").isNotNull() & ~F.col("n_speaker").eqNullSafe(F.col("speaker")),
+        "end_of": F.col("start_ms") + F.greatest(F.col("dur_ms"), F.lit(400)),
+    })
+    changed = p.where("retext or respeak").select(
+        "media_id", F.col("seq").alias("owner_seq"), F.col("retext").alias("__retext"), F.col("end_of").alias("__end"),
+        F.col("n_speaker").alias("__who"), F.lit(True).alias("__hit"),
     )
     owned = own_segments(segments, paragraphs).join(changed, ["media_id", "owner_seq"], "left")
     gone = F.coalesce(F.col("__retext") & (F.col("start_ms") < F.col("__end")), F.lit(False))
@@ -176,40 +174,39 @@ def update_paragraphs(
         "media_id", F.col("seq").cast("double").alias("ord"), "start_ms", "dur_ms", "text",
         F.when(relabel, F.col("__who")).otherwise(F.col("speaker")).alias("speaker"), F.lit(1).alias("side"),
     )
-    fresh = new_p.where(F.col("__retext") & (T.trim(F.col("text")) != "")).select(
-        "media_id", F.col("seq").cast("double").alias("ord"), "start_ms", "dur_ms", "text", "speaker", F.lit(0).alias("side"),
+    fresh = p.where(F.col("retext") & (T.trim(F.col("n_text")) != "")).select(
+        "media_id", F.col("seq").cast("double").alias("ord"), "start_ms", "dur_ms", F.col("n_text").alias("text"),
+        F.col("n_speaker").alias("speaker"), F.lit(0).alias("side"),
     )
-    rows = kept.unionByName(fresh)
     out = ordered_scan(
-        rows, KEY, ["start_ms", "side", "ord"], F.floor(F.col("start_ms") / 600_000).cast("bigint"), [Scan("seq", "position")]
+        kept.unionByName(fresh), KEY, ["start_ms", "side", "ord"], F.floor(F.col("start_ms") / 600_000).cast("bigint"), [Scan("seq", "position")]
     )
+    new_p = p.withColumns({"text": F.col("n_text"), "speaker": F.col("n_speaker")})
     return (
         out.select("media_id", "seq", "start_ms", "dur_ms", "text", "speaker"),
         new_p.select(*paragraphs.columns),
+        new_p.where("retext or respeak").select("media_id", "start_ms", "text", "speaker"),
     )
 
 
 def rename_speakers(
     segments: DataFrame, paragraphs: DataFrame, renames: DataFrame
-) -> tuple[DataFrame, DataFrame]:
-    """renames(old, new): paragraphs by label, segments by their owner's label, or by their own
-    when the owner has none. A rename table is a handful of rows, so it is turned into a map
-    after its size is checked."""
-    if renames.limit(10_001).count() > 10_000:
-        raise ValueError("a rename list holds at most 10,000 names")
-    pairs = [(r["old"], (r["new"] or "").strip() or None) for r in renames.collect()]
-    mapping = F.create_map(*[F.lit(x) for pair in pairs for x in pair]) if pairs else None
-
-    def renamed(label):
-        if mapping is None:
-            return label
-        return F.when(F.map_contains_key(mapping, label), F.element_at(mapping, label)).otherwise(label)
-
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """renames(old, new[, ord]): paragraphs by label, segments by their owner's label, or by their
+    own when the owner has none; also the edit records of the renamed paragraphs. A blank new name
+    clears the label. Of several rows for one old name the last counts, by ``ord`` or as listed."""
+    at = F.col("ord") if "ord" in renames.columns else F.monotonically_increasing_id()
+    last = renames.where(F.col("old").isNotNull()).withColumn("__at", at).groupBy("old").agg(
+        F.max_by(F.struct("new"), "__at").alias("__to")
+    ).select(F.col("old").alias("__old"), F.nullif(T.trim(F.coalesce("__to.new", F.lit(""))), F.lit("")).alias("__new"), F.lit(True).alias("__hit"))
+    last = last.where(~F.col("__old").eqNullSafe(F.col("__new")))
     own = own_segments(segments, paragraphs)
     label = F.coalesce(F.nullif(F.col("owner_speaker"), F.lit("")), F.col("speaker"))
-    moved = F.when(F.map_contains_key(mapping, label), F.element_at(mapping, label)) if pairs else F.lit(None)
-    touched = F.map_contains_key(mapping, label) if pairs else F.lit(False)
+    named = F.when(F.col("__hit"), F.col("__new")).otherwise(F.col("speaker"))
+    moved = own.withColumn("__label", label).join(last, F.col("__label") == F.col("__old"), "left")
+    told = paragraphs.join(last, F.col("speaker") == F.col("__old"), "left").withColumn("speaker", named)
     return (
-        own.withColumn("speaker", F.when(F.coalesce(touched, F.lit(False)), moved).otherwise(F.col("speaker"))).select(*segments.columns),
-        paragraphs.withColumn("speaker", F.when(F.col("speaker").isNotNull(), renamed(F.col("speaker")))),
+        moved.withColumn("speaker", named).select(*segments.columns),
+        told.select(*paragraphs.columns),
+        told.where("__hit").select("media_id", "start_ms", "text", "speaker"),
     )

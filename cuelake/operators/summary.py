@@ -85,12 +85,15 @@ def sample_packs(packs: DataFrame) -> DataFrame:
         F.concat(F.array(F.lit(0).cast("bigint")), picks.cast("array<bigint>"), F.array((F.col("n") - 1).cast("bigint")))
     )).otherwise(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1))
     keep = n.select("media_id", F.explode(wanted).alias("pack"))
-    chosen = packs.join(keep, ["media_id", "pack"], "left_semi")
-    # Equal texts among a recording's chosen packs count once; at most five rows each.
-    first = Window.partitionBy("media_id", F.md5(F.col("text").cast("binary"))).orderBy("pack")
-    return chosen.withColumn("__r", F.row_number().over(first)).where(
-        (F.col("__r") == 1) | (F.col("pack") == 0)
-    ).drop("__r")
+    chosen = packs.join(keep, ["media_id", "pack"], "left_semi").join(n, "media_id")
+    # Where packs are sampled, at most five rows of a recording: a middle pack equal to one kept
+    # before it is left out, and the last one if it equals the one kept before it.
+    whole = Window.partitionBy("media_id").orderBy("pack")
+    same = Window.partitionBy("media_id", F.md5(F.col("text").cast("binary"))).orderBy("pack")
+    end = F.col("pack") == F.col("n") - 1
+    middle = chosen.withColumn("__new", (F.row_number().over(same) == 1) | end)
+    told = middle.where(F.col("__new") | (F.col("n") <= MAX_PACKS)).withColumn("__before", F.lag("text").over(whole))
+    return told.where((F.col("n") <= MAX_PACKS) | ~end | ~F.col("text").eqNullSafe(F.col("__before"))).select(*packs.columns)
 
 
 def summary_sentences(paragraphs: DataFrame) -> DataFrame:

@@ -201,8 +201,13 @@ def export_html(jobs: DataFrame, paragraphs: DataFrame, timestamps="off", speake
     )
 
 
-def export_json(jobs: DataFrame, segments: DataFrame, paragraphs: DataFrame, timestamps=True, speakers=True, summary=True) -> DataFrame:
-    """One JSON document per recording, in chunks: metadata first, then the two entry lists."""
+def export_json(
+    jobs: DataFrame, segments: DataFrame, paragraphs: DataFrame, timestamps=True, speakers=True, summary=True, per_part: int = PART_CHUNKS
+) -> DataFrame:
+    """parts(media_id, part, text): JSON documents with the metadata and the two entry lists.
+
+    A recording of at most ``per_part`` entries is one document. A longer one is several, each whole
+    JSON with the metadata; those after the first tell how many entries of each list came before."""
     upload = F.coalesce(F.col("kind") == "upload", F.lit(False))
     fields = [
         F.col("id"), F.col("source"), F.when(~upload, F.col("video_id")).alias("videoId"),
@@ -212,28 +217,31 @@ def export_json(jobs: DataFrame, segments: DataFrame, paragraphs: DataFrame, tim
     ]
     if summary:
         fields += [F.col("summary_kind").alias("summaryKind"), F.col("summary")]
-    meta = F.to_json(F.struct(*fields))
-    open_meta = F.concat(F.expr("left(__meta, length(__meta) - 1)"), F.lit(', "segments": ['))
-    head = jobs.withColumn("__meta", meta)
 
-    def entry(df: DataFrame, first: int) -> DataFrame:
-        parts = []
+    def entries(df: DataFrame, side: int) -> DataFrame:
+        shown = []
         if timestamps:
-            parts += [(F.col("start_ms") / 1000).alias("start"), (F.col("dur_ms") / 1000).alias("duration")]
-        parts.append(F.col("text"))
+            shown += [(F.col("start_ms") / 1000).alias("start"), (F.col("dur_ms") / 1000).alias("duration")]
+        shown.append(F.col("text"))
         if speakers:
-            parts.append(_spoken(True).alias("speaker"))
-        return _body(
-            df, F.concat(F.when(F.col("seq") > 0, ", ").otherwise(""), F.to_json(F.struct(*parts))), first
-        )
-
-    middle = 1 << 59
-    between = jobs.select(
-        "media_id", F.lit(middle).cast("bigint").alias("ord"), F.lit('], "paragraphs": [').alias("chunk")
+            shown.append(_spoken(True).alias("speaker"))
+        return df.select("media_id", F.lit(side).alias("side"), "seq", F.to_json(F.struct(*shown)).alias("entry"))
+
+    rows = entries(segments, 0).unionByName(entries(paragraphs, 1))
+    block = (F.col("side") * (1 << 40) + F.floor(F.col("seq") / 65_536)).cast("bigint")
+    at = ordered_scan(rows, ["media_id"], ["side", "seq"], block, [Scan("__n", "position"), Scan("__seg", "sum_before", (1 - F.col("side")).cast("bigint"))])
+    lists = at.groupBy("media_id", F.floor(F.col("__n") / per_part).cast("bigint").alias("part")).agg(
+        *[F.array_sort(F.collect_list(F.when(F.col("side") == k, F.struct("seq", "entry")))).alias(f"l{k}") for k in (0, 1)],
+        F.min("__seg").alias("before0"), F.min("__n").alias("before"),
     )
-    return (
-        _head(head, open_meta).unionByName(entry(segments, 1)).unionByName(between)
-        .unionByName(entry(paragraphs, middle + 1)).unionByName(_tail(jobs, F.lit("]}\n")))
+    part = F.coalesce("part", F.lit(0).cast("bigint"))
+    later = [F.when(part > 0, c).alias(n) for c, n in (
+        (part, "part"), (F.col("before0"), "segmentsBefore"), (F.col("before") - F.col("before0"), "paragraphsBefore"))]
+    text = lambda c: F.array_join(F.transform(F.coalesce(c, F.array().cast("array<struct<seq:bigint,entry:string>>")), lambda x: x["entry"]), ", ")
+    whole = jobs.join(lists, "media_id", "left").withColumn("__meta", F.to_json(F.struct(*fields, *later)))
+    return whole.select(
+        "media_id", part.alias("part"),
+        F.concat(F.expr("left(__meta, length(__meta) - 1)"), F.lit(', "segments": ['), text("l0"), F.lit('], "paragraphs": ['), text("l1"), F.lit("]}\n")).alias("text"),
     )
 
 
