@@ -6,7 +6,8 @@ state left open by a block is carried into the next one: all blocks first run wi
 carried state, then only the blocks whose carried state changed run again, until no carry
 changes. Carries usually settle in the second round because an item closes and the next
 starts from its own cue alone; in the worst case rounds follow the blocks one by one, which
-is still exact. Keys with a single block take one pass.
+is still exact. What the last block of a key leaves open is asked by nobody, so a key of one block
+is folded once.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuelake.operators import cuetext as C
-from cuelake.session import cut_lineage
+from cuelake.session import cut_lineage, stage_table
 
 # Cues of one key folded by one task.
 FOLD_ROWS = 16_384
@@ -74,13 +75,6 @@ def block_fold(
             out.insert(0, name, key[at])
         return out
 
-    if source.where("__blk > 0").select("__blk").limit(1).isEmpty():
-
-        def whole(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            return frame(key, run(pdf, None, True)[0])
-
-        return source.groupBy(*keys, "__blk").applyInPandas(whole, f"{key_ddl}, {emits}")
-
     def states(key: tuple, rows: pd.DataFrame, carry: pd.DataFrame) -> pd.DataFrame:
         given = carry["state_in"].iloc[0] if len(carry) else None
         _, left = run(rows, given, False)
@@ -101,11 +95,13 @@ def block_fold(
             F.lead("__blk").over(along).isNull().alias("is_last"),
             F.lit(None).cast("string").alias("state_in"),
             F.lit(None).cast("string").alias("state_out"),
-            F.lit(True).alias("stale"),
-        )
+        ).withColumn("stale", ~F.col("is_last"))  # nobody reads what the last block leaves open
     )
     state_ddl = f"{key_ddl}, __blk BIGINT, state_in STRING, state_out STRING"
+    staged = False
     while not known.where("stale").select("__blk").limit(1).isEmpty():
+        if not staged:  # several rounds read the rows again
+            source, staged = stage_table(source, "fold_rows"), True
         stale = known.where("stale").select(*at, "state_in")
         fresh = (
             source.join(stale.select(*at), at, "left_semi")
@@ -122,7 +118,7 @@ def block_fold(
         known = cut_lineage(
             merged.select(
                 *at, "is_last", given.alias("state_in"), "state_out",
-                (~given.eqNullSafe(F.col("state_in"))).alias("stale"),
+                (~given.eqNullSafe(F.col("state_in")) & ~F.col("is_last")).alias("stale"),
             )
         )
     return (

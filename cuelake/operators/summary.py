@@ -44,18 +44,18 @@ def body_prefix(paragraphs: DataFrame, limit: int = BODY_CHARS) -> DataFrame:
 
 
 class _Packs:
-    """Greedy packs by length. State: pack number, length so far, whether it holds a line."""
+    """Greedy packs by length: does a line open the next pack? State: length so far, whether it holds
+    a line. The number of the pack stays out of the state, which would never settle with it."""
 
     def __init__(self) -> None:
-        self.state: list = [0, 0, False]
+        self.state: list = [0, False]
 
     def push(self, row: tuple) -> Iterable[tuple]:
         seq, size = row
-        pack, used, filled = self.state
-        if used + size > PACK_CHARS and filled:
-            pack, used = pack + 1, 0
-        self.state = [pack, used + size + 1, True]
-        return [(seq, pack)]
+        used, filled = self.state
+        opens = filled and used + size > PACK_CHARS
+        self.state = [(0 if opens else used) + size + 1, True]
+        return [(seq, int(opens))]
 
     def finish(self) -> Iterable[tuple]:
         return []
@@ -64,9 +64,8 @@ class _Packs:
 def pack_lines(paragraphs: DataFrame, fold_rows: int = FOLD_ROWS) -> DataFrame:
     """packs(media_id, pack, text): consecutive lines in packs of about 7,000 characters."""
     line = paragraphs.withColumn("line", spoken_line()).withColumn("size", F.length("line").cast("bigint"))
-    packs = block_fold(
-        line, KEY, ["seq"], row_block(rows=fold_rows), ["seq", "size"], _Packs, "seq BIGINT, pack BIGINT"
-    )
+    opens = block_fold(line, KEY, ["seq"], row_block(rows=fold_rows), ["seq", "size"], _Packs, "seq BIGINT, opens BIGINT")
+    packs = ordered_scan(opens, KEY, ["seq"], row_block(), [Scan("pack", "sum", F.col("opens"))])
     lines = F.array_sort(F.collect_list(F.struct("seq", "line")))
     return line.join(packs, ["media_id", "seq"]).groupBy("media_id", "pack").agg(
         F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("text")

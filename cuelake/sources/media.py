@@ -105,18 +105,19 @@ def fingerprint_files(files: DataFrame) -> DataFrame:
 
 
 def resume_gate(picked: DataFrame, jobs: DataFrame) -> DataFrame:
-    """Does the file offered for a job match it? Reason: fingerprint, duration, dimensions."""
-    p = picked.select(
-        "job_id", F.col("fingerprint").alias("p_fingerprint"), F.col("duration_sec").alias("p_duration"),
-        F.col("width").alias("p_width"), F.col("height").alias("p_height"),
-    )
+    """Does the file offered for a job match it? Reason: fingerprint, file (size or time), duration,
+    dimensions. A value that one side lacks does not match; size and time are compared where both
+    tables have them as columns."""
+    optional = [c for c in ("size_bytes", "modified_ms") if c in picked.columns and c in jobs.columns]
+    names = ["fingerprint", "duration_sec", "width", "height", *optional]
+    p = picked.select("job_id", *[F.col(c).alias(f"p_{c}") for c in names])
+    other = lambda c: ~F.col(c).eqNullSafe(F.col(f"p_{c}")) | F.col(c).isNull()
+    near = F.coalesce(F.abs(F.col("duration_sec") - F.col("p_duration_sec")) <= 0.1, F.lit(False))
+    reason = F.when(other("fingerprint"), "fingerprint")
+    for c in optional:
+        reason = reason.when(other(c), "file")
     return jobs.join(p, "job_id", "inner").select(
-        "job_id",
-        F.when(F.col("fingerprint") != F.col("p_fingerprint"), "fingerprint")
-        .when(F.abs(F.col("duration_sec") - F.col("p_duration")) > 0.1, "duration")
-        .when(
-            (F.col("width") != F.col("p_width")) | (F.col("height") != F.col("p_height")), "dimensions"
-        ).alias("mismatch"),
+        "job_id", reason.when(~near, "duration").when(other("width") | other("height"), "dimensions").alias("mismatch")
     )
 
 

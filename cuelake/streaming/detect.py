@@ -1,7 +1,8 @@
 """Frame detection as a stream: state per recording survives restarts through the checkpoint.
 
-Rows of a recording arrive in time order per trigger; a row not later than the last one seen is
-late and dropped, because the machine cannot go back. Splitting a hot recording is left to the
+All rows of a recording in a trigger are ordered by time before they are taken. A row not later
+than the last one of an earlier trigger cannot be decided any more, because the machine cannot go
+back; it is returned with the kind "late" instead of being lost, and a repeated one likewise. Splitting a hot recording is left to the
 batch job, which folds it in blocks: a stream keeps one state per recording by definition."""
 
 from __future__ import annotations
@@ -26,9 +27,11 @@ def detect_stream(frames: DataFrame, grid: Grid = Grid()) -> DataFrame:
             cursor, dumped = state.get
             machine.load(json.loads(dumped))
         out = []
-        for pdf in batches:
-            for r in pdf.sort_values("t_ms").itertuples():
+        parts = list(batches)
+        if parts:
+            for r in pd.concat(parts).sort_values("t_ms", kind="stable").itertuples():
                 if r.t_ms <= cursor:
+                    out.append((key[0], float(r.t_ms), "late", None, False))
                     continue
                 cursor = float(r.t_ms)
                 out.append((key[0], cursor, *machine.decide(image(r.pixels, r.width, r.height), cursor)))
