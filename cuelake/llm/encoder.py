@@ -5,13 +5,13 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 
 # Positions that every pre-tokenizer of the GPT-2 pattern splits at: a single space between two
 # characters that are not white space. The space belongs to what follows it.
 _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-_SPACE_BESIDE_SPACE = re.compile(r"(?: \s|\s )")
 _FIRST = "\x00"
 
 
@@ -43,17 +43,26 @@ class Encoder:
         self.pool = np.empty(1 << 16, np.uint32)
         self.starts = np.empty(1 << 14, np.int64)
         self.lengths = np.empty(1 << 14, np.int64)
+        self.beside = np.empty(1 << 14, bool)
 
     def pieces(self, text: str) -> list[str]:
+        """Pieces cut at every space. With spaces kept, that is wrong for a text that has a space
+        beside white space; `_beside` marks the pieces that show it."""
         if not self.keeps_spaces:
             return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        if _SPACE_BESIDE_SPACE.search(text) is None and text[:1] != " " and text[-1:] != " ":
-            out = text.split(" ")
-        else:
-            out = _SAFE_SPACE.split(text)
+        out = text.split(" ")
+        out[0] = _FIRST + out[0]
+        return out
+
+    def safe_pieces(self, text: str) -> list[str]:
+        out = _SAFE_SPACE.split(text)
         out[0] = _FIRST + out[0]
         return out
 
+    def _beside(self, piece: str) -> bool:
+        piece = piece.removeprefix(_FIRST)
+        return self.keeps_spaces and (not piece or piece[0].isspace() or piece[-1].isspace())
+
     def _encode_apart(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of many short texts. A tokenizer cuts a text at its special tokens before all else,
         so texts joined by one are encoded apart in a single call, and its id tells where each ends."""
@@ -78,43 +87,53 @@ class Encoder:
         while first + n > len(self.starts):
             self.starts = np.concatenate([self.starts, np.empty_like(self.starts)])
             self.lengths = np.concatenate([self.lengths, np.empty_like(self.lengths)])
+            self.beside = np.concatenate([self.beside, np.empty_like(self.beside)])
         while self.used + len(flat) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
         self.pool[self.used : self.used + len(flat)] = flat
         self.starts[first : first + n] = self.used + np.cumsum(lengths) - lengths
         self.lengths[first : first + n] = lengths
+        self.beside[first : first + n] = list(map(self._beside, new))
         self.used += len(flat)
-        for k, p in enumerate(new):
-            self.slot[p] = first + k
-            self.chars += len(p)
+        self.slot.update(zip(new, range(first, first + n)))
+        self.chars += sum(map(len, new))
+
+    def _slots(self, pieces: list[str]) -> np.ndarray:
+        slots = np.fromiter(map(self.slot.get, pieces, repeat(-1)), np.int64, len(pieces))
+        unknown = np.flatnonzero(slots < 0)
+        if len(unknown):
+            missing = [pieces[k] for k in unknown.tolist()]
+            self._learn(list(dict.fromkeys(missing)))
+            slots[unknown] = list(map(self.slot.__getitem__, missing))
+        return slots
+
+    def _join(self, slots: np.ndarray) -> np.ndarray:
+        lengths = self.lengths[slots]
+        ends = np.cumsum(lengths)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.pool[np.repeat(self.starts[slots] - (ends - lengths), lengths) + np.arange(total)]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in one array, and the number of ids of each text."""
         if self.chars > self.most_chars:
             self._forget()
         # a text with the marker character of first pieces is encoded as it is, in one piece
-        split = [self.pieces(t) if _FIRST not in t else None for t in texts]
-        flat = [p for parts in split if parts is not None for p in parts]
-        missing = list(dict.fromkeys(p for p in flat if p not in self.slot))
-        if missing:
-            self._learn(missing)
-        slots = np.fromiter(map(self.slot.__getitem__, flat), np.int64, len(flat))
-        lengths = self.lengths[slots]
-        ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.pool[np.repeat(self.starts[slots] - (ends - lengths), lengths) + np.arange(total)]
-        per_text = np.zeros(len(texts), np.int64)
-        counts = np.array([len(parts) if parts is not None else 0 for parts in split], np.int64)
-        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
-        per_text[:] = np.diff(bounds)
-        odd = [k for k, parts in enumerate(split) if parts is None]
-        if odd:
-            arrays = np.split(ids, bounds[1:-1]) if len(texts) > 1 else [ids]
-            for k, e in zip(odd, self.tokenizer.encode_batch_fast([texts[k] for k in odd], add_special_tokens=False)):
-                arrays[k] = np.array(e.ids, np.uint32)
-                per_text[k] = len(e.ids)
-            ids = np.concatenate(arrays)
-        return ids, per_text
+        whole = [k for k, t in enumerate(texts) if _FIRST in t]
+        split = [self.pieces("" if _FIRST in t else t) for t in texts]
+        slots = self._slots([p for parts in split for p in parts])
+        bounds = np.concatenate([[0], np.cumsum([len(parts) for parts in split])])
+        odd = np.logical_or.reduceat(self.beside[slots], bounds[:-1]) if self.keeps_spaces else np.zeros(len(texts), bool)
+        again = {k: self._join(self._slots(self.safe_pieces(texts[k]))) for k in np.flatnonzero(odd).tolist() if _FIRST not in texts[k]}
+        for k, e in zip(whole, self.tokenizer.encode_batch_fast([texts[k] for k in whole], add_special_tokens=False)):
+            again[k] = np.array(e.ids, np.uint32)
+        counts = np.add.reduceat(self.lengths[slots], bounds[:-1])
+        ids = self._join(slots)
+        if again:
+            parts = np.split(ids, np.cumsum(counts)[:-1])
+            for k, own in again.items():
+                parts[k], counts[k] = own, len(own)
+            ids = np.concatenate(parts)
+        return ids, counts
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
