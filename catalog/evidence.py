@@ -8,6 +8,7 @@ from catalog import sqltext as S
 from catalog.adapters import staged
 from catalog.base import query
 from cuelake.functions import cost as M
+from cuelake.functions.arrays import overlay_map
 from cuelake.functions.checks import valid_corners
 from cuelake.operators import joins as J
 from cuelake.operators import ledger as L
@@ -292,7 +293,7 @@ def _(t):
 
 @query("flt18_eligible_states", "SELECT doc_id AS state_id FROM documents WHERE source <> 'src2'")
 def _(t):
-    return states(t).where(F.col("status") != "excluded").select("state_id")
+    return D.eligible_states(states(t)).select("state_id")
 
 
 @query("jn15_approved_prefix", """SELECT doc_id AS state_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM documents b WHERE b.doc_id // 50 = d.doc_id // 50 AND b.doc_id <= d.doc_id AND b.source = 'src5')""")
@@ -303,11 +304,11 @@ def _(t):
 
 @query("ag13_selected_totals", """SELECT doc_id // 50 AS media_id, count(*)::BIGINT AS crops, round(sum((1500 + ceil(n_chars * 1000 / 1000000 * 3000)) * 2 + 4096 * 10) / 1000000 * 1.25, 4)::DOUBLE AS estimate FROM documents WHERE source <> 'src2' GROUP BY 1""")
 def _(t):
-    c = D.representative_crops(states(t).where(F.col("status") != "excluded"), crops(t)).join(
+    c = D.representative_crops(D.eligible_states(states(t)), crops(t)).join(
         t.documents.select(F.col("doc_id").alias("state_id"), "n_chars"), "state_id")
     e = M.operation_estimate(F.col("n_chars"), F.lit(1000), F.lit(3000), F.lit(4096), F.lit(8192), F.lit(2.0), F.lit(10.0), F.lit(0.25))
-    return c.groupBy(F.floor(F.col("state_id") / 50).cast("bigint").alias("media_id")).agg(
-        F.count(F.lit(1)).alias("crops"), F.round(F.sum(L.money(e)).cast("double"), 4).alias("estimate"))
+    rows = c.select(F.floor(F.col("state_id") / 50).cast("bigint").alias("media_id"), L.money(e).alias("estimate"))
+    return D.selected_totals(rows).withColumn("estimate", F.round(F.col("estimate").cast("double"), 4))
 
 
 @query("ag14_completion_status", """SELECT doc_id // 50 AS media_id, CASE WHEN min(doc_id) % 100 = 0 AND bool_and(source <> 'src5') THEN 'completed' ELSE 'review' END AS status FROM documents GROUP BY 1""")
@@ -330,7 +331,7 @@ def _(t):
 @query("so06_flag_sets", """SELECT doc_id, CASE WHEN lang = 'en' THEN 'boundary-uncertain,unreadable' ELSE 'boundary-uncertain,' || source || ',unreadable' END AS flags FROM documents""")
 def _(t):
     have = F.array(F.lit("boundary-uncertain"), F.when(F.col("lang") == "en", "incomplete").otherwise(F.col("source")), F.lit("dynamic"))
-    out = F.array_except(F.array_union(have, F.array(F.lit("unreadable"), F.lit("dynamic"))), F.array(F.lit("incomplete"), F.lit("dynamic")))
+    out = D.update_flags(have, F.array(F.lit("unreadable"), F.lit("dynamic")), F.array(F.lit("incomplete"), F.lit("dynamic")))
     return t.documents.select("doc_id", F.array_join(out, ",").alias("flags"))
 
 
@@ -338,7 +339,7 @@ def _(t):
 def _(t):
     base = F.create_map(F.lit("k"), F.lit("old"), F.lit("j"), F.col("source"))
     over = F.when(F.col("lang") == "en", F.create_map(F.lit("k"), F.lit("new"))).otherwise(F.create_map().cast("map<string,string>"))
-    merged = F.map_concat(F.map_filter(base, lambda k, v: ~F.map_contains_key(over, k)), over)
+    merged = overlay_map(base, over)
     return t.documents.select("doc_id", F.element_at(merged, "k").alias("value"), F.size(merged).alias("n"))
 
 

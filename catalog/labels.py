@@ -14,6 +14,8 @@ from cuelake.operators import search as Q
 from cuelake.operators import speakers as P
 from cuelake.operators import summary as U
 from cuelake.operators import tracks as R
+from cuelake.operators.paragraphs import extent, spoken
+from cuelake.plans.clean import mark_share
 
 # -- speakers ----------------------------------------------------------------------------
 
@@ -80,10 +82,8 @@ def _(t):
   avg(CASE WHEN role = 'user' THEN 1.0 ELSE 0.0 END) >= 0.35 AS decoration FROM conversations GROUP BY 1""")
 def _(t):
     marked = F.when(F.col("role") == "user", F.concat(F.lit(" >> "), "text")).otherwise(F.col("text"))
-    lead = F.regexp_like(T.trim(marked), F.lit("^(?:>>|»)")).cast("double")
-    return t.conversations.groupBy(F.col("conv_id").alias("media_id")).agg(
-        F.round(F.avg(lead), 6).alias("share"), (F.avg(lead) >= 0.35).alias("decoration")
-    )
+    cues = t.conversations.select(F.col("conv_id").alias("media_id"), marked.alias("text"))
+    return mark_share(cues).withColumn("share", F.round("share", 6))
 
 
 EDIT_SQL = PARAGRAPHS_SQL + """,
@@ -227,10 +227,7 @@ def _(t):
 
 @query("tk08_opening_sample", f"""WITH {PARAGRAPHS_SQL} SELECT media_id, string_agg(text, ' ' ORDER BY seq) AS sample FROM paragraphs WHERE seq < 12 GROUP BY 1""")
 def _(t):
-    first = paragraphs(t).where(F.col("seq") < 12)
-    return first.groupBy("media_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), " ").alias("sample")
-    )
+    return U.opening_sample(paragraphs(t))
 
 
 # -- tracks ------------------------------------------------------------------------------
@@ -332,7 +329,7 @@ def _(t):
 
 @query("flt02_blank_text", f"SELECT doc_id, count(*)::BIGINT AS kept FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '\\n')) AS l FROM documents) WHERE {S.trim('l')} <> '' GROUP BY 1")
 def _(t):
-    return doc_paragraphs(t).where(T.trim(F.col("text")) != "").groupBy(F.col("media_id").alias("doc_id")).agg(F.count(F.lit(1)).alias("kept"))
+    return spoken(doc_paragraphs(t)).groupBy(F.col("media_id").alias("doc_id")).agg(F.count(F.lit(1)).alias("kept"))
 
 
 @query("flt04_paragraph_search", f"WITH {PARAGRAPHS_SQL} SELECT media_id, seq, text FROM paragraphs WHERE contains(lower(text), 'tion') OR contains(lower(coalesce(speaker, '')), 'tion')")
@@ -364,4 +361,4 @@ def _(t):
 
 @query("ag06_duration_count", f"WITH {SEGMENTS_SQL} SELECT media_id, max(start_ms + dur_ms)::BIGINT AS duration_ms, count(*)::BIGINT AS segment_count FROM segments GROUP BY 1")
 def _(t):
-    return segments(t).groupBy("media_id").agg(F.max(F.col("start_ms") + F.col("dur_ms")).alias("duration_ms"), F.count(F.lit(1)).alias("segment_count"))
+    return extent(segments(t))

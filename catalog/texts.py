@@ -10,6 +10,7 @@ from catalog.base import query
 from cuelake.functions import clock as K
 from cuelake.functions import text as T
 from cuelake.functions.arrays import posexplode_rows
+from cuelake.operators.chunks import similarity
 from cuelake.operators.ordered import Scan, ordered_scan, row_block
 from cuelake.sources.links import canonicalize_links
 
@@ -199,13 +200,7 @@ SELECT media_id, seq, round(CASE WHEN x = '' OR y = '' THEN 0.0 WHEN x = y THEN
   ELSE 1.0 - levenshtein(x, y)::DOUBLE / greatest(length(x), length(y)) END, 6) AS similarity FROM o""")
 def _(t):
     x, y = T.fold_key(F.col("a")), T.fold_key(F.col("b"))
-    ratio = 1 - F.levenshtein(x, y) / F.greatest(F.length(x), F.length(y))
-    return pairs(t).select(
-        "media_id", "seq",
-        F.round(F.when((x == "") | (y == ""), 0.0).when(x == y, 1.0).otherwise(ratio), 6).alias(
-            "similarity"
-        ),
-    )
+    return pairs(t).select("media_id", "seq", F.round(similarity(x, y), 6).alias("similarity"))
 
 
 # -- speakers ----------------------------------------------------------------------------
@@ -318,7 +313,9 @@ def _(t):
     return t.documents.select("doc_id", T.shorten_point(line).alias("point"))
 
 
-@query("str20_split_sentences")
+@query("str20_split_sentences", f"""WITH c AS (SELECT doc_id, regexp_replace(regexp_replace({S.strip_noise('text')}, '([{T.SENTENCE_MARKS}])[{S.SP}]+', '\\1' || chr(1), 'g'), '((?:니다|까요|세요|죠))[{S.SP}]+', '\\1' || chr(1), 'g') AS x FROM documents),
+p AS (SELECT doc_id, list_filter(list_transform(string_split(x, chr(1)), lambda s: {S.trim('s')}), lambda s: length(s) >= 10) AS parts FROM c)
+SELECT doc_id, (i - 1)::INT AS pos, parts[i] AS sentence FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM p)""")
 def _(t):
     return posexplode_rows(t.documents, ["doc_id"], T.split_sentences(F.col("text")), "pos", "sentence")
 

@@ -15,3 +15,8 @@ def posexplode_rows(
     evaluating a costly array expression again in an inferred filter below the generator."""
     out = df.select(*keep, F.posexplode_outer(array).alias(pos, item))
     return out.where(F.col(pos).isNotNull())
+
+
+def overlay_map(base: Column, over: Column) -> Column:
+    """Both maps in one; where both have a key, the value of the second."""
+    return F.map_concat(F.map_filter(base, lambda k, v: ~F.map_contains_key(over, k)), over)

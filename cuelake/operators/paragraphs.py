@@ -64,6 +64,18 @@ def window_paragraphs(segments: DataFrame) -> DataFrame:
     ).select("media_id", F.col("p_seq").alias("seq"), "start_ms", "dur_ms", "text", "speaker")
 
 
+def extent(segments: DataFrame) -> DataFrame:
+    """End of the last segment and number of segments per recording."""
+    return segments.groupBy("media_id").agg(
+        F.max(F.col("start_ms") + F.col("dur_ms")).alias("duration_ms"), F.count(F.lit(1)).alias("segment_count")
+    )
+
+
+def spoken(paragraphs: DataFrame) -> DataFrame:
+    """Paragraphs that say something."""
+    return paragraphs.where(T.trim(F.col("text")) != "")
+
+
 def reading_stats(paragraphs: DataFrame, by: list[str]) -> DataFrame:
     """Words, Korean syllables and paragraphs per group; partial sums make it skew-safe."""
     return paragraphs.groupBy(*by).agg(

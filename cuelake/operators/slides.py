@@ -15,6 +15,21 @@ TEXTLESS = "[Audit: textless source region]"
 PENDING = "[Audit: extraction pending/incomplete]"
 
 
+def eligible_states(states: DataFrame) -> DataFrame:
+    """States that extraction may read: all that nobody excluded."""
+    return states.where(F.col("status") != "excluded")
+
+
+def update_flags(flags: Column, add: Column, drop: Column) -> Column:
+    """A state's flags with some added and then some dropped, each once, in the order they came."""
+    return F.array_except(F.array_union(flags, add), drop)
+
+
+def selected_totals(estimates: DataFrame) -> DataFrame:
+    """estimates(media_id, estimate), one row per chosen crop, to their number and exact sum."""
+    return estimates.groupBy("media_id").agg(F.count(F.lit(1)).alias("crops"), F.sum("estimate").alias("estimate"))
+
+
 def representative_crops(states: DataFrame, crops: DataFrame) -> DataFrame:
     """Crops of each state's representative evidence."""
     s = states.select("state_id", F.col("representative_id").alias("evidence_id"))

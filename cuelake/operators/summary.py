@@ -29,6 +29,14 @@ def summary_input(paragraphs: DataFrame) -> DataFrame:
     )
 
 
+def opening_sample(paragraphs: DataFrame, lines: int = 12) -> DataFrame:
+    """The first lines of a recording as one text, which its language is told from."""
+    first = F.array_sort(F.collect_list(F.struct("seq", "text")))  # at most `lines` rows of a recording
+    return paragraphs.where(F.col("seq") < lines).groupBy("media_id").agg(
+        F.array_join(F.transform(first, lambda x: x["text"]), " ").alias("sample")
+    )
+
+
 def spoken_line() -> Column:
     who = F.nullif(F.col("speaker"), F.lit(""))
     return F.concat(F.when(who.isNotNull(), F.concat(who, F.lit(": "))).otherwise(""), "text")

@@ -50,13 +50,16 @@ def collapse_rolling(segments: DataFrame, fold_rows: int = FOLD_ROWS) -> DataFra
     )
 
 
+def mark_share(cues: DataFrame) -> DataFrame:
+    """share of a recording's cues that start with a mark, and whether marks are decoration there."""
+    lead = F.regexp_like(T.trim(F.col("text")), F.lit("^(?:>>|»)")).cast("double")
+    return cues.groupBy("media_id").agg(F.avg(lead).alias("share")).withColumn("decoration", F.col("share") >= FREQUENT_LEAD)
+
+
 def explode_speaker_marks(cues: DataFrame) -> DataFrame:
     """Split cues at ``>>`` or ``»`` and lift ``Name:`` prefixes; a recording where at least
     35 % of cues start with a mark uses marks as decoration, so there they do not turn."""
-    lead = F.regexp_like(T.trim(F.col("text")), F.lit("^(?:>>|»)"))
-    share = cues.groupBy("media_id").agg(
-        (F.avg(lead.cast("double")) >= FREQUENT_LEAD).alias("frequent")
-    )
+    share = mark_share(cues).select("media_id", F.col("decoration").alias("frequent"))
     base = attach_key_values(cues, KEY, row_block(), share).withColumn(
         "raw", T.squash(F.replace("text", F.lit(" "), F.lit(" ")))
     ).withColumn("stripped", T.strip_leading_marks(F.col("raw")))
