@@ -51,23 +51,31 @@ def questions(t):
 _SIZE = f"length(regexp_replace(text, '[{S.SP}]+', '', 'g'))"
 
 
-@query("wn06_label_interview", f"""WITH RECURSIVE {PARAGRAPHS_SQL},
-q AS (SELECT media_id, seq, CASE WHEN dur_ms < 3000 THEN text || '?' ELSE text END AS text, CASE WHEN speaker = 'system' THEN speaker END AS sp FROM paragraphs),
+_ROLES_SQL = f"""q AS (SELECT media_id, seq, start_ms, dur_ms, CASE WHEN dur_ms < 3000 THEN text || '?' ELSE text END AS text, CASE WHEN speaker = 'system' THEN speaker END AS sp FROM paragraphs),
 f AS (SELECT media_id, seq, sp, {S.question('text')} AS asks, {_SIZE} > 24 AS lng, {_SIZE} < 14 AS brief FROM q),
 r AS (SELECT media_id, seq, CASE WHEN sp IS NOT NULL THEN sp WHEN asks THEN 'Ana' WHEN lng THEN 'Ben' ELSE 'Ana' END AS role FROM f WHERE seq = 0
   UNION ALL SELECT f.media_id, f.seq, CASE WHEN f.sp IS NOT NULL THEN f.sp WHEN f.asks THEN 'Ana' WHEN f.lng AND r.role = 'Ana' THEN 'Ben'
-    WHEN f.brief AND r.role = 'Ben' THEN 'Ana' ELSE r.role END FROM r JOIN f ON f.media_id = r.media_id AND f.seq = r.seq + 1)
-SELECT media_id, seq, role AS speaker FROM r""")
+    WHEN f.brief AND r.role = 'Ben' THEN 'Ana' ELSE r.role END FROM r JOIN f ON f.media_id = r.media_id AND f.seq = r.seq + 1)"""
+
+
+@query("wn06_label_interview", f"WITH RECURSIVE {PARAGRAPHS_SQL}, {_ROLES_SQL} SELECT media_id, seq, role AS speaker FROM r")
 def _(t):
     return P.label_interview(P.with_names(questions(t), names(t, "Ana", "Ben"))).select("media_id", "seq", "speaker")
 
 
-@query("finish_job_labels")
+@query("finish_job_labels", f"""WITH RECURSIVE {PARAGRAPHS_SQL}, {_ROLES_SQL},
+kd AS (SELECT conv_id AS media_id, role <> 'system' AS talk FROM conversations WHERE turn = 0),
+ht AS (SELECT DISTINCT media_id FROM paragraphs WHERE media_id % 2 = 0 AND start_ms // 1000 % 2 = 0),
+tu AS (SELECT media_id, seq, last_value(CASE WHEN start_ms // 1000 % 2 = 0 THEN 'Ben' ELSE sp END IGNORE NULLS) OVER (PARTITION BY media_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS told FROM q),
+o AS (SELECT q.media_id, q.seq, q.start_ms, q.dur_ms, CASE WHEN NOT kd.talk THEN q.sp WHEN ht.media_id IS NOT NULL THEN tu.told ELSE r.role END AS speaker
+  FROM q JOIN kd USING (media_id) LEFT JOIN ht USING (media_id) JOIN tu USING (media_id, seq) JOIN r USING (media_id, seq))
+SELECT s.media_id, s.seq, s.start_ms, s.dur_ms, s.text, CASE WHEN s.speaker IS NOT NULL AND NOT regexp_matches(s.speaker, '^[A-Za-z]$') THEN s.speaker
+  ELSE coalesce((SELECT arg_min(o.speaker, o.seq) FROM o WHERE o.speaker IS NOT NULL AND o.media_id = s.media_id AND o.start_ms - 50 <= s.start_ms AND s.start_ms <= o.start_ms + o.dur_ms + 150), s.speaker) END AS speaker FROM segments s""")
 def _(t):
     kinds = t.conversations.where(F.col("turn") == 0).select(
         F.col("conv_id").alias("media_id"), F.when(F.col("role") == "system", "general").otherwise("interview").alias("kind"),
         F.lit("- Ana: hello\n- Ben: hi").alias("summary"), F.array().cast("array<string>").alias("speakers"))
-    return P.finish_labels(segments(t), questions(t), kinds, turns(t).where(F.col("media_id") < 0))[0]
+    return P.finish_labels(segments(t), questions(t), kinds, turns(t).where(F.col("media_id") % 2 == 0))[0]
 
 
 @query("ag07_speaker_names", f"""WITH {PARAGRAPHS_SQL}, a AS (SELECT media_id, speaker, 0 AS side, seq FROM paragraphs WHERE speaker IS NOT NULL
