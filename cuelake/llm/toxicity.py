@@ -171,7 +171,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: in
     if not all_toxic:
         return Model()
     q = all_toxic / max(1, all_toxic + all_clean)
-    least = math.log(max(2, len(tried))) + 3.0
+    least = math.log(max(2, len(tried)))
     weights = {}
     for term, t in tried.items():
         c = clean.get(term, 0)
