@@ -50,6 +50,9 @@ ASIDE_WORDS = {
     "promoted", "promotion", "recommended", "related", "replies", "reply", "respond", "search", "share", "sharing", "sidebar", "signup",
     "social", "sponsor", "sponsored", "subscribe", "subscription", "teaser", "toolbar", "topbar", "widget",
 }
+# Words that turn such a name into one of a wrapper, a state or a title.
+WRAPPER_WORDS = {"content", "article", "with", "without", "no", "has", "open", "closed", "enabled", "disabled", "layout"}
+TITLE_WORDS = {"post", "entry", "story", "title", "page", "heading"}
 CONTENT_ELEMENTS = {"article", "main"}
 CRUMB = 8
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
@@ -96,9 +99,11 @@ def says_aside(name: str, attributes: str, inside: bool) -> bool:
         value = next((g for g in found.groups() if g is not None), "")
         for token in value.split():
             words = [w.lower() for w in _WORDS.findall(token)]
-            # a wrapper named after its place (`content-with-sidebar`) is not that place
-            if words and "content" not in words and "article" not in words and "with" not in words and "no" not in words and ASIDE_WORDS.intersection(words):
-                return name not in ("html", "body") and name not in HEADINGS
+            named = ASIDE_WORDS.intersection(words)
+            # a wrapper named after its place (`content-with-sidebar`) or state (`comments-open`) is not that thing
+            if not named or WRAPPER_WORDS.intersection(words) or (named == {"header"} and TITLE_WORDS.intersection(words)):
+                continue
+            return name not in ("html", "body") and name not in HEADINGS
     return False
 
 

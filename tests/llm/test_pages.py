@@ -24,6 +24,8 @@ def test_article_of_a_page():
     (None, ""), ("", ""), ("plain &lt;b", "plain <b"), ("<p>a<p>b", "a b"), ('<a title="x>y">t</a> <b', "t <b"), ("a<br>b<!-- x", "a b"),
     ("<div><div>", ""), ("<p>un<b>bro</b>ken</p>", "unbroken"), ("<P>A&#233;&hellip;</P>", "Aé…"), ("<nav>a</nav>", ""),
     ("<article><p>One short line.</p></article><div>Other words, which are many. More, of them.</div>", "One short line."),
+    ('<article class="post comments-open has-sidebar"><div class="entry-header"><h1>T</h1></div><p>One, two.</p></article>', "T One, two."),
+    ('<article class="comment"><p>No, not.</p></article><article><p>One, two.</p></article>', "One, two."),
     ('<a title="unclosed>t</a>', "t"), ("</div></p>x", "x"), ("<script>never closed", ""), ("<p>a\n\t b</p>", "a b"),
 ])
 def test_small_cases(html, text):
