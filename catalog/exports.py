@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from catalog import sqltext as S
 from catalog.adapters import JOBS_SQL, PARAGRAPHS_SQL, SEGMENTS_SQL, export_jobs, paragraphs, segments
 from catalog.base import query
 from cuelake.functions import clock as K
+from cuelake.session import ensure_checkpoint_dir, stage_table
 from cuelake.sinks import documents as D
 
 TITLE = S.trim("title")
@@ -141,13 +144,33 @@ def _(t):
     )
 
 
-@query("snk10_export_names", f"""WITH {JOBS_SQL}, b AS (SELECT media_id, nfc_normalize({TITLE}) AS x FROM jobs),
-c AS (SELECT media_id, {S.trim("regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '[\\x00-\\x1f]', '', 'g'), '[<>:" + chr(34) + "/\\\\|?*]', ' ', 'g'), '[" + S.SP + "]+', ' ', 'g'), '[. ]+$', '')")} AS y FROM b)
-SELECT media_id, CASE WHEN left(y, 120) = '' THEN 'transcript' ELSE left(y, 120) END AS basename FROM c""")
+def _basename_sql(x: str) -> str:
+    plain = f"regexp_replace(regexp_replace(nfc_normalize({x}), '[\\x00-\\x1f]', '', 'g'), '[<>:" + chr(34) + "/\\\\|?*]', ' ', 'g')"
+    name = f"left({S.trim(f"regexp_replace(regexp_replace({plain}, '[{S.SP}]+', ' ', 'g'), '[. ]+$', '')")}, 120)"
+    return f"CASE WHEN {name} = '' THEN 'transcript' ELSE {name} END"
+
+
+_BASENAME_SQL = _basename_sql(TITLE)
+
+
+@query("snk10_export_names", f"WITH {JOBS_SQL} SELECT media_id, {_BASENAME_SQL} AS basename FROM jobs")
 def _(t):
     return D.export_names(export_jobs(t))
 
 
+@query("snk10_written_files", f"""WITH {SEGMENTS_SQL}, {JOBS_SQL}, b AS (SELECT media_id, {_BASENAME_SQL} AS basename FROM jobs),
+d AS (SELECT media_id, string_agg({_cue_sql(',', _CUE_TEXT)}, '' ORDER BY seq) AS text FROM segments GROUP BY media_id),
+n AS (SELECT media_id, CASE WHEN count(*) OVER (PARTITION BY basename) > 1 THEN basename || '-' || media_id ELSE basename END AS name FROM b)
+SELECT d.media_id, name || '.srt' AS file_name, octet_length(encode(text))::BIGINT + 3 AS size_bytes, sha256(chr(65279) || text) AS hash FROM d JOIN n USING (media_id)""")
+def _(t):
+    """Files written, read back with Spark and told apart by their names."""
+    folder = f"{ensure_checkpoint_dir(t.spark)}/exports-{uuid.uuid4().hex}"
+    done = stage_table(D.write_files(D.document_parts(D.export_srt(segments(t))), D.export_names(export_jobs(t)), folder, "srt", bom=True), "written")
+    back = t.spark.read.format("binaryFile").load(folder).select(
+        F.element_at(F.split("path", "/"), -1).alias("file_name"), F.sha2("content", 256).alias("hash"))
+    return done.select("media_id", F.element_at(F.split("path", "/"), -1).alias("file_name"), "size_bytes").join(back, "file_name")
+
+
 @query("wn14_cue_numbers", f"""WITH {PARAGRAPHS_SQL} SELECT media_id, seq, 'Slide ' || lpad((seq + 1)::VARCHAR,
   greatest(3, length((seq + 1)::VARCHAR))::INT, '0') AS label FROM paragraphs""")
 def _(t):

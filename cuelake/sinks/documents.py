@@ -10,6 +10,10 @@ source_label, timestamp_quality (each nullable). segments and paragraphs carry d
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -257,6 +261,41 @@ def document_parts(chunks: DataFrame, per_part: int = PART_CHUNKS) -> DataFrame:
     ).agg(F.array_join(F.transform(lines, lambda x: x["chunk"]), "").alias("text"))
 
 
+def write_files(parts: DataFrame, names: DataFrame, folder: str, extension: str, bom: bool = False) -> DataFrame:
+    """One file per recording, ``folder``/basename.extension; the manifest: media_id, path, size_bytes.
+
+    names(media_id, basename); where recordings share a name, the id follows it. A task streams the
+    parts of its recordings in order, so it never holds a document. Writing again gives the same
+    bytes under the same names, so a task that is repeated changes nothing."""
+    shared = names.groupBy("basename").agg(F.count(F.lit(1)).alias("__n"))
+    told = F.when(F.col("__n") > 1, F.concat_ws("-", "basename", F.col("media_id").cast("string"))).otherwise(F.col("basename"))
+    named = names.join(shared, "basename").select("media_id", told.alias("name"))
+    rows = parts.join(named, "media_id").select("media_id", "part", "name", "text").repartition("media_id").sortWithinPartitions("media_id", "part")
+    start = BOM if bom else ""
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, inner = fs.FileSystem.from_uri(folder)  # names may hold what a URI may not
+        system.create_dir(inner, recursive=True)
+        at, path, stream, size = None, "", None, 0
+        done = []
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                if row.media_id != at:
+                    if stream is not None:
+                        stream.close()
+                        done.append((at, path, size))
+                    at, path, size = row.media_id, f"{folder}/{row.name}.{extension}", 0
+                    stream = system.open_output_stream(f"{inner}/{row.name}.{extension}")
+                    size += stream.write(start.encode())
+                size += stream.write(row.text.encode())
+        if stream is not None:
+            stream.close()
+            done.append((at, path, size))
+        yield pd.DataFrame(done, columns=["media_id", "path", "size_bytes"])
+
+    return rows.mapInPandas(write, "media_id BIGINT, path STRING, size_bytes BIGINT")
+
+
 def write_documents(parts: DataFrame, path: str, bom: bool = False) -> None:
     """Text files sorted by recording and part; ``bom`` marks the start of each document."""
     text = F.concat(F.when(F.lit(bom) & (F.col("part") == 0), BOM).otherwise(""), "text")
