@@ -40,7 +40,7 @@ FEATURES = ["f_length", "f_symbol", "f_upper", "f_dup", "f_repeat", "f_variety",
 FLOORS = [0.08, 0.04, 0.04, 0.10, 0.10, 0.04, 0.05]
 
 STATS = (
-    "doc_id long, row_key long, lang string, source string, n_words long, word_chars long, n_symbols long, "
+    "doc_id string, row_key long, lang string, source string, n_words long, word_chars long, n_symbols long, "
     "n_dup_lines long, n_repeat_words long, base_failed boolean, " + ", ".join(f"{c} double" for c in FEATURES)
 )
 
@@ -103,13 +103,15 @@ def document_stats(docs: DataFrame) -> DataFrame:
             out["base_failed"] = (out["n_words"] < 10) | (100 * out["n_repeat_words"] > 20 * out["n_words"])
             for c in ("doc_id", "row_key", "lang", "source"):
                 out[c] = batch[c].to_numpy()
-            out["doc_id"] = batch["doc_id"].astype("Int64")
             yield out
 
     text = F.col("text")
-    return docs.select(
-        F.col("doc_id").cast("long"), row_hash(text).alias("row_key"), text, F.col("lang").cast("string"), F.col("source").cast("string")
-    ).mapInPandas(read, STATS)
+    # ids travel as text: pandas has no plain integer column with nulls
+    plain = docs.select(
+        F.col("doc_id").cast("long").cast("string").alias("doc_id"), row_hash(text).alias("row_key"), text,
+        F.col("lang").cast("string"), F.col("source").cast("string"),
+    )
+    return plain.mapInPandas(read, STATS).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def _pool_key(by: list[str]) -> Column:

@@ -23,7 +23,7 @@ def odd_documents(spark):
     long_text = prose(rng, 30_000)
     rows = [
         (1, None, "en", "a"), (2, "", "en", "a"), (3, " \n\t ", None, None), (4, long_text, "en", "a"), (5, prose(rng, 40), None, "b"),
-        (6, prose(rng, 40), "en", None), (None, prose(rng, 30), "en", "a"), (7, "one two", "de", "b"), (7, "one two", "de", "b"),
+        (9_007_199_254_740_993, prose(rng, 40), "en", None), (None, prose(rng, 30), "en", "a"), (7, "one two", "de", "b"), (7, "one two", "de", "b"),
         (8, "x y　z\x1cw \x85 é", "fr", "b"),
     ]
     return documents(spark, rows)
