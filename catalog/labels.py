@@ -352,6 +352,16 @@ def _(t):
     return Q.search_history(jobs, paragraphs(t), "E la")
 
 
+@query("flt05_history_search_slides", f"""WITH {PARAGRAPHS_SQL}, b AS (SELECT media_id, string_agg(text, ' ' ORDER BY seq) AS body FROM paragraphs GROUP BY 1)
+SELECT c.conv_id AS media_id FROM conversations c JOIN documents d ON d.doc_id = c.conv_id LEFT JOIN b ON b.media_id = c.conv_id
+WHERE c.turn = 0 AND contains(lower(concat(c.role, ' ', coalesce(b.body, ''), ' ', d.lang, ' ', d.source, ' ', d.text, ' ')), 'en src')""")
+def _(t):
+    jobs = t.conversations.where(F.col("turn") == 0).select(F.col("conv_id").alias("media_id"), F.col("role").alias("title"))
+    slides = t.documents.select(F.col("doc_id").alias("media_id"), F.posexplode(F.array("lang", "source", "text")).alias("ord", "text"))
+    with_slides = jobs.join(t.documents.select(F.col("doc_id").alias("media_id")), "media_id")
+    return Q.search_history(with_slides, paragraphs(t), "en SRC", slides)
+
+
 @query("ag11_term_counts", """WITH terms AS (SELECT DISTINCT lower(regexp_extract(text, '^[^ ,.]+')) AS term FROM benchmark),
 h AS (SELECT term, (length(lower(d.text)) - length(replace(lower(d.text), term, ''))) / length(term) AS n FROM documents d, terms)
 SELECT term, sum(n)::BIGINT AS n FROM h GROUP BY term""")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from catalog.adapters import SEGMENTS_SQL, segments
 from catalog.base import query
 from cuelake.functions.checks import failed
 from cuelake.operators import store as S
@@ -31,6 +32,18 @@ _ID = """CASE WHEN source = 'src0' THEN 'job-' || doc_id WHEN lang = 'en' THEN '
   ELSE 'upload:' || CASE WHEN lang = 'fr' THEN md5(text) ELSE source || '.mp3:' || n_chars || ':' || doc_id END || ':' || (1700000000000 + doc_id * 1000) END"""
 
 
+@query("prj03_capture_jobs", f"""WITH {SEGMENTS_SQL}, x AS (SELECT media_id, max(start_ms + dur_ms) / 1000.0 AS e, count(*) AS n FROM segments GROUP BY 1)
+SELECT doc_id AS media_id, 'v' || doc_id AS video_id, 'https://www.youtube.com/watch?v=v' || doc_id AS url, CASE WHEN lang = 'de' THEN 'v' || doc_id ELSE source END AS title, lang AS language,
+  coalesce(n, 0)::BIGINT AS segment_count, coalesce(CASE WHEN doc_id % 2 = 0 THEN n_chars END, e, 0)::DOUBLE AS duration_sec, doc_id AS created_at, '' AS summary FROM documents LEFT JOIN x ON media_id = doc_id""")
+def _(t):
+    captures = t.documents.select(
+        F.col("doc_id").alias("media_id"), F.concat(F.lit("v"), "doc_id").alias("video_id"), F.when(F.col("lang") != "de", F.col("source")).otherwise("").alias("title"),
+        F.col("lang").alias("language"), F.lit("manual").alias("source_type"), F.lit("p").alias("provider"), F.lit("P").alias("provider_label"),
+        F.when(F.col("doc_id") % 2 == 0, F.col("n_chars")).otherwise(0).cast("double").alias("duration_sec"))
+    return S.capture_jobs(captures, segments(t), "auto", F.col("media_id")).select(
+        "media_id", "video_id", "url", "title", "language", "segment_count", "duration_sec", "created_at", "summary")
+
+
 @query("prj01_normalize_jobs", f"""SELECT {_ID} AS id, CASE WHEN lang = 'en' THEN 'youtube' ELSE 'upload' END AS kind, CASE WHEN source = 'src3' THEN 'meeting' ELSE 'general' END AS summary_kind,
   '' AS summary, CASE WHEN lang = 'en' THEN 'source' ELSE 'none' END AS timestamp_quality FROM documents""")
 def _(t):

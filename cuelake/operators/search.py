@@ -21,8 +21,9 @@ def search_paragraphs(paragraphs: DataFrame, term: str) -> DataFrame:
     return paragraphs.where(has("text") | has("speaker"))
 
 
-def search_history(jobs: DataFrame, paragraphs: DataFrame, term: str) -> DataFrame:
-    """Recordings whose title and paragraphs, joined by blanks, contain the term.
+def search_history(jobs: DataFrame, paragraphs: DataFrame, term: str, slides: DataFrame | None = None) -> DataFrame:
+    """Recordings whose title, paragraphs and slide texts, joined by blanks, contain the term.
+    slides(media_id, ord, text): edits, block texts and cells of a recording in order, ord dense.
 
     A hit may run over several paragraphs. Each row is tested together with as many following
     rows as the term can reach, so nothing is joined per recording: rows are cut into blocks and
@@ -32,6 +33,14 @@ def search_history(jobs: DataFrame, paragraphs: DataFrame, term: str) -> DataFra
     rows = jobs.select("media_id", F.lit(-1).cast("bigint").alias("seq"), F.col("title").alias("text")).unionByName(
         paragraphs.select("media_id", "seq", "text")
     ).withColumn("at", F.col("seq") + 1)
+    if slides is not None:
+        # behind the last paragraph; a recording without any has an empty body there
+        ends = paragraphs.groupBy("media_id").agg((F.max("seq") + 2).alias("__next"))
+        placed = jobs.select("media_id").join(ends, "media_id", "left").withColumn("__first", F.coalesce("__next", F.lit(2)))
+        blank = placed.where(F.col("__next").isNull()).select("media_id", F.lit(0).cast("bigint").alias("seq"), F.lit("").alias("text"), F.lit(1).cast("bigint").alias("at"))
+        behind = slides.join(placed, "media_id").select(
+            "media_id", F.col("ord").alias("seq"), "text", (F.col("__first") + F.col("ord")).alias("at"))
+        rows = rows.unionByName(blank).unionByName(behind)
     home = F.floor(F.col("at") / SEARCH_BLOCK).cast("bigint")
     early = (F.col("at") % SEARCH_BLOCK < reach) & (home > 0)
     spread = rows.withColumn("blk", F.explode(F.when(early, F.array(home, home - 1)).otherwise(F.array(home))))

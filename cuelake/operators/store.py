@@ -10,6 +10,8 @@ from cuelake.functions import text as T
 from cuelake.functions.checks import (
     finite_nonnegative, one_of, rejected, whole, with_reasons, within,
 )
+from cuelake.operators.paragraphs import extent
+from cuelake.sources.links import WATCH_URL
 
 # Enumerations and ranges of stored rows.
 REQUESTED = ["auto", "ko", "en"]
@@ -41,6 +43,24 @@ def job_identity() -> Column:
     )
 
 
+def capture_jobs(captures: DataFrame, segments: DataFrame, requested_lang: str, created_at: Column) -> DataFrame:
+    """Captures with their cleaned segments as jobs: the title falls back to the video, the duration
+    to the end of the last segment, and the summary is still empty.
+
+    captures: media_id, video_id, title, language, source_type, provider, provider_label,
+    duration_sec."""
+    known = extent(segments).select("media_id", F.col("duration_ms").alias("__end"), F.col("segment_count").alias("__n"))
+    told = F.nullif(F.col("duration_sec"), F.lit(0.0))
+    return captures.join(known, "media_id", "left").select(
+        "media_id", "video_id", F.concat(F.lit(WATCH_URL), "video_id").alias("url"),
+        F.coalesce(F.nullif(F.col("title"), F.lit("")), F.col("video_id")).alias("title"),
+        "language", F.lit(requested_lang).alias("requested_lang"), "source_type", "provider", "provider_label",
+        F.coalesce("__n", F.lit(0)).cast("bigint").alias("segment_count"),
+        F.coalesce(told, F.col("__end") / 1000, F.lit(0.0)).alias("duration_sec"),
+        created_at.alias("created_at"), F.lit("general").alias("summary_kind"), F.lit("").alias("summary"),
+    )
+
+
 def normalize_jobs(jobs: DataFrame) -> DataFrame:
     """Identity, source kind and defaults; jobs without any identity have a null id."""
     kind = F.coalesce("kind", F.when(F.col("video_id").isNotNull() & F.col("url").isNotNull(), "youtube"))
