@@ -18,6 +18,7 @@ from pyspark.sql.types import (
 from cuelake.operators.folds import block_fold
 from cuelake.operators.joins import attach_key_values
 from cuelake.operators.ordered import Scan, numbered, ordered_scan, row_block, time_block
+from cuelake.session import stage_table
 
 # Frames of one recording scanned by one task.
 FRAME_ROWS = 4096
@@ -243,13 +244,13 @@ def display_states(
         marked, keys, ["t_ms"], block,
         [
             Scan("state_no", "sum", F.col("opens").cast("bigint")),
-            Scan("gaps", "sum", F.col("gap").cast("bigint")),
-            Scan("gaps_then", "last", F.when(F.col("opens"), F.struct(F.col("t_ms").alias("t")))),
+            Scan("open_at", "last", F.when(F.col("opens"), F.col("t_ms"))),
+            Scan("gap_at", "last", F.when(F.col("gap"), F.col("t_ms"))),
         ],
     )
-    first_gap = ordered_scan(counted, keys, ["t_ms"], block, [Scan("gap_at", "last", F.when(F.col("gap"), F.col("t_ms")))])
-    active = (F.col("state_no") > 0) & (F.col("gap_at").isNull() | (F.col("gap_at") < F.col("gaps_then.t")))
-    rows = first_gap.withColumn("active", active).drop("gaps", "gaps_then", "gap_at")
+    active = (F.col("state_no") > 0) & (F.col("gap_at").isNull() | (F.col("gap_at") < F.col("open_at")))
+    # read by the stops, the states, the audit and the status
+    rows = stage_table(counted.withColumn("active", active).drop("open_at", "gap_at"), "scan_rows")
 
     over = F.when(F.col("opens") & (F.col("state_no") > max_states), F.col("t_ms"))
     moved = F.when((F.col("kind") == "same") & F.col("motion") & F.col("active"), F.col("t_ms"))
