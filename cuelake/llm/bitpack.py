@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuelake.llm.common import row_hash, stage_table
+from cuelake.llm.common import row_hash, stage_table, text_batches
 from cuelake.llm.encoder import encoder, in_slices
 from cuelake.session import ensure_checkpoint_dir
 
@@ -202,7 +202,7 @@ def write_corpus(
 
     text = F.col("text")
     ordered = (
-        docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.col("doc_id").cast("long").alias("_by"), row_hash(text).alias("_tie"), text)
+        text_batches(docs).select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.col("doc_id").cast("long").alias("_by"), row_hash(text).alias("_tie"), text)
         .repartitionByRange("_by", "_tie")
         .sortWithinPartitions("_by", "_tie")
         .select("doc_id", "text")

@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from cuelake.session import cut_lineage, stage_table
 
-__all__ = ["WORD", "cut_lineage", "held_out", "row_hash", "split_words", "stage_table", "stripes"]
+__all__ = ["WORD", "cut_lineage", "held_out", "row_hash", "split_words", "stage_table", "text_batches"]
 
 # A word is a run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
+TEXT_ROWS = 1000
+
 _WORD = re.compile(WORD)
 # what str.split() also takes as white space
 _OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
@@ -37,6 +39,10 @@ def row_hash(*columns: Column) -> Column:
     return F.xxhash64(*[part for c in columns for part in (c, c.isNull())])
 
 
-def stripes(df: DataFrame, key: Column, count: int) -> DataFrame:
-    """The rows spread evenly by a hash of `key`."""
-    return df.repartition(count, key)
+def text_batches(df: DataFrame) -> DataFrame:
+    """`df`, in a session whose Arrow batches hold TEXT_ROWS rows at most: rows that carry whole texts
+    are large, and a Python worker and the JVM beside it each hold a batch several times over."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= TEXT_ROWS:
+        conf.set(name, str(TEXT_ROWS))
+    return df

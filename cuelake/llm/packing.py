@@ -24,6 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cuelake.llm.common import text_batches
 from cuelake.llm.encoder import encoder, in_slices
 
 PIECES = (
@@ -136,5 +137,5 @@ def pack_documents(
             yield from packed()
 
     # ids travel as text: pandas has no plain integer column with nulls
-    plain = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.col("text"))
+    plain = text_batches(docs).select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.col("text"))
     return plain.mapInPandas(run, PIECES)

@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cuelake.llm.common import text_batches
+
 # Elements whose text is never article text.
 RAW = "script|style|title|template|textarea|noscript|iframe|svg|math|canvas|object|audio|video|select|datalist"
 BOILERPLATE = {"nav", "footer", "aside", "form", "button", "dialog", "menu", "head", "fieldset", "label", "input"}
@@ -239,5 +241,5 @@ def extract(pages: DataFrame) -> DataFrame:
     def texts(html: pd.Series) -> pd.Series:
         return html.map(main_text)
 
-    made = pages.select("page_id", "url", F.pandas_udf(texts, "string")(F.col("html").cast("string")).alias("text"))
+    made = text_batches(pages).select("page_id", "url", F.pandas_udf(texts, "string")(F.col("html").cast("string")).alias("text"))
     return made.withColumn("n_chars", F.length("text").cast("long"))

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuelake.llm.common import row_hash, split_words, stage_table
+from cuelake.llm.common import row_hash, split_words, stage_table, text_batches
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -107,7 +107,7 @@ def document_stats(docs: DataFrame) -> DataFrame:
 
     text = F.col("text")
     # ids travel as text: pandas has no plain integer column with nulls
-    plain = docs.select(
+    plain = text_batches(docs).select(
         F.col("doc_id").cast("long").cast("string").alias("doc_id"), row_hash(text).alias("row_key"), text,
         F.col("lang").cast("string"), F.col("source").cast("string"),
     )

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuelake.llm.common import stage_table
+from cuelake.llm.common import stage_table, text_batches
 from cuelake.llm.components import components
 
 SEED = 42
@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     made = F.pandas_udf(
         lambda texts: pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)), "long"
     )
-    return docs.select(F.col("doc_id").cast("long"), made("text").alias("fp"))
+    return text_batches(docs).select(F.col("doc_id").cast("long"), made("text").alias("fp"))
 
 
 def _signed(v: int) -> int:

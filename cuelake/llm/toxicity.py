@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuelake.llm.common import held_out, stage_table
+from cuelake.llm.common import held_out, stage_table, text_batches
 
 CUT = 0.3
 STEMS = (3, 4, 5, 6)
@@ -131,7 +131,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: in
     some = known.where(F.pmod(F.xxhash64("_y_id", F.lit(17)), F.lit(1_000_000)) < int(share * 1_000_000))
     # proven bound: max_rows rows of two numbers
     return stage_table(
-        docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id").cast("long") == F.col("_y_id")).select("text", "y"),
+        text_batches(docs).select("doc_id", "text").join(F.broadcast(some), F.col("doc_id").cast("long") == F.col("_y_id")).select("text", "y"),
         f"sample_{label}",
     )
 
@@ -233,10 +233,10 @@ def score_column(model: Model):
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs (doc_id, text) to doc_id, held_out, score and predicted."""
-    scored = docs.select("doc_id", score_column(model).alias("score"))
+    scored = text_batches(docs).select("doc_id", score_column(model).alias("score"))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
 
 
 def keep_civil(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of `docs` that score under CUT, with their own columns only."""
-    return docs.where(score_column(model) < CUT)
+    return text_batches(docs).where(score_column(model) < CUT)
