@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cuelake.session import cut_lineage, stage_table
 
-__all__ = ["WORD", "cut_lineage", "held_out", "row_hash", "split_words", "stage_table", "text_batches"]
+__all__ = ["WORD", "cut_lineage", "first_order", "held_out", "one_row_each", "row_hash", "split_words", "stage_table", "text_batches"]
 
 # A word is a run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -39,6 +39,23 @@ def row_hash(*columns: Column) -> Column:
     return F.xxhash64(*[part for c in columns for part in (c, c.isNull())])
 
 
+def first_order() -> Column:
+    """What rows (doc_id, key) are ordered by: the id, null last, then the digest of the text."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("key"))
+
+
+def one_row_each(docs: DataFrame, rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """One row of `docs` for each row of `chosen` (first, see `first_order`). rows: doc_id and key of
+    every row of `docs`; rows equal in both are one."""
+    named = chosen.select(F.col("first.doc_id").alias("_f_id"), F.col("first.key").alias("_f_key"))
+    key = row_hash(F.col("text"))
+    kept = docs.join(named, F.col("doc_id").cast("long").eqNullSafe(F.col("_f_id")) & (key == F.col("_f_key")), "left_semi")
+    repeated = rows.groupBy("doc_id", "key").agg(F.count("*").alias("n")).where("n > 1")
+    if repeated.isEmpty():
+        return kept
+    return kept.withColumn("_f_key", key).dropDuplicates(["doc_id", "_f_key"]).drop("_f_key")
+
+
 def text_batches(df: DataFrame) -> DataFrame:
     """`df`, in a session whose Arrow batches hold TEXT_ROWS rows at most: rows that carry whole texts
     are large, and a Python worker and the JVM beside it each hold a batch several times over."""
