@@ -22,7 +22,8 @@ about k edges. Groups are connected components (see `components`).
 Edge cases. Null, empty or wordless text: fingerprint zero, linked like any other. Fewer than three
 words: one shingle of all. Repeated rows and ids: each row is fingerprinted; equal ones fall in one
 group. Null ids: ignored as smallest id unless the whole group has none (component_id null). Empty
-table: empty result. Other columns are ignored by `group_documents` and kept by `keep_first`."""
+table: empty result. Other columns are ignored by `group_documents` and kept by `keep_first`, which
+tells rows apart by id and text."""
 
 from __future__ import annotations
 
@@ -35,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuelake.llm.common import stage_table, text_batches
+from cuelake.llm.common import first_order, one_row_each, row_hash, stage_table, text_batches
 from cuelake.llm.components import components
 
 SEED = 42
@@ -65,11 +66,11 @@ def fingerprint(text: str | None, width: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) to doc_id and fp (signed 64-bit)."""
+    """docs (doc_id, text) to doc_id, key (digest of the text) and fp (signed 64-bit)."""
     made = F.pandas_udf(
         lambda texts: pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)), "long"
     )
-    return text_batches(docs).select(F.col("doc_id").cast("long"), made("text").alias("fp"))
+    return text_batches(docs).select(F.col("doc_id").cast("long"), row_hash(F.col("text")).alias("key"), made("text").alias("fp"))
 
 
 def _signed(v: int) -> int:
@@ -193,17 +194,22 @@ def link_fingerprints(
     return reduce(DataFrame.unionByName, edges)
 
 
-def group_documents(docs: DataFrame, **options) -> DataFrame:
-    """docs (doc_id, text) to doc_id, fp and component_id, the smallest id of the row's group."""
+def _grouped(docs: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
+    """Every row's doc_id, key and fp, and of each fp the group (root) and its first row."""
     rows = stage_table(fingerprints(docs), "simhash_rows")
-    firsts = stage_table(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash_firsts")
+    firsts = stage_table(rows.groupBy("fp").agg(F.min(first_order()).alias("first")), "simhash_firsts")
     linked = components(link_fingerprints(firsts, **options))
     rooted = stage_table(
         firsts.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "simhash_roots"
     )
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = stage_table(rooted.join(least, "root").select("fp", "component_id"), "simhash_named")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    least = rooted.groupBy("root").agg(F.min("first").alias("first"))
+    return rows, stage_table(rooted.drop("first").join(least, "root").select("fp", "root", "first"), "simhash_named")
+
+
+def group_documents(docs: DataFrame, **options) -> DataFrame:
+    """docs (doc_id, text) to doc_id, fp and component_id, the smallest id of the row's group."""
+    rows, named = _grouped(docs, **options)
+    return rows.join(named, "fp").select("doc_id", "fp", F.col("first.doc_id").alias("component_id"))
 
 
 def hex_of(fp: Column) -> Column:
@@ -211,11 +217,8 @@ def hex_of(fp: Column) -> Column:
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """One row of `docs` per group: that with the smallest id; of repeated rows with it, one."""
-    grouped = group_documents(docs, **options)
-    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    chosen = stage_table(grouped.where(first).groupBy(F.col("doc_id").alias("_s_id")).agg(F.count("*").alias("_s_n")), "simhash_kept")
-    kept = docs.join(chosen, F.col("doc_id").cast("long").eqNullSafe(F.col("_s_id")), "left_semi")
-    if chosen.where("_s_n > 1").isEmpty():
-        return kept
-    return kept.dropDuplicates(["doc_id"])
+    """One row of `docs` per group: that with the smallest id (null last) and, among rows of that id,
+    the least digest of the text; of rows equal in both, one."""
+    rows, named = _grouped(docs, **options)
+    chosen = stage_table(named.select("root", "first").distinct(), "simhash_kept")
+    return one_row_each(docs, rows, chosen)

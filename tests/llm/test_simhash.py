@@ -121,3 +121,12 @@ def test_documents(spark):
         {(d is None, d) for d, (_, c) in got.items() if d == c}, key=lambda x: (x[0], x[1] or 0)
     )
     assert s.group_documents(docs.limit(0)).collect() == []
+
+
+def test_one_row_of_each_group_of_odd_ids(spark):
+    rng = random.Random(6)
+    a, b, c, d, e = (prose(rng, 60) for _ in range(5))
+    rows = [(None, a), (None, a), (None, b), (3, c), (5, c), (5, d), (9, d), (None, d), (4, e), (4, e)]
+    docs = documents(spark, [(i, t, "en", "a") for i, t in rows])
+    got = sorted((r.doc_id or 0, r.text) for r in s.keep_first(with_clashes(docs)).collect())
+    assert got == sorted([(0, a), (0, b), (3, c), (5, d), (4, e)])
