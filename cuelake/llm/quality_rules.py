@@ -177,7 +177,7 @@ def _as_params(moments: DataFrame, label: str) -> DataFrame:
     return stage_table(params, label)
 
 
-def mcd_parameters(rows: DataFrame, keep_share: float = 0.75, steps: int = 4, min_rows: int = 100) -> DataFrame:
+def mcd_parameters(rows: DataFrame, keep_share: float = 0.5, steps: int = 4, min_rows: int = 100) -> DataFrame:
     """Centre and inverse scatter per pool of `rows` (pool and features), by concentration steps from
     the median and the median absolute deviation. Pools under `min_rows` are left out."""
     d = len(FEATURES)
@@ -185,14 +185,18 @@ def mcd_parameters(rows: DataFrame, keep_share: float = 0.75, steps: int = 4, mi
     sums = [F.count("*").cast("double"), *[F.sum(f) for f in FEATURES], *[F.sum(p) for p in products]]
     width = len(sums)
 
-    quantiles = rows.groupBy("pool").agg(
-        F.count("*").alias("n"),
-        *[F.percentile_approx(f, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(f"q_{f}") for f in FEATURES],
-    ).where(F.col("n") >= min_rows)
-    # as moments of one pseudo-row: centre at the median, spread from the quartiles, no correlation
-    centre = [F.col(f"q_{f}")[1] for f in FEATURES]
-    spread = [(F.col(f"q_{f}")[2] - F.col(f"q_{f}")[0]) / 1.349 for f in FEATURES]
-    start = quantiles.select(
+    def medians(of: list[Column]) -> list[Column]:
+        return [F.percentile_approx(c, 0.5, 1000).alias(f"q_{f}") for c, f in zip(of, FEATURES)]
+
+    middle = stage_table(
+        rows.groupBy("pool").agg(F.count("*").alias("n"), *medians([F.col(f) for f in FEATURES])).where(F.col("n") >= min_rows), "mcd_medians"
+    )
+    off = medians([F.abs(F.col(f"r.{f}") - F.col(f"m.q_{f}")) for f in FEATURES])
+    spreads = rows.alias("r").join(middle.alias("m"), "pool").groupBy("pool").agg(*off)
+    # as moments of one pseudo-row: centre at the median, spread from the absolute deviations, no correlation
+    centre = [F.col(f"m.q_{f}") for f in FEATURES]
+    spread = [F.col(f"d.q_{f}") * 1.4826 for f in FEATURES]
+    start = middle.alias("m").join(spreads.alias("d"), "pool").select(
         "pool",
         F.array(
             F.lit(1.0), *centre,
@@ -248,7 +252,7 @@ def consistency(share: float, d: int) -> float:
     return share / inside
 
 
-def judge(docs: DataFrame, keep_share: float = 0.75, steps: int = 4, min_rows: int = 100, cutoff: float = 45.0) -> DataFrame:
+def judge(docs: DataFrame, keep_share: float = 0.5, steps: int = 4, min_rows: int = 100, cutoff: float = 45.0) -> DataFrame:
     """docs (doc_id, text, lang, source) to one row of counts, base verdict, distance and `kept`.
 
     `cutoff` bounds the squared distance. It is one and a half times a normal law's 0.9999 quantile (30 for

@@ -59,6 +59,18 @@ def test_outliers_go_and_sound_rows_stay(spark):
     assert {r.doc_id for r in left.collect()} == kept
 
 
+def test_a_pool_of_which_a_third_is_junk(spark):
+    rng = random.Random(7)
+    for kind, spoil in enumerate((
+        lambda t: " ".join(w + "###" for w in t.split()), lambda t: t.upper(), lambda t: t.replace(" ", "!! ")
+    )):
+        rows = [(k, prose(rng, rng.randint(30, 300)), "en", "s") for k in range(400)]
+        junk = [(1000 + k, spoil(prose(rng, rng.randint(30, 300))), "en", "s") for k in range(200)]
+        kept = {r.doc_id for r in q.judge(documents(spark, rows + junk)).where("kept").collect()}
+        assert not {k for k in kept if k >= 1000}, kind
+        assert len(kept) >= 0.97 * len(rows), kind
+
+
 def test_parameters_equal_a_local_estimate(spark):
     """The grouped concentration steps against the same steps on arrays, up to the width of a bin."""
     rng = np.random.default_rng(5)
