@@ -5,8 +5,8 @@ nodes of a path the lengths, punctuation marks and link characters are summed. A
 mean text length times its mean punctuation, lowered by the share of link text and fused with what
 its elements say about themselves (an article counts for more; menus, forms and the like for
 nothing). Ratios are smoothed along the page and thresholded against their spread; what exceeds the
-threshold is the core. The content is every node, however short, of the innermost element that holds
-nearly all of the core, without what was ruled out.
+threshold is the core. The content is every node, however short, of the declared article that holds
+the core, else of the innermost element that holds all of it, without what was ruled out.
 
 One pass of a pattern cuts the markup; there is no tree. Pages are independent, so the job is one map.
 
@@ -74,12 +74,13 @@ _MARKS = re.compile(r"[.,;:!?…。，；：！？]")
 class Element:
     __slots__ = ("name", "path", "key", "out", "inside")
 
-    def __init__(self, name: str, path: str, key: tuple[int, ...], out: bool, inside: bool) -> None:
+    def __init__(self, name: str, path: str, key: tuple[int, ...], out: bool, inside: int) -> None:
         self.name, self.path, self.key, self.out, self.inside = name, path, key, out, inside
 
 
 class Node:
-    """A run of text in one block: tag path, keys of the elements around it, text, link characters."""
+    """A run of text in one block: tag path, keys of the elements around it, the outermost declared article
+    (0 for none), text, link characters."""
 
     __slots__ = ("path", "key", "out", "inside", "parts", "link")
 
@@ -89,7 +90,7 @@ class Node:
         self.link = 0
 
 
-def says_aside(name: str, attributes: str, inside: bool) -> bool:
+def says_aside(name: str, attributes: str, inside: int) -> bool:
     """Whether an element names itself as something other than the article."""
     if name in BOILERPLATE or (name == "header" and not inside):
         return True
@@ -111,7 +112,7 @@ def says_aside(name: str, attributes: str, inside: bool) -> bool:
 
 def text_nodes(html: str) -> list[Node]:
     """The text nodes of a page in order, those of ruled-out elements marked `out`."""
-    root = Element("", "", (), False, False)
+    root = Element("", "", (), False, 0)
     stack, nodes = [root], []
     node: Node | None = None
     links = serial = at = 0
@@ -168,7 +169,7 @@ def text_nodes(html: str) -> list[Node]:
         top = stack[-1]
         serial += 1
         out = top.out or says_aside(name, attributes, top.inside)
-        stack.append(Element(name, f"{top.path}/{name}", (*top.key, serial), out, top.inside or name in CONTENT_ELEMENTS))
+        stack.append(Element(name, f"{top.path}/{name}", (*top.key, serial), out, top.inside or (serial if name in CONTENT_ELEMENTS else 0)))
     if at < len(html):
         add(html[at:])
     return nodes
@@ -190,10 +191,6 @@ def main_text(html: str | None) -> str:
 
 def choose(nodes: list[tuple[Node, str]]) -> list[tuple[Node, str]]:
     """Content nodes among the nodes that are not ruled out."""
-    inside = [(node, text) for node, text in nodes if node.inside]
-    # an article that says so, unless it is a crumb beside the rest of the page
-    if inside and CRUMB * sum(len(t) for _, t in inside) >= sum(len(t) for _, t in nodes):
-        nodes = inside
     if len(nodes) < 2:
         return nodes
     sums: dict[str, list[float]] = {}
@@ -204,7 +201,12 @@ def choose(nodes: list[tuple[Node, str]]) -> list[tuple[Node, str]]:
         s[2] += len(_MARKS.findall(text))
         s[3] += min(node.link, len(text))
     ratio = {p: (chars / n) * math.log(2 + marks / n) * (1 - links / chars) for p, (n, chars, marks, links) in sums.items()}
-    weights = [ratio[node.path] * (4.0 if node.inside else 1.0) for node, _ in nodes]
+    # an article that says so, unless it is a crumb beside the rest of the page, counts for more
+    own: dict[int, int] = {}
+    for node, text in nodes:
+        own[node.inside] = own.get(node.inside, 0) + len(text)
+    total = sum(own.values())
+    weights = [ratio[node.path] * (4.0 if node.inside and CRUMB * own[node.inside] >= total else 1.0) for node, _ in nodes]
     smooth = [
         (w * 2 + weights[max(0, k - 1)] + weights[min(len(weights) - 1, k + 1)]) / 4 for k, w in enumerate(weights)
     ]
@@ -212,25 +214,22 @@ def choose(nodes: list[tuple[Node, str]]) -> list[tuple[Node, str]]:
     spread = math.sqrt(sum((w - mean) ** 2 for w in smooth) / len(smooth))
     threshold = min(spread, 0.5 * max(smooth))
     core = [k for k, w in enumerate(smooth) if w >= threshold and weights[k] > 0] or list(range(len(nodes)))
-    held = {k: len(nodes[k][1]) * (4 if nodes[k][0].inside else 1) for k in core}
-    need = 0.8 * sum(held.values())
-    # walk down from the root while one child element holds nearly all of the core
-    depth, members = 0, core
-    key: tuple[int, ...] = ()
-    while True:
-        by: dict[int, int] = {}
-        for k in members:
-            own = nodes[k][0].key
-            if len(own) > depth:
-                by[own[depth]] = by.get(own[depth], 0) + held[k]
-        best = max(by, key=by.get, default=None)
-        if best is None or by[best] < need:
-            break
-        key = (*key, best)
+    # an element that says it is the article is one if it holds the core, its own text counting for more;
+    # all of it is content then, and so is every other such element with a part of the core
+    held: dict[int, int] = {}
+    for k in core:
+        held[nodes[k][0].inside] = held.get(nodes[k][0].inside, 0) + len(nodes[k][1])
+    best = max((n for unit, n in held.items() if unit), default=0)
+    if best and 4 * best >= sum(held.values()) - best:
+        return [(node, text) for node, text in nodes if node.inside and node.inside in held]
+    # elsewhere: the innermost element that holds every core node
+    keys = [nodes[k][0].key for k in core]
+    depth = 0
+    while all(len(k) > depth and k[depth] == keys[0][depth] for k in keys):
         depth += 1
-        members = [k for k in members if nodes[k][0].key[:depth] == key]
+    key = keys[0][:depth]
     # a single block is not a container: its parent is, with the headings beside it
-    if key and all(nodes[k][0].key == key for k in members):
+    if key and all(k == key for k in keys):
         key = key[:-1]
     return [(node, text) for node, text in nodes if node.key[: len(key)] == key]
 

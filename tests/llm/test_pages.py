@@ -38,6 +38,21 @@ def test_long_and_deep_pages():
     assert p.main_text("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
 
 
+BODY = "".join(f"<p>Paragraph {k} of the story, which goes on. It has some length, as stories do.</p>" for k in range(10))
+STORY = p.main_text(f"<div>{BODY}</div>")
+
+
+@pytest.mark.parametrize("html,text", [
+    (f"<article><header><h1>Title</h1><p>Lead</p></header><div class=body>{BODY}</div></article>", f"Title Lead {STORY}"),
+    (f"<article><p>Intro.</p><ul>{BODY.replace('<p>', '<li>')}</ul><p>End.</p></article>", f"Intro. {STORY} End."),
+    (f"<div><p>An intro of the story, which is long enough. It has some length, as they do.</p><section>{BODY}</section></div>",
+     f"An intro of the story, which is long enough. It has some length, as they do. {STORY}"),
+    (f"<div>{BODY}</div>" + "".join(f"<div><article><a href=x>Card {k} of others</a> A line.</article></div>" for k in range(12)), STORY),
+])
+def test_nothing_of_the_article_is_dropped(html, text):
+    assert p.main_text(f"<html><body>{html}</body></html>") == text
+
+
 def test_rows(spark):
     rows = [(1, "u", PAGE, "x"), (None, None, None, None), (2, "u", "", "x"), (2, "u", "<p>é</p>", "x"), (2, "u", "<p>é</p>", "x")]
     frame = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
