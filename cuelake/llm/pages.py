@@ -53,20 +53,26 @@ ASIDE_WORDS = {
     "social", "sponsor", "sponsored", "subscribe", "subscription", "teaser", "toolbar", "topbar", "widget",
 }
 # Words that turn such a name into one of a wrapper, a state or a title.
-WRAPPER_WORDS = {"content", "article", "with", "without", "no", "has", "open", "closed", "enabled", "disabled", "layout"}
+WRAPPER_WORDS = {"content", "article", "with", "without", "no", "has", "long", "work", "works", "open", "closed", "enabled", "disabled", "layout"}
 TITLE_WORDS = {"post", "entry", "story", "title", "page", "heading"}
+# Names of that kind that wrappers and sections of articles bear as well. Such an element is
+# content after all if its text, counted at a quarter, outweighs the rest of the page.
+LOOSE_WORDS = {"discussion", "form", "header", "notice", "notices", "promo", "related", "search", "share", "sharing", "social", "widget"}
+LOOSE_ELEMENTS = {"form", "fieldset"}
+LOOSE_SHARE = 4
 CONTENT_ELEMENTS = {"article", "main"}
 CRUMB = 8
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 _MARKUP = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(?:svg|math)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*/>"
+    rf"|<(?P<raw>{RAW})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attributes>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<attributes2>[^>]*)>",
     re.S | re.I,
 )
-_NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'=<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _MARKS = re.compile(r"[.,;:!?…。，；：！？]")
 
@@ -74,7 +80,7 @@ _MARKS = re.compile(r"[.,;:!?…。，；：！？]")
 class Element:
     __slots__ = ("name", "path", "key", "out", "inside")
 
-    def __init__(self, name: str, path: str, key: tuple[int, ...], out: bool, inside: int) -> None:
+    def __init__(self, name: str, path: str, key: tuple[int, ...], out: int, inside: int) -> None:
         self.name, self.path, self.key, self.out, self.inside = name, path, key, out, inside
 
 
@@ -90,29 +96,42 @@ class Node:
         self.link = 0
 
 
-def says_aside(name: str, attributes: str, inside: int) -> bool:
-    """Whether an element names itself as something other than the article."""
-    if name in BOILERPLATE or (name == "header" and not inside):
-        return True
+KEPT, LOOSE, NAMED, OUT = range(4)  # what an element says of itself: nothing, or how surely it is ruled out
+
+
+def says_aside(name: str, attributes: str, inside: int) -> int:
+    """Whether, and how surely, an element names itself as something other than the article."""
+    if name in LOOSE_ELEMENTS:
+        found = LOOSE
+    elif name in BOILERPLATE or (name == "header" and not inside):
+        return OUT
+    else:
+        found = KEPT
     if not attributes:
-        return False
-    if _HIDDEN.search(attributes):
-        return True
-    for found in _NAMES.finditer(attributes):
-        value = next((g for g in found.groups() if g is not None), "")
+        return found
+    for m in _ATTRIBUTE.finditer(attributes):
+        key, value = m[1].lower(), next((g for g in m.groups()[1:] if g is not None), "")
+        if key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and _NO_DISPLAY.search(value)):
+            return OUT
+        if key not in ("class", "id", "role") or name in ("html", "body") or name in HEADINGS:
+            continue
         for token in value.split():
             words = [w.lower() for w in _WORDS.findall(token)]
             named = ASIDE_WORDS.intersection(words)
             # a wrapper named after its place (`content-with-sidebar`) or state (`comments-open`) is not that thing
             if not named or WRAPPER_WORDS.intersection(words) or (named == {"header"} and TITLE_WORDS.intersection(words)):
                 continue
-            return name not in ("html", "body") and name not in HEADINGS
-    return False
+            # the id of a section of the article is its heading's
+            if key == "id" and name == "section" and inside and named <= LOOSE_WORDS:
+                continue
+            found = max(found, LOOSE if named <= LOOSE_WORDS else NAMED)
+    return found
 
 
-def text_nodes(html: str) -> list[Node]:
-    """The text nodes of a page in order, those of ruled-out elements marked `out`."""
-    root = Element("", "", (), False, 0)
+def text_nodes(html: str, spared: frozenset[int] = frozenset()) -> list[Node]:
+    """The text nodes of a page in order. `out` is 0 for content, the number of the outermost element
+    that rules the node out by a loose name, or -1 where others do; elements in `spared` do not."""
+    root = Element("", "", (), 0, 0)
     stack, nodes = [root], []
     node: Node | None = None
     links = serial = at = 0
@@ -168,7 +187,9 @@ def text_nodes(html: str) -> list[Node]:
                 break
         top = stack[-1]
         serial += 1
-        out = top.out or says_aside(name, attributes, top.inside)
+        says = says_aside(name, attributes, top.inside)
+        # below a loose name a sure one still counts; what it rules out does not speak for the element
+        out = -1 if top.out < 0 or says > LOOSE else top.out or (serial if says and serial not in spared else 0)
         stack.append(Element(name, f"{top.path}/{name}", (*top.key, serial), out, top.inside or (serial if name in CONTENT_ELEMENTS else 0)))
     if at < len(html):
         add(html[at:])
@@ -178,15 +199,25 @@ def text_nodes(html: str) -> list[Node]:
 def main_text(html: str | None) -> str:
     if not html:
         return ""
-    kept = []
-    for node in text_nodes(html):
-        if node.out:
-            continue
-        text = "".join(node.parts)
-        text = " ".join((entities.unescape(text) if "&" in text else text).split())
-        if text:
-            kept.append((node, text))
-    return " ".join(text for _, text in choose(kept))
+    spared: frozenset[int] = frozenset()
+    while True:
+        kept, loose, longest = [], {}, {}
+        for node in text_nodes(html, spared):
+            if node.out < 0:
+                continue
+            text = "".join(node.parts)
+            text = " ".join((entities.unescape(text) if "&" in text else text).split())
+            if not text:
+                continue
+            if node.out:
+                loose[node.out] = loose.get(node.out, 0) + max(0, len(text) - node.link)
+                longest[node.out] = max(longest.get(node.out, (0, ())), (len(text), node.key))
+            else:
+                kept.append((node, text))
+        most = max(loose, key=loose.get, default=0)
+        if not most or loose[most] <= LOOSE_SHARE * sum(len(text) for _, text in kept):
+            return " ".join(text for _, text in choose(kept))
+        spared = spared | set(longest[most][1])  # with what is around its longest text, so the rounds are few
 
 
 def choose(nodes: list[tuple[Node, str]]) -> list[tuple[Node, str]]:

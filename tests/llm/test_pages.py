@@ -53,6 +53,23 @@ def test_nothing_of_the_article_is_dropped(html, text):
     assert p.main_text(f"<html><body>{html}</body></html>") == text
 
 
+@pytest.mark.parametrize("html,text", [
+    (f"<article><svg viewBox='0 0 1 1'/>{BODY}<svg><text>x</text></svg></article>", STORY),
+    (f"<article><p>One, two.</p><video-js></video-js><svg-icon></svg-icon>{BODY}</article>", f"One, two. {STORY}"),
+    (f"<article data-title='The hidden cost' title=\"a hidden b\">{BODY}</article>", STORY),
+    (f"<article><div hidden><p>No.</p></div><div aria-hidden=true>No.</div><div style='display: none'>No.</div>{BODY}</article>", STORY),
+    (f'<article class="long-form">{BODY}</article>', STORY),
+    (f'<div class="elementor-widget">{BODY}</div><div class="sidebar">Side.</div>', STORY),
+    ('<div class="widget">' * 3000 + BODY, STORY),
+    (f'<article>{BODY}<section id="discussion"><p>We discuss.</p></section><section id="related-work"><p>Others.</p></section></article>',
+     f"{STORY} We discuss. Others."),
+    (f'<form action="x.aspx"><nav>Menu</nav><div>{BODY}</div><div class="sidebar">Side.</div></form>', STORY),
+    (f'<div>{BODY}</div><form><p>Enter mail, please.</p></form>', STORY),
+])
+def test_names_do_not_rule_out_the_article(html, text):
+    assert p.main_text(f"<html><body>{html}</body></html>") == text
+
+
 def test_rows(spark):
     rows = [(1, "u", PAGE, "x"), (None, None, None, None), (2, "u", "", "x"), (2, "u", "<p>é</p>", "x"), (2, "u", "<p>é</p>", "x")]
     frame = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
