@@ -136,6 +136,14 @@ class Encoder:
         return ids, counts
 
 
+def byte_alphabet() -> dict[int, str]:
+    """The printable character that byte-level tokenizers write each byte as: printable Latin-1
+    characters stand for themselves, the other bytes take the characters from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(0x100 + k) for k, b in enumerate(others)}
+
+
 _ENCODERS: dict[tuple, Encoder] = {}
 
 

@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, and SQL where it can say the same."""
+"""The registered queries of the operators, and SQL where it can say the same."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuelake.llm import bitpack, mixing, near_vectors, packing, pages, quality_rules, sharding, simhash, site_quality, toxicity
+from cuelake.llm import alignment, bitpack, mixing, near_vectors, packing, pages, quality_rules, sharding, simhash, site_quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -101,3 +101,10 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     grouped = simhash.group_documents(_read(spark, folder, "documents"))
     return grouped.select("doc_id", simhash.hex_of(grouped["fp"]).alias("fingerprint"), "component_id")
+
+
+@query("op13_cross_tokenizer")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.align_tokenizers(
+        _read(spark, folder, "documents"), _tokenizer("byte_bpe_50k.json"), _tokenizer("piece_bpe_32k.model")
+    )
