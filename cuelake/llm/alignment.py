@@ -28,7 +28,7 @@ import json
 import re
 from collections.abc import Iterator
 from functools import reduce
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -39,6 +39,7 @@ from cuelake.llm.common import stage_table, text_batches
 from cuelake.llm.encoder import byte_alphabet, in_slices
 
 _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
+_SPACE_BESIDE = re.compile(r" \s|\s |\A\s|\s\Z")
 MOST_PAIRS = 2_000_000
 
 
@@ -71,6 +72,11 @@ def links(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends), ends
 
 
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    many = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.int64, int(many.sum())), many
+
+
 class Digits:
     """Decimal digits of token ids as rows of a byte matrix, with room for one mark behind them."""
 
@@ -135,65 +141,66 @@ class Aligner:
         self.first = np.zeros(1 << 12, np.int64)
         self.used = 0
 
-    def _encode_a(self, texts: list[str]) -> list[list[int]]:
-        """Ids of many short texts. Texts joined by a special token are encoded apart in one call."""
-        if self.mark is None or any(s in t for t in texts for s in self.specials):
-            return [e.ids for e in self.plain.encode_batch_fast(texts, add_special_tokens=False)]
+    def _encode_a(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many short texts and how many each has. Texts joined by a special token are encoded
+        apart in one call, unless a text holds the string of one."""
+        joined = "\n".join(texts)
+        if self.mark is None or any(s in joined for s in self.specials):
+            encoded = [e.ids for e in self.plain.encode_batch_fast(texts, add_special_tokens=False)]
+            return _flat(encoded)
         runs = [self.mark.join(texts[k : k + 256]) + self.mark for k in range(0, len(texts), 256)]
-        out, own = [], []
-        for e in self.cuts.encode_batch_fast(runs, add_special_tokens=False):
-            for i in e.ids:
-                if i == self.mark_id:
-                    out.append(own)
-                    own = []
-                else:
-                    own.append(i)
-        return out
+        ids = np.concatenate([np.array(e.ids, np.int64) for e in self.cuts.encode_batch_fast(runs, add_special_tokens=False)])
+        marks = np.flatnonzero(ids == self.mark_id)
+        return np.delete(ids, marks), np.diff(marks, prepend=-1) - 1
+
+    def _right(self, wholes: list[str], flat_a: np.ndarray, many_a: np.ndarray, flat_b: np.ndarray, many_b: np.ndarray) -> np.ndarray:
+        """Which pieces the tokens of both sides join to."""
+        want = [w.encode() for w in wholes]
+        length = np.fromiter(map(len, want), np.int64, len(want))
+        right = np.ones(len(want), bool)
+        for flat, many, tokens, lengths in ((flat_a, many_a, self.bytes_a, self.length_a), (flat_b, many_b, self.bytes_b, self.length_b)):
+            got = b"".join(map(tokens.__getitem__, flat.tolist()))
+            ends = np.append(0, np.cumsum(lengths[flat]))[np.cumsum(many)]
+            if np.array_equal(ends, np.cumsum(length)) and got == b"".join(want):
+                continue
+            bounds = [0, *ends.tolist()]
+            right &= np.array([got[a:z] == w for a, z, w in zip(bounds, bounds[1:], want)], bool)
+        return right
 
     def _learn(self, new: list[str]) -> None:
         wholes = [" " + p for p in new]
-        odd = [any(s in p for s in self.specials) for p in new]
-        ids_a: list[list[int]] = [[]] * len(new)
-        for want in (False, True):
-            at = [k for k, o in enumerate(odd) if o is want]
-            if at:
-                for k, ids in zip(at, self._encode_a([wholes[k] for k in at])):
-                    ids_a[k] = ids
-        # the model puts a space in front by itself; of an empty piece it makes nothing
-        ids_b = self.pieces.encode(new, num_threads=1)
-        joins_a, joins_b = self.bytes_a.__getitem__, self.bytes_b.__getitem__
-        right = np.array(
-            [b"".join(map(joins_a, x)) == t and b"".join(map(joins_b, y)) == t
-             for x, y, t in zip(ids_a, ids_b, (w.encode() for w in wholes))], bool)
-        kept = np.flatnonzero(right).tolist()
+        flat_a, many_a = self._encode_a(wholes)
+        # the second side puts a space in front by itself
+        flat_b, many_b = _flat(self.pieces.encode(new, num_threads=1))
+        right = self._right(wholes, flat_a, many_a, flat_b, many_b)
         first, n = len(self.slot), len(new)
         while first + n > len(self.first):
             self.counts = np.concatenate([self.counts, np.zeros_like(self.counts)])
             self.first = np.concatenate([self.first, np.zeros_like(self.first)])
-        here = self.counts[first : first + n]
-        here[:] = 0
-        here[:, 4] = ~right
+        self.counts[first : first + n, :4] = 0
+        self.counts[first : first + n, 4] = ~right
         texts = [b""] * n
-        if kept:
-            rows = first + np.array(kept)
-            codes, found, counts = self._align([ids_a[k] for k in kept], [ids_b[k] for k in kept])
+        kept = np.flatnonzero(right)
+        if len(kept):
+            codes, found, counts = self._align(
+                flat_a[np.repeat(right, many_a)], many_a[kept], flat_b[np.repeat(right, many_b)], many_b[kept]
+            )
             while self.used + len(codes) > len(self.codes):
                 self.codes = np.concatenate([self.codes, np.empty_like(self.codes)])
             self.codes[self.used : self.used + len(codes)] = codes
-            self.counts[rows, :4] = counts
-            self.first[rows] = self.used + np.cumsum(counts[:, 3]) - counts[:, 3]
+            self.counts[first + kept, :4] = counts
+            self.first[first + kept] = self.used + np.cumsum(counts[:, 3]) - counts[:, 3]
             self.used += len(codes)
-            for k, text in zip(kept, found):
+            for k, text in zip(kept.tolist(), found):
                 texts[k] = text
         self.texts += texts
         self.slot.update(zip(new, range(first, first + n)))
         self.chars += sum(map(len, new))
 
-    def _align(self, ids_a: list[list[int]], ids_b: list[list[int]]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    def _align(
+        self, flat_a: np.ndarray, many_a: np.ndarray, flat_b: np.ndarray, many_b: np.ndarray
+    ) -> tuple[np.ndarray, list[bytes], np.ndarray]:
         """Links as codes, group texts and counts of pieces laid end to end."""
-        many_a, many_b = (np.fromiter(map(len, ids), np.int64, len(ids)) for ids in (ids_a, ids_b))
-        flat_a = np.fromiter((i for ids in ids_a for i in ids), np.int64, int(many_a.sum()))
-        flat_b = np.fromiter((i for ids in ids_b for i in ids), np.int64, int(many_b.sum()))
         ends_a, ends_b = np.cumsum(self.length_a[flat_a]), np.cumsum(self.length_b[flat_b])
         last_a, last_b = np.cumsum(many_a) - 1, np.cumsum(many_b) - 1
         piece_ends = ends_a[last_a]
@@ -229,10 +236,7 @@ class Aligner:
     def _split(text: str) -> list[str]:
         """Pieces, each of which a space precedes. Cut at every space where no piece begins or ends
         in white space, else at the safe spaces only."""
-        out = text.split(" ")
-        if any(not p or p[0].isspace() or p[-1].isspace() for p in out):
-            return _SAFE_SPACE.split(text)
-        return out
+        return _SAFE_SPACE.split(text) if _SPACE_BESIDE.search(text) else text.split(" ")
 
     def align(self, texts: list[str]) -> Iterator[tuple[int, int, int, int, str, np.ndarray]]:
         """n_a, n_b, n_groups, n_links, digest of the groups, and the codes of all links of each text."""
