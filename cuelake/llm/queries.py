@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelake.llm import alignment, bitpack, chat_format, mixing, near_vectors, packing, pages, quality_rules, sharding, simhash, site_quality, toxicity
+from cuelake.llm import alignment, bitpack, chat_format, merkle, mixing, near_vectors, packing, pages, quality_rules, sharding, simhash, site_quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -138,6 +138,55 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     return chat_format.digests(chat_format.format_conversations(turns.unionByName(probe)))
 
 
+def _op12_sql() -> str:
+    def leaf(n_chars: str) -> str:
+        parts = ["doc_id", "source", "lang", n_chars, "text"]
+        shown = [f"coalesce(strlen(cast({p} as varchar)) || ':' || cast({p} as varchar), '-')" for p in parts]
+        return f"sha256({' || '.join(shown)})"
+
+    # crc32 bit by bit: eight steps a byte
+    crc = """xor(list_reduce(list_concat([4294967295::bigint], flatten(list_transform(str_split(cast(doc_id as varchar), ''),
+        lambda c: [ascii(c)::bigint, 0, 0, 0, 0, 0, 0, 0]))),
+        lambda a, x: xor(xor(a, x) >> 1, 3988292384 * (xor(a, x) & 1))), 4294967295)"""
+    up = """select grp, level + 1, idx // 2, sha256(string_agg(node, '' order by idx)), n
+            from {t} where n > (1::bigint << level) group by grp, level, idx // 2, n"""
+    return f"""
+        with recursive leaves as (
+          select doc_id, lang, {leaf("n_chars")} as leaf, case when {crc} % 7 = 0 then {leaf("(n_chars + 1)")} end as other
+          from documents),
+        placed as (
+          select *, dense_rank() over (order by lang nulls first) - 1 as grp,
+                 row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as idx, count(*) over (partition by lang) as n
+          from leaves),
+        nodes(grp, level, idx, node, n) as (
+          select grp, 0, idx, leaf, n from placed union all {up.format(t="nodes")}),
+        subroots as (select grp, node as subroot from nodes where (1::bigint << level) >= n),
+        tops(grp, level, idx, node, n) as (
+          select 0, 0, grp, subroot, (select count(*) from subroots) from subroots union all {up.format(t="tops")}),
+        roots as (select node as root from tops where (1::bigint << level) >= n),
+        steps as (select 0 as tree, * from nodes union all select 1, * from tops),
+        walk(doc, doc_id, leaf, subroot, grp, tree, level, idx, n, own, proof) as (
+          select row_number() over (), doc_id, leaf, subroot, grp, 0, 0, idx, n, coalesce(other, leaf), ''
+          from placed join subroots using (grp)
+          union all
+          select doc, doc_id, leaf, subroot, w.grp, case when done then 1 else w.tree end, case when done then 0 else w.level + 1 end,
+                 case when done then w.grp else w.idx // 2 end, case when done then (select count(*) from subroots) else w.n end,
+                 case when done then own when s.node is null then sha256(own) when s.idx < w.idx then sha256(s.node || own) else sha256(own || s.node) end,
+                 proof || coalesce(s.node, '')
+          from (select *, tree = 0 and (1::bigint << level) >= n as done from walk) w left join steps s
+            on s.tree = w.tree and s.grp = (case when w.tree = 0 then w.grp else 0 end) and s.level = w.level and s.idx = xor(w.idx, 1)
+          where not (w.tree = 1 and w.n <= (1::bigint << w.level)))
+        select doc_id, leaf, subroot, root, sha256(proof) as proof_sha256, own as folded_root, own = root as verified
+        from walk, roots where tree = 1 and (1::bigint << level) >= n"""
+
+
+@query("op12_merkle_manifest", _op12_sql())
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _read(spark, folder, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    return merkle.verified(merkle.manifest(docs, F.when(tampered, F.col("n_chars") + 1)))
+
+
 @query("op13_cross_tokenizer")
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     return alignment.align_tokenizers(
