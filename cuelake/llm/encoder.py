@@ -13,6 +13,9 @@ import numpy as np
 # characters that are not white space. The space belongs to what follows it.
 _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _FIRST = "\x00"
+# A full stop or comma that may belong to a run of marks: it follows something else than a digit or a
+# Latin letter that stays one letter when lowered and composed (all up to U+017F but U+0130).
+_MARKS = re.compile(r"[^0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f\s][.,] ")
 
 
 class Encoder:
@@ -21,7 +24,8 @@ class Encoder:
     Byte-pair tokenizers work inside the pieces that their pre-tokenizer cuts, so encoding pieces
     cut at positions where it always cuts, and joining the ids, gives the ids of the whole text.
     `keeps_spaces` tells the two families apart: byte-level tokenizers put a space in front of the
-    following piece; word tokenizers drop white space.
+    following piece; word tokenizers drop white space, so lone marks and (if the tokenizer lowers)
+    ASCII capitals need no pieces of their own.
 
     The memory is emptied when it holds `most_chars` characters, so it stays bounded."""
 
@@ -32,6 +36,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.keeps_spaces = keeps_spaces
         self.most_chars = most_chars
+        self.lowers = not keeps_spaces and self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str("A") == "a"
         special = {i: t.content for i, t in self.tokenizer.get_added_tokens_decoder().items() if not (t.lstrip or t.rstrip or t.single_word)}
         self.mark_id, self.mark = next(iter(special.items()), (None, None))
         self._forget()
@@ -49,7 +54,13 @@ class Encoder:
         """Pieces cut at every space. With spaces kept, that is wrong for a text that has a space
         beside white space; `_beside` marks the pieces that show it."""
         if not self.keeps_spaces:
-            return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+            text = text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
+            if self.lowers and text.isascii() and "<|" not in text:
+                text = text.lower()
+            # a lone mark behind a letter or digit is a token of its own
+            if _MARKS.search(text) is None:
+                text = text.replace(". ", " . ").replace(", ", " , ")
+            return text.split(" ")
         out = text.split(" ")
         out[0] = _FIRST + out[0]
         return out

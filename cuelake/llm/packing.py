@@ -92,44 +92,55 @@ def pack_documents(
     and its ids as little-endian unsigned 32-bit integers (null unless `with_ids`)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc, end = encoder(tokenizer, keeps_spaces), np.array([end_id], np.uint32)
+        enc = encoder(tokenizer, keeps_spaces)
         base = TaskContext.get().partitionId() << 40
         used = held = 0
-        waiting: list[tuple[int | None, np.ndarray]] = []
+        waiting: list[tuple[list, np.ndarray, np.ndarray]] = []  # document ids, ids with end ids, counts
 
         def packed() -> Iterator[pd.DataFrame]:
             nonlocal used
-            pieces = [
-                (k, start, min(size, len(ids) - start)) for k, (_, ids) in enumerate(waiting) for start in range(0, len(ids), size)
-            ]
-            order = sorted(
-                range(len(pieces)),
-                key=lambda p: (-pieces[p][2], waiting[pieces[p][0]][0] is None, waiting[pieces[p][0]][0] or 0, p),
-            )
-            places = best_fit_decreasing([pieces[p][2] for p in order], size)
-            rows = []
-            for p, (window, offset) in zip(order, places):
-                k, start, n = pieces[p]
-                doc, ids = waiting[k]
-                data = ids[start : start + n].astype("<u4").tobytes()
-                rows.append((doc, start, n, zlib.crc32(data), len(ids), base + used + window, offset, data if with_ids else None))
-            used += 1 + max((w for w, _ in places), default=-1)
-            for k in range(0, len(rows), 4096):
-                part = rows[k : k + 4096]
-                out = pd.DataFrame(part, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
-                out["doc_id"] = pd.array([r[0] for r in part], dtype="Int64")
-                yield out
+            names = [d for docs_of, _, _ in waiting for d in docs_of]
+            none = np.array([d is None for d in names], bool)
+            doc = np.array([0 if d is None else int(d) for d in names], np.int64)
+            ids = np.concatenate([i for _, i, _ in waiting]).astype("<u4", copy=False)
+            counts = np.concatenate([c for _, _, c in waiting])
+            many = -(-counts // size)
+            of = np.repeat(np.arange(len(counts)), many)
+            start = (np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)) * size
+            length = np.minimum(size, counts[of] - start)
+            order = np.lexsort((doc[of], none[of], -length))
+            of, start, length = of[order], start[order], length[order]
+            places = np.array(best_fit_decreasing(length.tolist(), size), np.int64).reshape(-1, 2)
+            at = (np.cumsum(counts) - counts)[of] + start
+            bounds = list(zip(at.tolist(), (at + length).tolist()))
+            window = base + used + places[:, 0]
+            used += 1 + int(places[:, 0].max(initial=-1))
+            for k in range(0, len(of), 4096):
+                here = slice(k, k + 4096)
+                yield pd.DataFrame({
+                    "doc_id": pd.arrays.IntegerArray(doc[of[here]], none[of[here]]),
+                    "start": start[here],
+                    "length": length[here],
+                    "ids_crc32": np.array([zlib.crc32(ids[a:z]) for a, z in bounds[here]], np.int64),
+                    "doc_tokens": counts[of[here]],
+                    "sequence_id": window[here],
+                    "offset": places[here, 1],
+                    "ids": [ids[a:z].tobytes() for a, z in bounds[here]] if with_ids else None,
+                })
 
         for batch in batches:
             texts = [t or "" for t in batch["text"]]
             doc_ids = batch["doc_id"].tolist()
             for a, b in in_slices(texts):
                 ids, counts = enc.encode(texts[a:b])
-                at = np.concatenate([[0], np.cumsum(counts)])
-                for k in range(a, b):
-                    doc = None if doc_ids[k] is None else int(doc_ids[k])
-                    waiting.append((doc, np.concatenate([ids[at[k - a] : at[k - a + 1]], end])))
-                held += len(ids) + b - a
+                counts = counts + 1
+                closed = np.empty(len(ids) + len(counts), np.uint32)
+                ends = np.cumsum(counts) - 1
+                inside = np.ones(len(closed), bool)
+                inside[ends] = False
+                closed[inside], closed[ends] = ids, end_id
+                waiting.append((doc_ids[a:b], closed, counts))
+                held += len(closed)
                 if held >= buffer_ids:
                     yield from packed()
                     waiting, held = [], 0

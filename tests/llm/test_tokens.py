@@ -24,7 +24,7 @@ ODD = [
 @pytest.mark.parametrize("path,spaces", [(BYTES, True), (WORDS, False)])
 def test_encoder_equals_the_library(path, spaces):
     rng = random.Random(1)
-    pieces = [" ", "  ", "\n", "\t", "a", "'s", "don't", "1", "é", "́", "。", "<|endoftext|>", " ", "\x00", "Word", "\r\n"]
+    pieces = [" ", "  ", "\n", "\t", "a", "'s", "don't", "1", "é", "́", "。", "<|endoftext|>", " ", "\x00", "Word", "\r\n", ". ", ", ", "..", "_", "!", "<|STARTOFTEXT|>", "İ", "Σ", "½"]
     texts = ODD + ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 20))) for _ in range(600)]
     enc = Encoder(path, spaces, most_chars=500)  # forgets on the way
     for a, z in in_slices(texts, 300):
