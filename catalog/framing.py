@@ -40,6 +40,46 @@ def frames(t):
 PX_SQL = """px AS (SELECT vec_id, label, list_transform(embedding, lambda v: greatest(0, least(255, round(v::DOUBLE * 200 + 128)))::INT) AS p FROM embeddings)"""
 
 
+# Frames of the SQL twins: every vector shown once or up to four times by its label, dark for label 9.
+FRAMES_SQL = PX_SQL + """,
+fr AS (SELECT vec_id // 50 AS media_id, ((vec_id % 50) * 2000 + k * 500)::DOUBLE AS t_ms, CASE WHEN label = 9 THEN list_transform(p, lambda v: v * 0) ELSE p END AS p
+  FROM (SELECT *, unnest(range(0, label % 4 + 1)) AS k FROM px)),
+ft AS (SELECT media_id, t_ms, p, list_avg(p) AS mean, list_var_pop(p) AS var,
+  list_sum(list_transform(list_filter(range(0, 64), lambda i: i % 8 > 0 AND i >= 8), lambda i: abs(p[i + 1] - p[i]) + abs(p[i + 1] - p[i - 7]))) / (64 * 2 * 255.0) AS sharp,
+  row_number() OVER (PARTITION BY media_id ORDER BY t_ms) AS n FROM fr),
+ff AS (SELECT media_id, t_ms, n, p, mean < 9 AND var < 80 AS black, sharp < 0.002 AND var < 30 AS unobservable FROM ft)"""
+
+
+def compare_sql(a, b):
+    """Difference of two frames of the test grid: the best of nine shifts, then the worst of sixteen cells."""
+    spot = "(li // 6 + 1) * 8 + li % 6 + 2"
+    return f"""list_transform(list_transform(list_transform([{{'p': {a}, 'q': {b}, 'm': list_avg({b}) - list_avg({a})}}],
+  lambda la: {{'v': la, 't': list_transform(range(0, 9), lambda ls: list_sum(list_transform(range(0, 36), lambda li: abs(la.p[{spot}] - (la.q[{spot} + (ls // 3 - 1) * 8 + ls % 3 - 1] - la.m)))) / 36 / 255)}}),
+  lambda lb: {{'v': lb.v, 'plain': lb.t[5], 'best': list_min(lb.t), 's': CASE WHEN lb.t[5] = list_min(lb.t) THEN 4 ELSE list_position(lb.t, list_min(lb.t)) - 1 END}}),
+  lambda lx: {{'overall': lx.best, 'motion': lx.plain > 0.04 AND lx.best < lx.plain * 0.5, 'regional': list_max(list_transform(range(0, 16),
+    lambda lc: list_avg(list_transform(list_filter(range(0, 36), lambda li: (li // 6 + 1) // 2 = lc // 4 AND (li % 6 + 1) // 2 = lc % 4),
+      lambda li: abs(lx.v.p[{spot}] - (lx.v.q[{spot} + (lx.s // 3 - 1) * 8 + lx.s % 3 - 1] - lx.v.m)))) / 255))}})[1]"""
+
+
+CHANGED = "({0}.overall > 0.07 OR {0}.regional > 0.045)"
+UNSURE = "({0}.overall > 0.025 OR {0}.regional > 0.018 OR {0}.motion)"
+
+# The detector frame by frame, all recordings at once. b is the baseline, w the pending frame.
+DECISIONS_SQL = f"""{FRAMES_SQL},
+dt AS (SELECT media_id, 0::BIGINT AS n, 0.0::DOUBLE AS t_ms, ''::VARCHAR AS kind, NULL::DOUBLE AS since, false AS motion, NULL::INT[] AS b, NULL::INT[] AS w, 0.0::DOUBLE AS seen, 0 AS c FROM ff GROUP BY media_id
+  UNION ALL
+  SELECT media_id, n, t_ms, CASE WHEN black THEN 'black' WHEN dark THEN 'unobservable' WHEN same THEN 'same' WHEN fresh OR c2 < 2 THEN 'candidate' ELSE 'stable' END,
+    CASE WHEN dark OR same OR fresh THEN t_ms ELSE at2 END, coalesce(same AND NOT dark AND d.motion, false),
+    CASE WHEN dark THEN NULL WHEN NOT same AND NOT fresh AND c2 >= 2 THEN p ELSE b END,
+    CASE WHEN dark OR same OR (NOT fresh AND c2 >= 2) THEN NULL WHEN again THEN w ELSE p END, at2, CASE WHEN dark OR same OR (NOT fresh AND c2 >= 2) THEN 0 ELSE c2 END
+  FROM (SELECT *, CASE WHEN again THEN c + 1 ELSE 1 END AS c2, CASE WHEN again OR dark OR same THEN seen ELSE t_ms END AS at2, b IS NULL AND w IS NULL AND NOT again AS fresh
+    FROM (SELECT *, coalesce(d.motion OR NOT ({CHANGED.format("d")} OR {UNSURE.format("d")}), false) AS same, coalesce(NOT {CHANGED.format("e")}, false) AS again
+      FROM (SELECT f.media_id, f.n, f.t_ms, f.p, f.black, f.black OR f.unobservable AS dark, dt.b, dt.w, dt.seen, dt.c,
+        CASE WHEN dt.b IS NOT NULL THEN {compare_sql("dt.b", "f.p")} END AS d, CASE WHEN dt.w IS NOT NULL THEN {compare_sql("dt.w", "f.p")} END AS e
+        FROM dt JOIN ff f ON f.media_id = dt.media_id AND f.n = dt.n + 1))))"""
+DECIDED = "SELECT media_id, t_ms, kind, since, motion FROM dt WHERE n > 0"
+
+
 @query("ag18_frame_features", f"""WITH {PX_SQL}, e AS (SELECT vec_id, p, list_avg(p) AS mean, list_var_pop(p) AS variance,
   list_sum(list_transform(list_filter(range(0, 64), lambda i: i % 8 > 0 AND i >= 8), lambda i: abs(p[i + 1] - p[i]) + abs(p[i + 1] - p[i - 7]))) / (64 * 2 * 255.0) AS s FROM px)
 SELECT vec_id, round(mean, 6) AS mean, round(variance, 6) AS variance, round(s, 6)::DOUBLE AS sharpness, mean < 9 AND variance < 80 AS black, s < 0.002 AND variance < 30 AS unobservable FROM e""")
@@ -49,9 +89,11 @@ def _(t):
     return f.select("vec_id", r("mean"), r("variance"), r("sharpness"), "f.black", "f.unobservable")
 
 
-@query("mth05_compare_frames")
+@query("mth05_compare_frames", f"""WITH {FRAMES_SQL}, d AS (SELECT a.media_id, b.t_ms, {compare_sql("a.p", "b.p")} AS d FROM ff a JOIN ff b ON b.media_id = a.media_id AND b.n = a.n + 1)
+SELECT media_id, t_ms, round(d.overall, 6)::DOUBLE AS overall, round(d.regional, 6)::DOUBLE AS regional, d.motion AS motion, {CHANGED.format("d")} AS changed, {UNSURE.format("d")} AS uncertain FROM d""")
 def _(t):
-    return M.compare_neighbours(frames(t), GRID)
+    short = lambda c: F.round(c, 6).alias(c)
+    return M.compare_neighbours(frames(t), GRID).select("media_id", "t_ms", short("overall"), short("regional"), "motion", "changed", "uncertain")
 
 
 @query("mth05_plain_difference", f"""WITH {PX_SQL} SELECT vec_id, round(list_sum(list_transform(range(1, 65), lambda i: abs(p[i] - q[i]))) / (64 * 255.0), 6)::DOUBLE AS d
@@ -66,7 +108,7 @@ def decisions(t):
     return M.detect_decisions(frames(t), GRID)
 
 
-@query("st01_detect_decisions")
+@query("st01_detect_decisions", f"WITH RECURSIVE {DECISIONS_SQL} {DECIDED}")
 def _(t):
     return decisions(t)
 
@@ -125,11 +167,39 @@ def _(t):
     return M.display_states(event_decisions(t), event_media(t))[1]
 
 
+@query("st07_resume_scan", f"WITH RECURSIVE {DECISIONS_SQL} {DECIDED}")
+def _(t):
+    """Every recording scanned up to a cursor of its own and then from there on."""
+    f = frames(t)
+    before, states = M.scan_on(f.where(F.col("t_ms") <= (F.col("media_id") * 7_919 % 100_000)), None, GRID)
+    after, _ = M.scan_on(f, states, GRID)
+    return before.unionByName(after)
+
+
+def scanned(t):
+    """All frames but the last of each recording, and the last ones."""
+    last = F.max("t_ms").alias("last_ms")
+    marked = M.attach_key_values(frames(t), ["media_id"], M.time_block("t_ms"), frames(t).groupBy("media_id").agg(last))
+    return marked.where("t_ms < last_ms").drop("last_ms"), marked.where("t_ms = last_ms").drop("last_ms")
+
+
+@query("st04_end_changes", f"""WITH RECURSIVE {DECISIONS_SQL},
+z AS (SELECT media_id, max(n) AS n FROM ff GROUP BY 1 HAVING max(n) > 1),
+l AS (SELECT media_id, f.p, f.black OR f.unobservable AS dark, dt.b, CASE WHEN dt.b IS NOT NULL THEN {compare_sql("dt.b", "f.p")} END AS d
+  FROM z JOIN ff f USING (media_id, n) JOIN dt ON dt.media_id = z.media_id AND dt.n = z.n - 1)
+SELECT media_id, dark OR b IS NULL OR {CHANGED.format("d")} AS last_changed FROM l""")
+def _(t):
+    f, finals = scanned(t)
+    return M.end_changes(M.scan_on(f, None, GRID)[1], finals, GRID)
+
+
 @query("st02_frame_states")
 def _(t):
-    """States of the decisions that the detector makes over frames."""
-    media = frames(t).groupBy("media_id").agg((F.max("t_ms") + 500).cast("bigint").alias("duration_ms")).withColumn("last_changed", F.lit(False))
-    return M.display_states(decisions(t), media)[0].withColumn("flags", F.array_join("flags", ","))
+    """States of a scan of all frames but the last, which is then compared with what the scan ends on."""
+    f, finals = scanned(t)
+    d, ends = M.scan_on(f, None, GRID)
+    media = finals.select("media_id", (F.col("t_ms") + 500).cast("bigint").alias("duration_ms")).join(M.end_changes(ends, finals, GRID), "media_id")
+    return M.display_states(d, media)[0].withColumn("flags", F.array_join("flags", ","))
 
 
 KIND_SQL = """k AS (SELECT user_id AS media_id, (epoch_us(ts) // 1000)::DOUBLE AS t_ms, CASE event_type WHEN 'error' THEN 'black' WHEN 'signup' THEN 'unobservable' ELSE 'same' END AS kind FROM events),
@@ -183,6 +253,46 @@ def _(t):
     return M.refine_boundaries(c, f.select("media_id", F.col("t_ms").cast("bigint").alias("t_ms"), "pixels"), GRID)
 
 
+def brackets(t):
+    """A scan of every second frame; where a candidate opens, the bracket since the frame before it,
+    with the last confirmed frame as baseline."""
+    f = frames(t)
+    sampled = f.where(F.col("t_ms") % 1000 == 0)
+    d = M.detect_decisions(sampled, GRID)
+    seen = d.join(sampled, ["media_id", "t_ms"])
+    held = F.when(F.col("kind").isin("same", "stable"), F.struct("pixels"))
+    known = M.ordered_scan(
+        seen, ["media_id"], ["t_ms"], M.time_block("t_ms"), [M.Scan("b", "last_before", held), M.Scan("prev", "lag", F.struct("t_ms", "kind", "since"))])
+    opens = (F.col("kind") == "candidate") & ~F.coalesce((F.col("prev.kind") == "candidate") & (F.col("prev.since") == F.col("since")), F.lit(False))
+    c = known.where(opens & F.col("b").isNotNull()).select(
+        "media_id", F.col("t_ms").cast("bigint").alias("change_id"), F.col("prev.t_ms").alias("low_ms"), F.col("t_ms").alias("high_ms"),
+        F.col("b.pixels").alias("baseline"), "width", "height", F.lit(100_000).cast("bigint").alias("duration_ms"))
+    return d, c, f
+
+
+@query("st05_bisect_boundaries", f"""WITH RECURSIVE {DECISIONS_SQL.replace("FROM fr)", "FROM fr WHERE t_ms % 1000 = 0)")},
+o AS (SELECT media_id, t_ms, n, kind, since, lag(kind) OVER w AS pk, lag(since) OVER w AS ps, lag(t_ms) OVER w AS low, max(CASE WHEN kind IN ('same', 'stable') THEN n END) OVER (PARTITION BY media_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS held
+  FROM dt WHERE n > 0 WINDOW w AS (PARTITION BY media_id ORDER BY n)),
+br AS (SELECT o.media_id, o.t_ms AS change_id, o.low, o.t_ms AS high, f.p AS b FROM o JOIN ff f ON f.media_id = o.media_id AND f.n = o.held WHERE o.kind = 'candidate' AND NOT coalesce(o.pk = 'candidate' AND o.ps = o.since, false)),
+bi AS (SELECT media_id, change_id, low, high, b FROM br UNION ALL
+  SELECT media_id, change_id, CASE WHEN hit THEN low ELSE (low + high) / 2 END, CASE WHEN hit THEN (low + high) / 2 ELSE high END, b
+  FROM (SELECT *, {CHANGED.format("d")} AS hit FROM (SELECT bi.*, {compare_sql("bi.b", "f.p")} AS d FROM bi
+    JOIN fr f ON f.media_id = bi.media_id AND f.t_ms = (SELECT max(g.t_ms) FROM fr g WHERE g.media_id = bi.media_id AND g.t_ms <= (bi.low + bi.high) / 2) WHERE bi.high - bi.low > 200)))
+SELECT media_id, change_id::BIGINT AS change_id, greatest(0, low - 250)::DOUBLE AS low_ms, least(100000, high + 250)::DOUBLE AS high_ms FROM bi WHERE high - low <= 200""")
+def _(t):
+    _, c, f = brackets(t)
+    return M.bisect_boundaries(c, f, GRID)
+
+
+@query("st05_refined_states")
+def _(t):
+    """Display states whose openings were narrowed by bisection."""
+    d, c, f = brackets(t)
+    narrow = M.bisect_boundaries(c, f, GRID).withColumn("t_ms", F.col("change_id").cast("double"))
+    media = d.groupBy("media_id").agg((F.max("t_ms") + 1000).cast("bigint").alias("duration_ms")).withColumn("last_changed", F.lit(True))
+    return M.display_states(d, media, step_ms=1000.0, refined=narrow)[0].withColumn("flags", F.array_join("flags", ","))
+
+
 @query("st08_ingest_checkpoints", """SELECT doc_id AS media_id, count(*)::BIGINT AS chunks FROM documents, (SELECT unnest([0, 1])) WHERE len(list_filter(string_split(regexp_replace(text, '[\\n\\t]', ' ', 'g'), ' '), lambda x: x <> '')) > 1 GROUP BY 1""")
 def _(t):
     h = halves(t)

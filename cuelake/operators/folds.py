@@ -46,9 +46,13 @@ def block_fold(
     make: Callable[[], Fold],
     emits: str,
     prepare: Callable[[DataFrame], DataFrame] = lambda rows: rows,
+    start: DataFrame | None = None,
+    leave: bool = False,
 ) -> DataFrame:
     """Fold ``columns`` of ``df`` in order inside each key. ``emits`` is the DDL of emitted rows;
-    ``prepare`` derives columns after the rows have been spread over the tasks."""
+    ``prepare`` derives columns after the rows have been spread over the tasks. ``start`` (keys,
+    state) is what a key's first block goes on from. With ``leave`` keys are not finished: one more row
+    per key, whose emitted columns are null, holds what is left open in the column ``state``."""
     keys, order, columns = list(keys), list(order), list(columns)
     source = df.select(*keys, block.alias("__blk"), *dict.fromkeys([*order, *columns]))
     # Fold work is heavy per byte: an explicit count keeps small inputs spread over the tasks.
@@ -69,6 +73,9 @@ def block_fold(
             out.extend(fold.finish())
         return out, json.dumps(fold.state, ensure_ascii=False)
 
+    if leave:
+        emits, names = f"{emits}, state STRING", [*names, "state"]
+
     def frame(key: tuple, rows: list[tuple]) -> pd.DataFrame:
         out = pd.DataFrame(rows, columns=names)
         for at, name in reversed(list(enumerate(keys))):
@@ -81,7 +88,12 @@ def block_fold(
         return pd.DataFrame([[*key, given, left]], columns=[*keys, "__blk", "state_in", "state_out"])
 
     def emit(key: tuple, rows: pd.DataFrame, carry: pd.DataFrame) -> pd.DataFrame:
-        done, _ = run(rows, carry["state_in"].iloc[0], bool(carry["is_last"].iloc[0]))
+        last = bool(carry["is_last"].iloc[0])
+        done, left = run(rows, carry["state_in"].iloc[0], last and not leave)
+        if leave:
+            done = [(*row, None) for row in done]
+            if last:
+                done.append((*[None] * (len(names) - 1), left))
         return frame(key, done)
 
     at = [*keys, "__blk"]
@@ -89,13 +101,22 @@ def block_fold(
     carry_at = [f"__carry_{c}" for c in at]
     renamed = [F.col(c).alias(n) for c, n in zip(at, carry_at)]
     along = Window.partitionBy(*keys).orderBy("__blk")
+    nothing = F.lit(None).cast("string")
+    blocks = source.groupBy(*at).agg(F.count(F.lit(1)).alias("n")).select(
+        *at,
+        F.lead("__blk").over(along).isNull().alias("is_last"),
+        F.lag("__blk").over(along).isNull().alias("is_first"),
+    )
+    if start is None:
+        blocks = blocks.withColumn("given", nothing)
+    else:
+        blocks = blocks.join(start.select(*keys, F.col("state").alias("given")), keys, "left")
     known = cut_lineage(
-        source.groupBy(*at).agg(F.count(F.lit(1)).alias("n")).select(
-            *at,
-            F.lead("__blk").over(along).isNull().alias("is_last"),
-            F.lit(None).cast("string").alias("state_in"),
-            F.lit(None).cast("string").alias("state_out"),
-        ).withColumn("stale", ~F.col("is_last"))  # nobody reads what the last block leaves open
+        blocks.select(
+            *at, "is_last", "is_first", "given",
+            F.when(F.col("is_first"), F.col("given")).alias("state_in"), nothing.alias("state_out"),
+            (~F.col("is_last")).alias("stale"),  # nobody reads what the last block leaves open
+        )
     )
     state_ddl = f"{key_ddl}, __blk BIGINT, state_in STRING, state_out STRING"
     staged = False
@@ -111,13 +132,13 @@ def block_fold(
             .select(*at, F.col("state_out").alias("fresh_out"))
         )
         merged = known.join(fresh, at, "left").select(
-            *at, "is_last", "state_in",
+            *at, "is_last", "is_first", "given", "state_in",
             F.coalesce("fresh_out", "state_out").alias("state_out"),
         )
-        given = F.lag("state_out").over(along)
+        given = F.when(F.col("is_first"), F.col("given")).otherwise(F.lag("state_out").over(along))
         known = cut_lineage(
             merged.select(
-                *at, "is_last", given.alias("state_in"), "state_out",
+                *at, "is_last", "is_first", "given", given.alias("state_in"), "state_out",
                 (~given.eqNullSafe(F.col("state_in")) & ~F.col("is_last")).alias("stale"),
             )
         )

@@ -4,6 +4,7 @@ frames: media_id, t_ms, width, height, pixels (BINARY, one gray byte per pixel,
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
@@ -16,7 +17,7 @@ from pyspark.sql.types import (
 )
 
 from cuelake.operators.folds import block_fold
-from cuelake.operators.joins import attach_key_values
+from cuelake.operators.joins import asof_join, attach_key_values
 from cuelake.operators.ordered import Scan, numbered, ordered_scan, row_block, time_block
 from cuelake.session import stage_table
 
@@ -214,6 +215,57 @@ def detect_decisions(
     )
 
 
+def scan_on(
+    frames: DataFrame, start: DataFrame | None = None, grid: Grid = Grid(), feature: Callable = feature_of, frame_rows: int = FRAME_ROWS
+) -> tuple[DataFrame, DataFrame]:
+    """(decisions, states) of a scan that goes on where an earlier one stopped.
+
+    start: the states of earlier scans, one row per recording: media_id, cursor_ms (its last frame) and
+    state (what the machine holds, as text). Frames at or before the cursor are not read again. The new
+    states hold all recordings of either table, so stopping anywhere and going on gives the decisions
+    of one scan."""
+    keys, block = ["media_id"], time_block("t_ms")
+    fresh = frames
+    if start is not None:
+        known = attach_key_values(frames, keys, block, start.select("media_id", "cursor_ms"))
+        fresh = known.where(F.col("cursor_ms").isNull() | (F.col("t_ms") > F.col("cursor_ms"))).select(*frames.columns)
+    ordinal = numbered(fresh, keys, ["t_ms"], block, "n")
+    rows = stage_table(
+        block_fold(
+            ordinal, keys, ["n"], row_block("n", frame_rows), ["t_ms", "width", "height", "pixels"],
+            lambda: _Decisions(grid, feature), "t_ms DOUBLE, kind STRING, since DOUBLE, motion BOOLEAN", start=start, leave=True,
+        ),
+        "scan_decisions",
+    )
+    left = rows.where(F.col("state").isNotNull()).select("media_id", "state")
+    states = rows.groupBy("media_id").agg(F.max("t_ms").alias("cursor_ms")).join(left, "media_id")
+    if start is not None:
+        idle = start.join(states.select("media_id"), "media_id", "left_anti")
+        states = states.unionByName(idle.select("media_id", F.col("cursor_ms").cast("double").alias("cursor_ms"), "state"))
+    return rows.where(F.col("state").isNull()).drop("state"), states
+
+
+def end_changes(states: DataFrame, finals: DataFrame, grid: Grid = Grid(), feature: Callable = feature_of) -> DataFrame:
+    """media_id, last_changed: is the final frame of a recording unreadable, or different from the
+    baseline that its scan (`states`) was left with? Without a baseline it counts as changed.
+
+    finals: media_id, width, height, pixels, one row per recording."""
+
+    @F.pandas_udf(BooleanType())
+    def changed(state: pd.Series, pixels: pd.Series, width: pd.Series, height: pd.Series) -> pd.Series:
+        machine = Detector(grid, feature)
+        out = []
+        for dumped, p, w, h in zip(state, pixels, width, height):
+            machine.load(json.loads(dumped))
+            last = image(p, w, h)
+            *_, black, unobservable = feature(last)
+            out.append(bool(black or unobservable or machine.baseline is None or compare(machine.baseline, last, grid).changed))
+        return pd.Series(out)
+
+    both = states.select("media_id", "state").join(finals, "media_id")
+    return both.select("media_id", changed("state", "pixels", "width", "height").alias("last_changed"))
+
+
 def display_states(
     decisions: DataFrame, media: DataFrame, max_states: int = 200, step_ms: float = 500.0, refined: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -418,6 +470,42 @@ def refine_boundaries(changes: DataFrame, dense: DataFrame, grid: Grid = Grid(),
         F.least(F.col("duration_ms"), high + slack_ms).cast("bigint").alias("high_ms"))
 
 
+def bisect_boundaries(
+    changes: DataFrame, dense: DataFrame, grid: Grid = Grid(), step_ms: float = 200.0, slack_ms: float = 250.0
+) -> DataFrame:
+    """changes (as for refine_boundaries) narrowed by halving all brackets at once.
+
+    A round probes one frame per open bracket, the one shown at its middle: the middles meet the frame
+    times in one as-of scan, then only the probed frames are fetched. A bracket closes at `step_ms`, so
+    the rounds are the binary logarithm of the widest one. The result is widened by the timing
+    uncertainty and kept inside the recording. A middle with no frame before it counts as unchanged."""
+
+    @F.pandas_udf(BooleanType())
+    def changed(a: pd.Series, b: pd.Series, w: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series([q is not None and compare(image(p, x, y), image(q, x, y), grid).changed for p, q, x, y in zip(a, b, w, h)])
+
+    keys = ["media_id", "change_id"]
+    fixed = changes.select(*keys, "baseline", "width", "height")
+    ends = changes.select(*keys, F.col("low_ms").cast("double").alias("low_ms"), F.col("high_ms").cast("double").alias("high_ms"))
+    times = dense.select("media_id", F.col("t_ms").cast("double").alias("t_ms"))
+    found = dense.select("media_id", F.col("t_ms").cast("double").alias("probe_ms"), "pixels")
+    ends = stage_table(ends, "brackets")
+    while not (wide := ends.where(F.col("high_ms") - F.col("low_ms") > step_ms)).isEmpty():
+        asked = wide.withColumn("middle", (F.col("low_ms") + F.col("high_ms")) / 2)
+        shown = asof_join(asked, times, ["media_id"], F.col("middle"), F.col("t_ms"), ["t_ms"], prefix="shown", left_order=["change_id"])
+        probes = shown.select(*asked.columns, F.col("shown.t_ms").alias("probe_ms")).join(found, ["media_id", "probe_ms"], "left")
+        hit = changed("baseline", "pixels", "width", "height")
+        judged = probes.join(fixed, keys).withColumn("hit", hit).select(
+            *keys, F.when(F.col("hit"), F.col("low_ms")).otherwise(F.col("middle")).alias("low_ms"),
+            F.when(F.col("hit"), F.col("middle")).otherwise(F.col("high_ms")).alias("high_ms"),
+        )
+        ends = stage_table(ends.where(F.col("high_ms") - F.col("low_ms") <= step_ms).unionByName(judged), "brackets")
+    return ends.join(changes.select(*keys, "duration_ms"), keys).select(
+        *keys, F.greatest(F.lit(0.0), F.col("low_ms") - slack_ms).alias("low_ms"),
+        F.least(F.col("duration_ms").cast("double"), F.col("high_ms") + slack_ms).alias("high_ms"),
+    )
+
+
 def apply_provider(rows: DataFrame, provide: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """Run a user's "rows to results" callable over batches; the callable sees one batch only."""
 

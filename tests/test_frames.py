@@ -218,3 +218,64 @@ def test_boundaries_stay_inside_the_recording(spark):
         [(1, t, raw(a if t < 1500 else b)) for t in range(1000, 2001, 100)], "media_id BIGINT, t_ms BIGINT, pixels BINARY")
     assert [(r.low_ms, r.high_ms) for r in V.refine_boundaries(changes, dense, GRID).collect()] == [(1050, 1750)]
     assert [(r.low_ms, r.high_ms) for r in V.refine_boundaries(changes, dense.where("t_ms < 1500"), GRID).collect()] == [(1550, 1900)]
+
+
+def small_frames(spark, rng, media, most=14):
+    """Short recordings of 8 x 8 frames that stay, come back, go black or flicker."""
+    looks = [rng.integers(20, 230, (8, 8)) for _ in range(3)] + [np.zeros((8, 8))]
+    rows = []
+    for m in range(media):
+        for k in range(int(rng.integers(1, most))):
+            rows.append((m, k * 500.0, 8, 8, bytearray(looks[int(rng.choice([0, 0, 1, 1, 2, 3]))].astype(np.uint8).tobytes())))
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+SMALL = V.Grid(margin=1, stride=1, cells=4, shift=1)
+
+
+@pytest.mark.parametrize("rows", [4096, 3])
+def test_going_on_from_a_cursor_equals_one_scan(spark, rows):
+    f = small_frames(spark, np.random.default_rng(11), 60).cache()
+    whole, end = V.scan_on(f, None, SMALL, frame_rows=rows)
+    cursor = (F.col("media_id") * 7 % 13) * 500.0
+    before, states = V.scan_on(f.where(F.col("t_ms") <= cursor), None, SMALL, frame_rows=rows)
+    after, last = V.scan_on(f, states, SMALL, frame_rows=rows)
+    plain = lambda d: sorted(map(str, d.select("media_id", "t_ms", "kind", "since", "motion").collect()))
+    assert plain(before.unionByName(after)) == plain(whole) == plain(V.detect_decisions(f, SMALL, frame_rows=rows))
+    told = lambda d: sorted(map(str, d.select("media_id", "cursor_ms", "state").collect()))
+    assert told(last) == told(end)
+    none, same = V.scan_on(f, last, SMALL, frame_rows=rows)
+    assert none.count() == 0 and told(same) == told(end)
+
+
+def test_end_is_compared_with_the_last_baseline(spark):
+    a, b, black = pattern(1), pattern(2), np.zeros((108, 192))
+    cases = {1: ([a, a, a], a), 2: ([a, a, a], b), 3: ([a, a, a], black), 4: ([a, a, black], a), 5: ([a, b, b], b), 6: ([a], a)}
+    frames = [table(spark, images, m) for m, (images, _) in cases.items()]
+    finals = [table(spark, [last], m).drop("t_ms") for m, (_, last) in cases.items()]
+    union = lambda parts: __import__("functools").reduce(lambda x, y: x.unionByName(y), parts)
+    _, states = V.scan_on(union(frames), None, GRID)
+    got = {r.media_id: r.last_changed for r in V.end_changes(states, union(finals), GRID).collect()}
+    assert got == {1: False, 2: True, 3: True, 4: True, 5: False, 6: True}
+
+
+def test_bisection_follows_single_probes(spark):
+    rng = np.random.default_rng(5)
+    a, b = (rng.integers(20, 230, (8, 8)) for _ in range(2))
+    raw = lambda im: bytearray(im.astype(np.uint8).tobytes())
+    frames, changes, want = [], [], {}
+    for m in range(25):
+        turn, duration = int(rng.integers(0, 5000)), 5100
+        own = sorted({int(t) for t in rng.integers(0, 5000, 80)})
+        frames += [(m, float(t), 8, 8, raw(b if t >= turn else a)) for t in own]
+        low, high = sorted(int(x) for x in rng.integers(0, 5001, 2))
+        changes.append((m, 1, low, high, raw(a), 8, 8, duration))
+        lo, hi = float(low), float(high)
+        while hi - lo > 200:
+            mid = (lo + hi) / 2
+            seen = [t for t in own if t <= mid]
+            lo, hi = (lo, mid) if seen and seen[-1] >= turn else (mid, hi)
+        want[m] = (max(0.0, lo - 250), min(float(duration), hi + 250))
+    c = spark.createDataFrame(changes, "media_id BIGINT, change_id BIGINT, low_ms BIGINT, high_ms BIGINT, baseline BINARY, width INT, height INT, duration_ms BIGINT")
+    got = V.bisect_boundaries(c, spark.createDataFrame(frames, SCHEMA), SMALL)
+    assert {r.media_id: (r.low_ms, r.high_ms) for r in got.collect()} == want
