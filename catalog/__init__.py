@@ -7,7 +7,7 @@ import importlib
 from catalog.base import ORACLE, QUERIES
 
 MODULES = [
-    "timeline", "texts", "cleaning", "exports", "sources", "chunking", "labels", "evidence", "framing", "stores",
+    "timeline", "texts", "cleaning", "exports", "sources", "chunking", "labels", "evidence", "framing", "stores", "streams",
 ]
 
 

@@ -191,7 +191,8 @@ def _(t):
     import uuid
 
     path = f"{ensure_checkpoint_dir(t.spark)}/jobs-{uuid.uuid4().hex}"
-    S.save_jobs(t.spark, path, S.normalize_jobs(jobs(t)), 1)
+    S.save_jobs(path, S.normalize_jobs(jobs(t)))
+    S.save_jobs(path, S.load_jobs(t.spark, path))
     return S.load_jobs(t.spark, path).select("id", "created_at")
 
 

@@ -11,6 +11,7 @@ from cuelake.functions.checks import (
     finite_nonnegative, one_of, rejected, whole, with_reasons, within,
 )
 from cuelake.operators.paragraphs import extent
+from cuelake.session import stage_table
 from cuelake.sources.links import WATCH_URL
 
 # Enumerations and ranges of stored rows.
@@ -209,18 +210,12 @@ def import_backup(existing: DataFrame, lines: DataFrame, tag: str = "transcript-
     return upsert(existing, fresh)
 
 
-def save_jobs(spark: SparkSession, path: str, jobs: DataFrame, version: int) -> str:
-    """Write a whole new version of the collection and then point to it, so readers never see a
-    half-written one. The pointer is a small text file written last."""
-    target = f"{path}/v{version:08d}"
-    jobs.write.mode("overwrite").parquet(target)
-    spark.createDataFrame([(target,)], "value STRING").coalesce(1).write.mode("overwrite").text(f"{path}/current-{version:08d}")
-    return target
+def save_jobs(path: str, jobs: DataFrame) -> None:
+    """The collection as a plain table. It is written aside first, so that jobs read from the same
+    path can be saved there."""
+    stage_table(jobs, "jobs").write.mode("overwrite").parquet(path)
 
 
 def load_jobs(spark: SparkSession, path: str) -> DataFrame:
-    """Newest complete version, newest job first."""
-    pointers = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*.txt").text(path)
-    newest = pointers.agg(F.max("value").alias("v")).first()["v"]
-    return spark.read.parquet(newest).orderBy(F.col("created_at").desc())
-
+    """Newest job first."""
+    return spark.read.parquet(path).orderBy(F.col("created_at").desc())

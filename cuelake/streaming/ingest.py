@@ -1,13 +1,27 @@
-"""Checkpoint ingestion: each micro-batch upserts finished chunks and re-merges touched media."""
+"""Checkpoint ingestion as a running stream.
 
-from __future__ import annotations
+Checkpoints and merged segments are two tables under one folder, cut into buckets by recording. A
+micro-batch reads the buckets that its recordings fall into, puts its chunks in (the latest of a chunk
+id wins), merges the recordings it touched again, and replaces these buckets and no others. All of it
+depends on the tables and the batch alone, so a batch that is repeated after a failure or a restart
+leaves the tables as they were."""
 
-import os
+from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.types import IntegerType, StructType
 
+from cuelake import schemas
 from cuelake.operators.chunks import merge_chunks
+from cuelake.session import stage_table
+
+BUCKETS = 64
+
+
+def bucket_of(media_id: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(media_id), F.lit(buckets)).cast("int")
 
 
 def upsert_checkpoints(existing: DataFrame | None, batch: DataFrame) -> DataFrame:
@@ -17,18 +31,52 @@ def upsert_checkpoints(existing: DataFrame | None, batch: DataFrame) -> DataFram
     return rows.groupBy("media_id", "id").agg(F.max_by(rest, "completed_at").alias("r")).select("media_id", "id", "r.*")
 
 
-def ingest_checkpoints(stream: DataFrame, path: str, checkpoint: str, content_mode: str = "speech"):
-    """Append finished chunks under ``path``/checkpoints as they arrive; merged segments of the
-    touched recordings go to ``path``/segments/batch=N. A repeated batch writes the same folders
-    again, so a restart changes nothing."""
+class BucketTable:
+    """A Parquet table of rows with a media_id, partitioned by the recording's bucket."""
+
+    def __init__(self, spark: SparkSession, folder: str, schema: StructType, buckets: int) -> None:
+        self.spark, self.folder, self.buckets = spark, folder, buckets
+        self.schema = StructType(list(schema.fields)).add("bucket", IntegerType())
+        # an empty write makes the folder and leaves what is there alone
+        spark.createDataFrame([], self.schema).write.mode("append").partitionBy("bucket").parquet(folder)
+
+    def read(self, buckets: list[int] | None = None) -> DataFrame:
+        rows = self.spark.read.schema(self.schema).parquet(self.folder)
+        return rows if buckets is None else rows.where(F.col("bucket").isin(buckets))
+
+    def replace(self, rows: DataFrame) -> None:
+        """Buckets that the rows fall into hold these rows from now on. The rows are written aside
+        first, since they usually stem from the folders they replace."""
+        aside = stage_table(rows.drop("bucket").withColumn("bucket", bucket_of(F.col("media_id"), self.buckets)), "bucket_rows")
+        # a bucket is one file, or several where it is large
+        spread = aside.hint("rebalance", "bucket")
+        spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.folder)
+
+
+def segment_table(spark: SparkSession, path: str, buckets: int = BUCKETS) -> BucketTable:
+    return BucketTable(spark, f"{path}/segments", StructType.fromDDL(schemas.CUES), buckets)
+
+
+def ingest_checkpoints(
+    stream: DataFrame, path: str, checkpoint: str, content_mode: str = "speech", buckets: int = BUCKETS
+) -> DataStreamWriter:
+    """Finished chunks (as for merge_chunks, with completed_at) into ``path``/checkpoints as they
+    arrive, and the merged segments of all recordings into ``path``/segments. Start the writer it returns."""
+    spark = stream.sparkSession
+    chunks = BucketTable(spark, f"{path}/checkpoints", stream.schema, buckets)
+    segments = segment_table(spark, path, buckets)
 
     def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(os.path.join(path, "checkpoints", f"batch={number}"))
-        every = spark.read.schema(batch.schema).parquet(os.path.join(path, "checkpoints")).drop("batch")
-        touched = batch.select("media_id").distinct()
-        current = upsert_checkpoints(None, every.join(touched, "media_id", "left_semi"))
-        segments, _ = merge_chunks(current, content_mode)
-        segments.write.mode("overwrite").parquet(os.path.join(path, "segments", f"batch={number}"))
+        arrived = batch.withColumn("bucket", bucket_of(F.col("media_id"), buckets))
+        # numbers of buckets: at most `buckets`
+        touched = [r.bucket for r in arrived.select("bucket").distinct().collect()]
+        if not touched:
+            return
+        chunks.replace(upsert_checkpoints(chunks.read(touched), arrived))
+        media = batch.select("media_id").distinct()
+        again = chunks.read(touched).drop("bucket").join(media, "media_id", "left_semi")
+        merged, _ = merge_chunks(again, content_mode)
+        others = segments.read(touched).drop("bucket").join(media, "media_id", "left_anti")
+        segments.replace(others.unionByName(merged.select(*others.columns)))
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
