@@ -3,8 +3,10 @@
 A logistic classifier over the statistics of a text gives the evidence of each document. Grouped
 sums of it over hosts, and over paths inside hosts, give site means. They are shrunk by empirical
 Bayes: a host towards the mean of all documents, a path towards its host, with prior strengths that
-the moment method finds in the spread between sites. A site of few documents thus says little. The
-shrunk mean of a document's path, its own part left out, is the prior that its evidence updates.
+the moment method finds in the spread between all sites, weighted by their documents. A site of few
+documents thus says little. The shrunk mean of a document's path is the prior that its evidence
+updates; its own part is left out of the path and of the host, so a site's only document has the mean
+of all documents as prior.
 
 The classifier is trained on a bounded sample of labelled rows (`max_rows`, documented parameter)
 that are not held out; everything else covers all rows. Sums are partial before they are shuffled,
@@ -75,10 +77,11 @@ def strength(sites: DataFrame, mean: Column) -> DataFrame:
     """Prior strength of a level by the moment method: m (1 - m) / (variance between sites) - 1.
     sites: n, s (rows, summed probabilities) and s2 (summed squares). One row."""
     share = F.col("s") / F.col("n")
-    within = (F.col("s2") / F.col("n") - share * share) / F.col("n")
-    spread = sites.where("n >= 5").agg(
-        (F.sum(F.col("n") * (share - mean) * (share - mean)) / F.sum("n") - F.sum(F.col("n") * within) / F.sum("n")).alias("v"),
-        (F.sum(F.col("n") * mean) / F.sum("n")).alias("m"),
+    # one variance inside sites for all: that of a site of one document is unknown
+    inside = F.sum(F.col("s2") - F.col("s") * share) / F.nullif(F.sum(F.col("n") - 1), F.lit(0))
+    around = F.sum(F.col("n") * (share - mean) * (share - mean))
+    spread = sites.agg(
+        ((around - F.count("*") * inside) / F.sum("n")).alias("v"), (F.sum(F.col("n") * mean) / F.sum("n")).alias("m")
     )
     # between-site variance of a thousandth of the largest possible at least: strength 1 to 1000
     top = F.col("m") * (1 - F.col("m"))
@@ -102,7 +105,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, host: str = "source", path
     row = strength(hosts, F.lit(mean)).first()
     host_k = float(row["k"])
     host_mean = (F.col("s") + host_k * mean) / (F.col("n") + host_k)
-    shrunk = hosts.select(F.col("host").alias("h_host"), host_mean.alias("host_posterior"))
+    shrunk = hosts.select(F.col("host").alias("h_host"), host_mean.alias("host_posterior"), F.col("n").alias("h_n"), F.col("s").alias("h_s"))
     paths = stage_table(
         paths.join(shrunk, F.col("host").eqNullSafe(F.col("h_host"))).drop("h_host"), "site_posteriors"
     )
@@ -110,7 +113,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, host: str = "source", path
     joined = rows.alias("r").join(
         paths.alias("q"), F.col("r.host").eqNullSafe(F.col("q.host")) & F.col("r.path").eqNullSafe(F.col("q.path"))
     )
-    others = (F.col("s") - F.col("p") + path_k * F.col("host_posterior")) / (F.col("n") - 1 + path_k)
+    host_others = (F.col("h_s") - F.col("p") + host_k * mean) / (F.col("h_n") - 1 + host_k)
+    others = (F.col("s") - F.col("p") + path_k * host_others) / (F.col("n") - 1 + path_k)
     whole = (F.col("s") + path_k * F.col("host_posterior")) / (F.col("n") + path_k)
     final = 1 / (1 + F.exp(-(F.col("evidence") + logit(others))))
     return joined.select(

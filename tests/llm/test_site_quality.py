@@ -56,3 +56,29 @@ def test_odd_rows(spark):
     assert s.score_quality(odd, labels).count() == odd.count()
     assert s.score_quality(odd, labels.limit(0)).count() == odd.count()
     assert s.score_quality(odd.limit(0), labels).collect() == []
+
+
+def test_a_site_of_one_document_has_the_mean_as_prior(spark):
+    from math import exp, log
+
+    docs, labels = corpus(spark)
+    alone = docs.selectExpr("doc_id", "text", "lang", "concat('site', doc_id) as source", "n_chars")
+    rows = s.score_quality(alone, labels).collect()
+    back = [log(r.score / (1 - r.score)) - r.evidence for r in rows if abs(r.evidence) < 11]
+    assert max(back) - min(back) < 1e-6
+    mean = 1 / (1 + exp(-back[0]))
+    assert 0.6 < mean < 0.9
+
+
+def test_sparse_sites_count_in_the_spread(spark):
+    """Sites of three documents that are good or bad throughout: their mean says much."""
+    rng = random.Random(8)
+    rows, labels = [], []
+    for k in range(900):
+        good = k // 3 % 2 == 0
+        text = prose(rng, rng.randint(20, 120))
+        rows.append((k, text if good else text.upper().replace(" ", "!! "), "en", f"site{k // 3}"))
+        labels.append((k, int(good), 0))
+    got = s.score_quality(documents(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    host = {(r.doc_id // 3 % 2 == 0): r.host_posterior for r in got}
+    assert host[True] > 0.75 and host[False] < 0.25
