@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cuelake.session import cut_lineage, stage_table
 
-__all__ = ["WORD", "cut_lineage", "first_order", "held_out", "one_row_each", "row_hash", "split_words", "stage_table", "text_batches"]
+__all__ = ["WORD", "cut_lineage", "first_order", "held_out", "one_row_each", "row_hash", "split_words", "stage_table", "text_batches", "wrapped"]
 
 # A word is a run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -44,16 +44,21 @@ def first_order() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("key"))
 
 
+def wrapped(docs: DataFrame) -> DataFrame:
+    """`docs` with each row as one struct, `doc`: whatever its columns are called, they meet no others."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+
+
 def one_row_each(docs: DataFrame, rows: DataFrame, chosen: DataFrame) -> DataFrame:
     """One row of `docs` for each row of `chosen` (first, see `first_order`). rows: doc_id and key of
     every row of `docs`; rows equal in both are one."""
-    named = chosen.select(F.col("first.doc_id").alias("_f_id"), F.col("first.key").alias("_f_key"))
-    key = row_hash(F.col("text"))
-    kept = docs.join(named, F.col("doc_id").cast("long").eqNullSafe(F.col("_f_id")) & (key == F.col("_f_key")), "left_semi")
+    named = chosen.select(F.col("first.doc_id").alias("first_id"), F.col("first.key").alias("first_key"))
+    own = wrapped(docs).withColumns({"own_id": F.col("doc.doc_id").cast("long"), "own_key": row_hash(F.col("doc.text"))})
+    kept = own.join(named, F.col("own_id").eqNullSafe(F.col("first_id")) & (F.col("own_key") == F.col("first_key")), "left_semi")
     repeated = rows.groupBy("doc_id", "key").agg(F.count("*").alias("n")).where("n > 1")
-    if repeated.isEmpty():
-        return kept
-    return kept.withColumn("_f_key", key).dropDuplicates(["doc_id", "_f_key"]).drop("_f_key")
+    if not repeated.isEmpty():
+        kept = kept.dropDuplicates(["own_id", "own_key"])
+    return kept.select("doc.*")
 
 
 def text_batches(df: DataFrame) -> DataFrame:

@@ -7,16 +7,19 @@ by source and leading hash bits, the bucket that the budget ends in, then sums o
 rows by the next bits, and so on. Only rows of boundary buckets are read again, nothing is sorted,
 and a hot source costs one row per bucket and task.
 
-Edge cases. Null text has no words. Null source is a source of its own and comes last. Rows with
-equal id and text share a hash and are taken or left together. A source without words has target 0.
-Null ids are allowed. Empty table: empty result. Other columns are ignored."""
+Equal rows have one hash. Where the budget ends among such rows, they alone are numbered (inside the
+tasks that read them, on top of the counts of the tasks before) and as many are taken as it needs.
+
+Edge cases. Null text has no words. Null source is a source of its own and comes last. A source
+without words has target 0. Null ids are allowed. Empty table: empty result. Other columns are ignored."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuelake.llm.common import WORD, row_hash, stage_table
+from cuelake.llm.common import WORD, row_hash, stage_table, wrapped
+from cuelake.operators.ordered import numbered
 
 HASH_BITS = 62
 BITS = 10  # hash bits per histogram level
@@ -28,8 +31,8 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def hash_of(docs: DataFrame) -> Column:
-    return F.shiftrightunsigned(row_hash(F.col("doc_id").cast("long"), F.col("text")), 64 - HASH_BITS)
+def hash_of(doc_id: Column, text: Column) -> Column:
+    return F.shiftrightunsigned(row_hash(doc_id.cast("long"), text), 64 - HASH_BITS)
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -39,7 +42,7 @@ def sized(docs: DataFrame) -> DataFrame:
         F.col("doc_id").cast("long"),
         F.col("source").cast("string"),
         word_count(text).alias("size"),
-        hash_of(docs).alias("h"),
+        hash_of(F.col("doc_id"), text).alias("h"),
     )
 
 
@@ -89,7 +92,7 @@ def thresholds(rows: DataFrame, goals: DataFrame) -> DataFrame:
             sums.withColumn("upto", F.sum("n").over(up_to))
             .where(F.col("upto") > F.col("left"))
             .groupBy("source")
-            .agg(F.min_by(F.struct("bucket", (F.col("upto") - F.col("n")).alias("below"), "n"), "bucket").alias("e"))
+            .agg(F.min_by(F.struct("bucket", (F.col("upto") - F.col("n")).alias("below")), "bucket").alias("e"))
         )
         # a source whose budget never ends among its rows keeps the end of its range
         past = F.shiftleft(F.col("prefix"), BITS) + (1 << BITS)
@@ -97,38 +100,65 @@ def thresholds(rows: DataFrame, goals: DataFrame) -> DataFrame:
             F.col("s.source").alias("source"), "times",
             (F.col("left") - F.coalesce("e.below", F.lit(0))).alias("left"),
             F.coalesce("e.bucket", past).alias("prefix"),
-            F.coalesce("e.n", F.lit(0)).alias("last"),
         )
         state = stage_table(refined, f"mix_level{level}")
-    # the last bucket holds a row or two: they are taken if that ends nearer to the target
-    limit = F.col("prefix") + (2 * F.col("left") > F.col("last")).cast("long")
-    return state.select("source", "times", F.shiftleft(limit, HASH_BITS - BITS * LEVELS).alias("limit"))
+    # what is left is spent on the rows of the last bucket in the order of their hashes; rows of one
+    # hash are equal, and as many of them are taken as end nearest to the target
+    shift = HASH_BITS - BITS * LEVELS
+    last = rows.alias("r").join(state.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source")))
+    last = last.where(F.shiftright("h", shift) == F.col("prefix")).groupBy(F.col("s.source").alias("source"), "h", "left").agg(
+        F.count("*").alias("m"), F.max("size").alias("each")
+    )
+    # one row per hash of a bucket of 2^-40 of the hashes
+    before = Window.partitionBy("source").orderBy("h").rowsBetween(Window.unboundedPreceding, -1)
+    room = F.col("left") - F.coalesce(F.sum(F.col("m") * F.col("each")).over(before), F.lit(0))
+    some = F.least(F.col("m"), F.greatest(F.lit(0), F.ceil(room / F.col("each") - 0.5))).cast("long")
+    ends = last.where("each > 0").withColumn("some", some).where("some < m").groupBy("source").agg(
+        F.min(F.struct("h", "some")).alias("e")
+    )
+    found = state.alias("s").join(ends.alias("x"), F.col("s.source").eqNullSafe(F.col("x.source")), "left")
+    whole = F.shiftleft(F.col("prefix") + 1, shift)
+    return found.select(
+        F.col("s.source").alias("source"), "times", F.coalesce("e.h", whole).alias("limit"),
+        F.coalesce("e.some", F.lit(0).cast("long")).alias("some"),
+    )
 
 
 def mix_plan(rows: DataFrame, weights: list[float], share: float, most: float) -> DataFrame:
-    """One row per source of `rows` (of `sized`): p_source, source_size, target, times, limit."""
+    """One row per source of `rows` (of `sized`): p_source, source_size, target, times, limit, some."""
     by_source = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     goals = stage_table(targets(by_source, list(weights), share, most), "mix_targets")
     plan = goals.alias("g").join(thresholds(rows, goals).alias("l"), F.col("g.source").eqNullSafe(F.col("l.source")))
-    return stage_table(plan.select(F.col("g.source").alias("p_source"), "source_size", "target", "times", "limit"), "mix_plan")
+    return stage_table(plan.select(F.col("g.source").alias("p_source"), "source_size", "target", "times", "limit", "some"), "mix_plan")
 
 
-def copies(h: Column) -> Column:
-    return F.col("times") + (h < F.col("limit")).cast("long")
+def with_copies(rows: DataFrame, source: Column, h: Column, plan: DataFrame) -> DataFrame:
+    """rows with the columns of the plan and copies. Rows below the limit are taken once more than
+    the passes, and `some` of the rows at the limit."""
+    joined = rows.withColumns({"own_h": h, "own_source": source}).join(plan, F.col("own_source").eqNullSafe(F.col("p_source")))
+    tied = (F.col("own_h") == F.col("limit")) & (F.col("some") > 0)
+    simple = joined.withColumn("copies", F.col("times") + (F.col("own_h") < F.col("limit")).cast("long"))
+    if plan.where("some > 0").isEmpty():
+        return simple
+    at = stage_table(joined.where(tied).withColumn("at", F.monotonically_increasing_id()), "mix_ties")
+    keyed = at.withColumns({"no_source": F.col("own_source").isNull(), "key": F.coalesce("own_source", F.lit(""))})
+    placed = numbered(keyed, ["no_source", "key"], ["at"], F.shiftright("at", 33), "place")
+    split = placed.withColumn("copies", F.col("times") + (F.col("place") < F.col("some")).cast("long"))
+    return simple.where(~tied).unionByName(split.select(*simple.columns))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """docs (doc_id, source, text) to doc_id, source, size, source_size, target, copies and taken per row."""
     rows = stage_table(sized(docs), "mix_sizes")
-    plan = mix_plan(rows, weights, share, most)
-    return rows.join(plan, F.col("source").eqNullSafe(F.col("p_source"))).select(
-        "doc_id", "source", "size", "source_size", "target", copies(F.col("h")).alias("copies"), (copies(F.col("h")) * F.col("size")).alias("taken")
+    taken = with_copies(rows, F.col("source"), F.col("h"), mix_plan(rows, weights, share, most))
+    return taken.select(
+        "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
     )
 
 
 def repeat_mixed(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """The rows of `docs`, each as often as the mix takes it, with their own columns only."""
-    plan = mix_plan(stage_table(sized(docs), "mix_sizes"), weights, share, most).select("p_source", "times", "limit")
-    chosen = docs.join(plan, F.col("source").cast("string").eqNullSafe(F.col("p_source"))).withColumn("_m_n", copies(hash_of(docs)))
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    return chosen.where("_m_n > 0").select(*own, F.expr("explode(sequence(1L, _m_n))").alias("_m_k")).select(*own)
+    plan = mix_plan(stage_table(sized(docs), "mix_sizes"), weights, share, most).select("p_source", "times", "limit", "some")
+    own = wrapped(docs)
+    chosen = with_copies(own, F.col("doc.source").cast("string"), hash_of(F.col("doc.doc_id"), F.col("doc.text")), plan)
+    return chosen.where("copies > 0").select("doc", F.expr("explode(sequence(1L, copies))").alias("copy")).select("doc.*")

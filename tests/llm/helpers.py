@@ -33,5 +33,7 @@ def with_clashes(df):
     """Extra columns named like the operators' own."""
     from pyspark.sql import functions as F
 
-    names = ["kept", "score", "h", "fp", "size", "pool", "row_key", "component_id", "copies", "node", "bin", "y", "p"]
+    names = ["kept", "score", "h", "fp", "size", "pool", "row_key", "component_id", "copies", "node", "bin", "y", "p",
+             "times", "limit", "some", "p_source", "source_size", "target", "slot", "shard", "first", "key", "root", "cell",
+             "_f_id", "_f_key", "_q_id", "_q_key", "doc", "own_id", "own_key", "own_h", "own_source", "at", "place", "first_id", "first_key"]
     return df.select("*", *[F.lit(k).alias(n) for k, n in enumerate(names)])

@@ -77,3 +77,20 @@ def test_repeats_follow_the_mix(spark):
     for r in repeated.collect():
         count[r.doc_id] = count.get(r.doc_id, 0) + 1
     assert count == {d: n for d, n in copies.items() if n}
+
+
+def test_equal_rows_are_split_at_the_target(spark):
+    """A budget that ends among equal rows takes as many of them as it needs."""
+    rng = random.Random(10)
+    for copies in (300, 7):
+        rows = [(5, "the same ten words again and again in each row", "en", "b")] * copies
+        rows += [(100 + k, prose(rng, rng.randint(5, 40)), "en", rng.choice(["a", "c", None])) for k in range(150)]
+        docs = with_clashes(documents(spark, rows)).repartition(7)
+        got = m.mix(docs).collect()
+        check(docs, got)
+        again = m.mix(docs.coalesce(2)).collect()
+        assert sorted((r.doc_id, r.taken) for r in got) == sorted((r.doc_id, r.taken) for r in again)
+        assert copies < 300 or len({r.copies for r in got if r.doc_id == 5}) == 2
+        repeated = m.repeat_mixed(docs)
+        assert repeated.columns == docs.columns
+        assert repeated.where("doc_id = 5").count() == sum(r.copies for r in got if r.doc_id == 5)
