@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuelake.llm.common import row_hash, split_words, stage_table, text_batches
+from cuelake.llm.common import row_hash, split_words, stage_table, text_batches, wrapped
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -278,9 +278,9 @@ def keep_good(docs: DataFrame, **options) -> DataFrame:
         F.col("doc_id").alias("_q_id"), F.col("row_key").alias("_q_key"), F.col("lang").alias("_q_lang"), F.col("source").alias("_q_source")
     )
     same = (
-        F.col("doc_id").cast("long").eqNullSafe(F.col("_q_id"))
-        & row_hash(F.col("text")).eqNullSafe(F.col("_q_key"))
-        & F.col("lang").eqNullSafe(F.col("_q_lang"))
-        & F.col("source").eqNullSafe(F.col("_q_source"))
+        F.col("doc.doc_id").cast("long").eqNullSafe(F.col("_q_id"))
+        & row_hash(F.col("doc.text")).eqNullSafe(F.col("_q_key"))
+        & F.col("doc.lang").eqNullSafe(F.col("_q_lang"))
+        & F.col("doc.source").eqNullSafe(F.col("_q_source"))
     )
-    return docs.join(stage_table(bad, "quality_rejected"), same, "left_anti")
+    return wrapped(docs).join(stage_table(bad, "quality_rejected"), same, "left_anti").select("doc.*")

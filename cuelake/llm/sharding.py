@@ -9,7 +9,8 @@ The table is built from the shard names alone, so its rows are bounded by `size`
 is the proven bound under which it is broadcast. The data see a hash and one lookup, and no shuffle.
 
 Edge cases. A null key hashes like the empty text. Repeated keys meet in one shard. Empty table:
-empty result. All columns of the input are kept; `slot` and `shard` must not be among them."""
+empty result. All columns of the input are kept, but for those named like the two new ones, which these
+replace; the new names are parameters."""
 
 from __future__ import annotations
 
@@ -18,6 +19,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cuelake.llm.common import wrapped
+
 
 def is_prime(n: int) -> bool:
     return n > 1 and all(n % k for k in range(2, int(n**0.5) + 1))
@@ -67,12 +70,14 @@ def lookup_table(spark, table: list[int]) -> DataFrame:
     )
 
 
-def assign_shards(df: DataFrame, key: str, shards: list[str], size: int, weights: dict[str, int] | None = None) -> DataFrame:
+def assign_shards(
+    df: DataFrame, key: str, shards: list[str], size: int, weights: dict[str, int] | None = None, slot: str = "slot", shard: str = "shard"
+) -> DataFrame:
     """`df` with the slot and the shard index of every row."""
-    if {"slot", "shard"} & set(df.columns):
-        raise ValueError("the input has a column named slot or shard already")
     table = lookup_table(df.sparkSession, fill_table(shards, size, weights))
-    return df.withColumn("slot", slot_of(F.col(key), size)).join(F.broadcast(table), "slot").select(*df.columns, "slot", "shard")
+    placed = wrapped(df).withColumn("slot", slot_of(F.col(f"doc.`{key}`"), size)).join(F.broadcast(table), "slot")
+    own = [F.col(f"doc.`{c}`") for c in df.columns if c not in (slot, shard)]
+    return placed.select(*own, F.col("slot").alias(slot), F.col("shard").alias(shard))
 
 
 def write_shards(sharded: DataFrame, path: str, rows_per_file: int = 1_000_000) -> None:

@@ -49,7 +49,9 @@ def test_placement(spark, tmp_path):
     assert len(rows) == docs.count() and all(table[r.slot] == r.shard for r in rows)
     assert len({r.shard for r in rows if r.doc_id == 7}) == 1
     assert s.assign_shards(docs.limit(0), "doc_id", ["a"], 7).collect() == []
-    with pytest.raises(ValueError):
-        s.assign_shards(placed, "doc_id", ["a"], 7)
+    again = s.assign_shards(placed, "doc_id", ["a", "b", "c"], 31)
+    assert again.columns == placed.columns and sorted(map(str, again.collect())) == sorted(map(str, rows))
+    named = s.assign_shards(placed, "doc_id", ["a"], 7, slot="s", shard="p")
+    assert named.columns == [*placed.columns, "s", "p"] and {r.p for r in named.collect()} == {0}
     s.write_shards(placed, str(tmp_path / "out"), rows_per_file=2)
     assert spark.read.parquet(str(tmp_path / "out")).count() == docs.count()
