@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from catalog.base import query
 from catalog.chunking import _DONE_SQL, PLAN_SQL, chunk_plan, finished, halves, media, silences
+from catalog.framing import DECIDED, DECISIONS_SQL, GRID, frames
 from cuelake.plans.resume import resume_uploads
 from cuelake.session import ensure_checkpoint_dir
+from cuelake.streaming.detect import detect_stream, read_decisions
 from cuelake.streaming.ingest import ingest_checkpoints, segment_table
 
 
@@ -40,6 +42,18 @@ def _(t):
     return segment_table(t.spark, path, 16).read().select("media_id", "seq", "start_ms", "dur_ms", "text")
 
 
+@query("st01_detect_stream", f"WITH RECURSIVE {DECISIONS_SQL} {DECIDED}")
+def _(t):
+    """Frames arrive in two runs of the stream; a recording is cut at a time of its own."""
+    f = frames(t).select("media_id", "t_ms", "width", "height", "pixels")
+    landing, path, checkpoint = (_folder(t, n) for n in ("landing", "detected", "progress"))
+    cut = F.col("media_id") * 6_151 % 100_000
+    for arrived in (f.where(F.col("t_ms") < cut), f.where(F.col("t_ms") >= cut)):
+        arrived.write.mode("append").parquet(landing)
+        run_to_end(detect_stream(t.spark.readStream.schema(f.schema).parquet(landing), path, checkpoint, GRID, buckets=16))
+    return read_decisions(t.spark, path)
+
+
 # -- uploads: one job per recording of the chunk plan; every fifth is offered another file --------
 
 

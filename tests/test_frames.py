@@ -1,12 +1,14 @@
 """Frame comparison, detection in batch, in blocks and as a stream, and the cost figures."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from cuelake.functions import cost as M
 from cuelake.operators import frames as V
-from cuelake.streaming.detect import detect_stream
+from cuelake.streaming.detect import detect_stream, read_decisions, state_table
 
 GRID = V.Grid()
 SCHEMA = "media_id BIGINT, t_ms DOUBLE, width INT, height INT, pixels BINARY"
@@ -38,6 +40,19 @@ def test_compare():
     assert V.compare(a, np.roll(a, 1, axis=1), GRID).motion
 
 
+def small_frames(spark, rng, media, most=14):
+    """Short recordings of 8 x 8 frames that stay, come back, go black or flicker."""
+    looks = [rng.integers(20, 230, (8, 8)) for _ in range(3)] + [np.zeros((8, 8))]
+    rows = []
+    for m in range(media):
+        for k in range(int(rng.integers(1, most))):
+            rows.append((m, k * 500.0, 8, 8, bytearray(looks[int(rng.choice([0, 0, 1, 1, 2, 3]))].astype(np.uint8).tobytes())))
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+SMALL = V.Grid(margin=1, stride=1, cells=4, shift=1)
+
+
 def table(spark, images, media=1):
     rows = [(media, i * 500.0, 192, 108, bytearray(im.astype(np.uint8).tobytes())) for i, im in enumerate(images)]
     return spark.createDataFrame(rows, SCHEMA)
@@ -75,19 +90,48 @@ def test_black_tail(spark):
     assert [(x.kind, x.end_ms) for x in audit] == [("black", 6000.0)]
 
 
+def run_stream(spark, folder, now=lambda: 0, **options):
+    stream = spark.readStream.schema(SCHEMA).parquet(f"{folder}/in")
+    q = detect_stream(stream, f"{folder}/out", f"{folder}/cp", SMALL, buckets=4, now_ms=now, **options).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert q.exception() is None
+
+
+def decided(spark, folder):
+    return sorted(map(str, read_decisions(spark, f"{folder}/out").select("media_id", "t_ms", "kind", "since", "motion").collect()))
+
+
 def test_stream_equals_batch(spark, tmp_path):
-    a, b = pattern(1), pattern(2)
-    f = table(spark, [a] * 3 + [b] * 3).unionByName(table(spark, [b] * 4, 2))
-    src = str(tmp_path / "in")
-    for lo, hi in ((0, 1000), (1000, 9000)):
-        f.where((F.col("t_ms") >= lo) & (F.col("t_ms") < hi)).coalesce(1).write.mode("append").parquet(src)
-    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(src)
-    q = (detect_stream(stream, GRID).writeStream.format("memory").queryName("decisions")
-         .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start())
-    q.awaitTermination(120)
-    got = spark.table("decisions").select("media_id", "t_ms", "kind").collect()
-    want = V.detect_decisions(f, GRID).select("media_id", "t_ms", "kind").collect()
-    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+    folder = str(tmp_path)
+    f = small_frames(spark, np.random.default_rng(3), 12).cache()
+    want = sorted(map(str, V.detect_decisions(f, SMALL).select("media_id", "t_ms", "kind", "since", "motion").collect()))
+    cut = F.col("media_id") * 7 % 11 * 500
+    for part in (f.where(F.col("t_ms") < cut), f.where(F.col("t_ms") >= cut)):
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        run_stream(spark, folder, frame_rows=3)
+    assert decided(spark, folder) == want
+    # the last batch is repeated because its commit was lost
+    last = max(p for p in os.listdir(f"{folder}/cp/commits") if p.isdigit())
+    for name in (last, f".{last}.crc"):
+        if os.path.exists(f"{folder}/cp/commits/{name}"):
+            os.remove(f"{folder}/cp/commits/{name}")
+    run_stream(spark, folder)
+    assert decided(spark, folder) == want
+
+
+def test_late_frames_are_told_and_idle_states_dropped(spark, tmp_path):
+    folder = str(tmp_path)
+    looks = np.random.default_rng(4).integers(20, 230, (8, 8))
+    row = lambda m, t: (m, float(t), 8, 8, bytearray(looks.astype(np.uint8).tobytes()))
+    for rows, now in (([row(1, 0), row(1, 500), row(2, 0)], 0), ([row(1, 500), row(1, 1000), row(1, 1000)], 5), ([row(1, 1500), row(2, 500)], 12)):
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        run_stream(spark, folder, now=lambda now=now: now, ttl_ms=10)
+    got = sorted((r.media_id, r.t_ms, r.kind) for r in read_decisions(spark, f"{folder}/out").collect())
+    assert got == [
+        (1, 0.0, "candidate"), (1, 500.0, "late"), (1, 500.0, "stable"), (1, 1000.0, "late"), (1, 1000.0, "same"), (1, 1500.0, "same"),
+        (2, 0.0, "candidate"), (2, 500.0, "candidate"),  # its state was twelve old
+    ]
+    assert {r.media_id: r.updated_ms for r in state_table(spark, f"{folder}/out", 4).read().collect()} == {1: 12, 2: 12}
 
 
 @pytest.mark.parametrize("calls, tokens_in, tokens_out, profile, allowance, want", [
@@ -220,19 +264,6 @@ def test_boundaries_stay_inside_the_recording(spark):
     assert [(r.low_ms, r.high_ms) for r in V.refine_boundaries(changes, dense.where("t_ms < 1500"), GRID).collect()] == [(1550, 1900)]
 
 
-def small_frames(spark, rng, media, most=14):
-    """Short recordings of 8 x 8 frames that stay, come back, go black or flicker."""
-    looks = [rng.integers(20, 230, (8, 8)) for _ in range(3)] + [np.zeros((8, 8))]
-    rows = []
-    for m in range(media):
-        for k in range(int(rng.integers(1, most))):
-            rows.append((m, k * 500.0, 8, 8, bytearray(looks[int(rng.choice([0, 0, 1, 1, 2, 3]))].astype(np.uint8).tobytes())))
-    return spark.createDataFrame(rows, SCHEMA)
-
-
-SMALL = V.Grid(margin=1, stride=1, cells=4, shift=1)
-
-
 @pytest.mark.parametrize("rows", [4096, 3])
 def test_going_on_from_a_cursor_equals_one_scan(spark, rows):
     f = small_frames(spark, np.random.default_rng(11), 60).cache()
