@@ -8,6 +8,7 @@ from pyspark.sql.types import BinaryType
 from catalog.adapters import staged
 from catalog.base import query
 from catalog.chunking import halves
+from cuelake.functions.tables import register_table_functions
 from cuelake.operators import frames as M
 from cuelake.streaming.ingest import upsert_checkpoints
 
@@ -312,10 +313,31 @@ def _(t):
     return M.numbered(e, ["media_id"], ["label", "vec_id"], (F.col("label") * (1 << 40) + F.floor(F.col("vec_id") / 65_536)).cast("bigint"), "n").drop("label")
 
 
-@query("arr04_tile_plan")
+TILES_SQL = """WITH RECURSIVE n AS (SELECT p_partkey AS image_id, 0::BIGINT AS x, 0::BIGINT AS y, (p_size * 400)::BIGINT AS w, trunc(p_retailprice * 4)::BIGINT AS h, 0 AS depth, '' AS path FROM part
+  UNION ALL SELECT image_id, CASE WHEN w >= h AND k = 1 THEN x + cut - lap ELSE x END, CASE WHEN w < h AND k = 1 THEN y + cut - lap ELSE y END,
+    CASE WHEN w < h THEN w WHEN k = 0 THEN cut + lap ELSE side - cut + lap END, CASE WHEN w >= h THEN h WHEN k = 0 THEN cut + lap ELSE side - cut + lap END, depth + 1, path || k
+  FROM (SELECT *, greatest(w, h) AS side, greatest(w, h) // 2 AS cut, least(32, greatest(w, h) // 8) AS lap FROM n
+    WHERE depth <= 12 AND NOT (greatest(w, h) <= 8192 AND w * h <= 16777216 AND w * h * 0.2::DOUBLE <= 3000000) AND NOT (w < 96 AND h < 96)), (SELECT unnest([0, 1]) AS k)),
+l AS (SELECT *, greatest(w, h) <= 8192 AND w * h <= 16777216 AND w * h * 0.2::DOUBLE <= 3000000 AS fits FROM n),
+r AS (SELECT image_id, bool_or(depth > 12 OR (NOT fits AND w < 96 AND h < 96)) OR count(*) FILTER (fits) > 200 AS refused FROM l GROUP BY 1)
+SELECT image_id, false AS refused, (row_number() OVER (PARTITION BY image_id ORDER BY path) - 1)::INT AS tile, x::INT AS x, y::INT AS y, w::INT AS width, h::INT AS height FROM l JOIN r USING (image_id) WHERE fits AND NOT refused
+UNION ALL SELECT image_id, true, NULL, NULL, NULL, NULL, NULL FROM r WHERE refused"""
+
+
+def images(t):
+    return t.part.select(F.col("p_partkey").alias("image_id"), (F.col("p_size") * 400).alias("width"), (F.col("p_retailprice") * 4).cast("int").alias("height"), F.lit(0.2).cast("double").alias("bytes_per_pixel"))
+
+
+@query("arr04_tile_plan", TILES_SQL)
+def _(t):
+    return M.tile_plan(images(t))
+
+
+@query("udtf01_image_tiles", TILES_SQL)
 def _(t):
-    i = t.part.select(F.col("p_partkey").alias("image_id"), (F.col("p_size") * 400).alias("width"), (F.col("p_retailprice") * 4).cast("int").alias("height"), F.lit(0.2).alias("bytes_per_pixel"))
-    return M.tile_plan(i)
+    """The same plan by the table function that takes a whole table, partitioned by image."""
+    register_table_functions(t.spark)
+    return t.spark.sql("SELECT * FROM image_tiles(TABLE({images}))", images=images(t))
 
 
 @query("udf01_apply_provider", "SELECT doc_id, length(text)::BIGINT AS size, upper(lang) AS lang FROM documents")

@@ -16,6 +16,7 @@ from pyspark.sql.types import (
     BooleanType, DoubleType, StructField, StructType,
 )
 
+from cuelake.functions.tables import MAX_PIXELS, MAX_SIDE, register_table_functions
 from cuelake.operators.folds import block_fold
 from cuelake.operators.joins import asof_join, attach_key_values
 from cuelake.operators.ordered import Scan, numbered, ordered_scan, row_block, time_block
@@ -410,39 +411,14 @@ def representative_evidence(evidence: DataFrame) -> DataFrame:
         F.max_by("evidence_id", "ord").alias("representative_id"))
 
 
-def tile_plan(images: DataFrame, max_side: int = 8192, max_pixels: int = 16_777_216) -> DataFrame:
-    """images(image_id, width, height, bytes_per_pixel) to overlapping tiles within the limits.
-    An image splits into at most 200 tiles, so a row expands to a bounded list."""
-    schema = "ARRAY<STRUCT<x: INT, y: INT, width: INT, height: INT>>"
-
-    def tiles(width: pd.Series, height: pd.Series, weight: pd.Series) -> pd.Series:
-        return pd.Series([_tiles(w, h, k, max_side, max_pixels) for w, h, k in zip(width, height, weight)])
-
-    plan = F.pandas_udf(tiles, schema)
-    out = images.withColumn("__t", plan("width", "height", "bytes_per_pixel"))
-    return out.select(
-        "image_id", F.col("__t").isNull().alias("refused"), F.posexplode_outer("__t").alias("tile", "r")
-    ).select("image_id", "refused", "tile", "r.*")
-
-
-def _tiles(width: int, height: int, weight: float, max_side: int, max_pixels: int) -> list[dict] | None:
-    todo, done = [(0, 0, int(width), int(height), 0)], []
-    while todo:
-        x, y, w, h, depth = todo.pop()
-        if depth > 12 or len(done) >= 200:
-            return None
-        if max(w, h) <= max_side and w * h <= max_pixels and w * h * weight <= 3_000_000:
-            done.append({"x": x, "y": y, "width": w, "height": h})
-            continue
-        if w < 96 and h < 96:
-            return None
-        wide = w >= h
-        side = w if wide else h
-        cut, lap = side // 2, min(32, side // 8)
-        halves = [(0, cut + lap), (cut - lap, side - cut + lap)]
-        parts = [(x + o, y, n, h, depth + 1) if wide else (x, y + o, w, n, depth + 1) for o, n in halves]
-        todo.extend(reversed(parts))
-    return done
+def tile_plan(images: DataFrame, max_side: int = MAX_SIDE, max_pixels: int = MAX_PIXELS) -> DataFrame:
+    """images(image_id, width, height, bytes_per_pixel) to overlapping tiles within the limits, by the
+    table function `tiles` next to each row. An image splits into a bounded number of tiles."""
+    register_table_functions(images.sparkSession)
+    return images.sparkSession.sql(
+        "SELECT i.image_id, t.* FROM {images} i, LATERAL tiles(i.width, i.height, i.bytes_per_pixel, {side}, {pixels}) t",
+        images=images, side=max_side, pixels=max_pixels,
+    )
 
 
 def refine_boundaries(changes: DataFrame, dense: DataFrame, grid: Grid = Grid(), step_ms: int = 200, slack_ms: int = 250) -> DataFrame:
