@@ -135,7 +135,7 @@ def export_jobs(t: Tables) -> DataFrame:
         F.col("conv_id").alias("media_id"),
         F.concat(F.lit("job:"), "conv_id").alias("id"),
         F.when(upload, "upload").otherwise("youtube").alias("kind"),
-        F.left("text", F.lit(300)).alias("title"),
+        F.col("text").alias("title"),
         F.when(upload, F.concat(F.lit("rec<"), "conv_id", F.lit(">.mp3")))
         .otherwise(F.concat(F.lit("https://example.com/v/"), "conv_id")).alias("source_label"),
         F.concat(F.lit("rec"), "conv_id", F.lit(".mp3")).alias("file_name"),
@@ -152,7 +152,7 @@ def export_jobs(t: Tables) -> DataFrame:
 
 
 JOBS_SQL = """jobs AS (SELECT conv_id AS media_id, 'job:' || conv_id AS id,
-  CASE WHEN conv_id % 2 = 1 THEN 'upload' ELSE 'youtube' END AS kind, left(text, 300) AS title,
+  CASE WHEN conv_id % 2 = 1 THEN 'upload' ELSE 'youtube' END AS kind, text AS title,
   CASE WHEN conv_id % 2 = 1 THEN 'rec<' || conv_id || '>.mp3' ELSE 'https://example.com/v/' || conv_id END AS source_label,
   'rec' || conv_id || '.mp3' AS file_name, 'v' || conv_id AS video_id, 'https://example.com/v/' || conv_id AS url,
   'en' AS language, CASE WHEN conv_id % 2 = 1 THEN 'transcription' ELSE 'asr' END AS source_type,

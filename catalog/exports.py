@@ -128,15 +128,11 @@ SELECT s.media_id, 'segments' AS list, s.seq::INT AS pos, (s.start_ms / 1000.0):
 UNION ALL SELECT p.media_id, 'paragraphs', p.seq::INT, (p.start_ms / 1000.0)::DOUBLE, (p.dur_ms / 1000.0)::DOUBLE, p.text, p.speaker, j.id, {TITLE},
   CASE WHEN j.kind = 'upload' THEN NULL ELSE j.video_id END FROM paragraphs p JOIN jobs j USING (media_id)""")
 def _(t):
-    # parts of ten entries, so that recordings have several documents
-    doc = D.export_json(export_jobs(t), segments(t), paragraphs(t), per_part=10)
+    doc = D.document_parts(D.export_json(export_jobs(t), segments(t), paragraphs(t)))
     row = "ARRAY<STRUCT<start: DOUBLE, duration: DOUBLE, text: STRING, speaker: STRING>>"
-    back = doc.withColumn(
-        "d", F.from_json("text", f"STRUCT<id: STRING, title: STRING, videoId: STRING, segments: {row}, paragraphs: {row}, segmentsBefore: INT, paragraphsBefore: INT>")
-    )
+    back = doc.withColumn("d", F.from_json("text", f"STRUCT<id: STRING, title: STRING, videoId: STRING, segments: {row}, paragraphs: {row}>"))
     parts = [
-        back.select("media_id", F.lit(name).alias("list"), F.posexplode(f"d.{name}").alias("k", "e"), F.coalesce(f"d.{name}Before", F.lit(0)).alias("before"),
-                    "d.id", "d.title", F.col("d.videoId").alias("video_id")).withColumn("pos", F.col("k") + F.col("before"))
+        back.select("media_id", F.lit(name).alias("list"), F.posexplode(f"d.{name}").alias("pos", "e"), "d.id", "d.title", F.col("d.videoId").alias("video_id"))
         for name in ("segments", "paragraphs")
     ]
     return parts[0].unionByName(parts[1]).select(
@@ -160,7 +156,7 @@ def _(t):
 
 @query("snk10_written_files", f"""WITH {SEGMENTS_SQL}, {JOBS_SQL}, b AS (SELECT media_id, {_BASENAME_SQL} AS basename FROM jobs),
 d AS (SELECT media_id, string_agg({_cue_sql(',', _CUE_TEXT)}, '' ORDER BY seq) AS text FROM segments GROUP BY media_id),
-n AS (SELECT media_id, CASE WHEN count(*) OVER (PARTITION BY basename) > 1 THEN basename || '-' || media_id ELSE basename END AS name FROM b)
+n AS (SELECT media_id, CASE WHEN count(*) OVER (PARTITION BY lower(basename)) > 1 OR regexp_matches(basename, '-m?[0-9]+$') THEN basename || '-' || media_id ELSE basename END AS name FROM b)
 SELECT d.media_id, name || '.srt' AS file_name, octet_length(encode(text))::BIGINT + 3 AS size_bytes, sha256(chr(65279) || text) AS hash FROM d JOIN n USING (media_id)""")
 def _(t):
     """Files written, read back with Spark and told apart by their names."""

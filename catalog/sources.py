@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from catalog import sqltext as S
 from catalog.adapters import staged
 from catalog.base import query
 from cuelake.operators.ordered import numbered
+from cuelake.session import ensure_checkpoint_dir, stage_table
+from cuelake.sinks.documents import write_files
 from cuelake.sources import captions as C
 from cuelake.sources import media as M
 from cuelake.sources import responses as R
@@ -255,11 +259,12 @@ def text_files(t):
     """Documents as files: the text is the content, the source picks name and type."""
     ext = F.element_at(F.array(*[F.lit(x) for x in ("mp3", "mp4", "wav", "exe")]), (F.col("doc_id") % 4 + 1).cast("int"))
     head = F.when(F.col("lang") == "en", "ID3").when(F.col("lang") == "de", "xxxxftyp").otherwise("RIFFxxxxWAVE")
-    return t.documents.select(
+    files = t.documents.select(
         F.col("doc_id").alias("media_id"), F.concat(F.lit("f"), "doc_id", F.lit("."), ext).alias("file_name"),
         (F.col("doc_id") * 1000).alias("modified_ms"), F.encode(F.concat(head, "text"), "UTF-8").alias("content"),
         F.when(F.col("source") == "src1", "audio/mpeg").otherwise("").alias("mime_type"),
     ).withColumn("size_bytes", F.octet_length("content").cast("bigint"))
+    return M.with_ends(files)
 
 
 @query("src08_media_inventory", """WITH f AS (SELECT doc_id, ['mp3', 'mp4', 'wav', 'exe'][doc_id % 4 + 1] AS ext, source, lang FROM documents)
@@ -269,10 +274,19 @@ def _(t):
     return M.media_inventory(text_files(t)).select("media_id", "file_name", "problem")
 
 
-@query("src08_scan_media_folder")
+@query("src08_scan_media_folder", """WITH f AS (SELECT doc_id, 'rec' || doc_id || '.mp3' AS file_name, encode(CASE WHEN lang = 'en' THEN 'ID3' ELSE '' END || text) AS b, lang FROM documents),
+h AS (SELECT *, octet_length(b) AS n, hex(b) AS x FROM f)
+SELECT file_name, n::BIGINT AS size_bytes, CASE WHEN n = 0 THEN 'empty' WHEN NOT coalesce(x LIKE '494433%' OR x LIKE '000001%' OR (x LIKE 'FF%' AND substr(x, 3, 1) IN ('E', 'F')), false) THEN 'bad_container' END AS problem,
+  sha256(unhex(substr(x, 1, 131072))) AS head_hash, sha256(unhex(substr(x, 2 * greatest(65536, n - 65536) + 1, 131072))) AS tail_hash FROM h""")
 def _(t):
-    files = M.read_media_files(t.spark, t.folder, "*.parquet")
-    return M.fingerprint_files(M.media_inventory(files)).select("file_name", "size_bytes", "problem", "fingerprint")
+    """Documents written as files; their ends, sizes and containers read back from the folder."""
+    folder = f"{ensure_checkpoint_dir(t.spark)}/recordings-{uuid.uuid4().hex}"
+    head = F.when(F.col("lang") == "en", "ID3").otherwise("")
+    parts = t.documents.select(F.col("doc_id").alias("media_id"), F.lit(0).alias("part"), F.concat(head, "text").alias("text"))
+    names = t.documents.select(F.col("doc_id").alias("media_id"), F.concat(F.lit("rec"), "doc_id").alias("basename"))
+    stage_table(write_files(parts, names, folder, "mp3"), "written")
+    files = M.media_inventory(M.read_media_files(t.spark, folder, "*.mp3"))
+    return files.select("file_name", "size_bytes", "problem", F.sha2("head", 256).alias("head_hash"), F.sha2("tail", 256).alias("tail_hash"))
 
 
 @query("src09_fingerprint_files", """WITH f AS (SELECT doc_id, ['mp3', 'mp4', 'wav', 'exe'][doc_id % 4 + 1] AS ext, encode(CASE lang WHEN 'en' THEN 'ID3' WHEN 'de' THEN 'xxxxftyp' ELSE 'RIFFxxxxWAVE' END || text) AS b FROM documents),

@@ -2,7 +2,7 @@
 
 A document is the concatenation of its chunks in ``ord`` order: no recording is ever gathered
 into one row. ``document_parts`` joins chunks into bounded parts (one part for any recording of
-ordinary size) and ``write_documents`` writes parts as text files grouped by recording.
+ordinary size) and ``write_files`` streams the parts of a recording into one file.
 
 jobs: media_id, title, language, source_type, provider_label, summary, summary_kind,
 source_label, timestamp_quality (each nullable). segments and paragraphs carry dense seq.
@@ -205,13 +205,11 @@ def export_html(jobs: DataFrame, paragraphs: DataFrame, timestamps="off", speake
     )
 
 
-def export_json(
-    jobs: DataFrame, segments: DataFrame, paragraphs: DataFrame, timestamps=True, speakers=True, summary=True, per_part: int = PART_CHUNKS
-) -> DataFrame:
-    """parts(media_id, part, text): JSON documents with the metadata and the two entry lists.
+MIDDLE = 1 << 50  # where the second list of a JSON document begins
 
-    A recording of at most ``per_part`` entries is one document. A longer one is several, each whole
-    JSON with the metadata; those after the first tell how many entries of each list came before."""
+
+def export_json(jobs: DataFrame, segments: DataFrame, paragraphs: DataFrame, timestamps=True, speakers=True, summary=True) -> DataFrame:
+    """One JSON document per recording: the metadata and the two entry lists, an entry per chunk."""
     upload = F.coalesce(F.col("kind") == "upload", F.lit(False))
     fields = [
         F.col("id"), F.col("source"), F.when(~upload, F.col("video_id")).alias("videoId"),
@@ -222,30 +220,21 @@ def export_json(
     if summary:
         fields += [F.col("summary_kind").alias("summaryKind"), F.col("summary")]
 
-    def entries(df: DataFrame, side: int) -> DataFrame:
+    def entries(df: DataFrame, first_ord: int) -> DataFrame:
         shown = []
         if timestamps:
             shown += [(F.col("start_ms") / 1000).alias("start"), (F.col("dur_ms") / 1000).alias("duration")]
         shown.append(F.col("text"))
         if speakers:
             shown.append(_spoken(True).alias("speaker"))
-        return df.select("media_id", F.lit(side).alias("side"), "seq", F.to_json(F.struct(*shown)).alias("entry"))
-
-    rows = entries(segments, 0).unionByName(entries(paragraphs, 1))
-    block = (F.col("side") * (1 << 40) + F.floor(F.col("seq") / 65_536)).cast("bigint")
-    at = ordered_scan(rows, ["media_id"], ["side", "seq"], block, [Scan("__n", "position"), Scan("__seg", "sum_before", (1 - F.col("side")).cast("bigint"))])
-    lists = at.groupBy("media_id", F.floor(F.col("__n") / per_part).cast("bigint").alias("part")).agg(
-        *[F.array_sort(F.collect_list(F.when(F.col("side") == k, F.struct("seq", "entry")))).alias(f"l{k}") for k in (0, 1)],
-        F.min("__seg").alias("before0"), F.min("__n").alias("before"),
-    )
-    part = F.coalesce("part", F.lit(0).cast("bigint"))
-    later = [F.when(part > 0, c).alias(n) for c, n in (
-        (part, "part"), (F.col("before0"), "segmentsBefore"), (F.col("before") - F.col("before0"), "paragraphsBefore"))]
-    text = lambda c: F.array_join(F.transform(F.coalesce(c, F.array().cast("array<struct<seq:bigint,entry:string>>")), lambda x: x["entry"]), ", ")
-    whole = jobs.join(lists, "media_id", "left").withColumn("__meta", F.to_json(F.struct(*fields, *later)))
-    return whole.select(
-        "media_id", part.alias("part"),
-        F.concat(F.expr("left(__meta, length(__meta) - 1)"), F.lit(', "segments": ['), text("l0"), F.lit('], "paragraphs": ['), text("l1"), F.lit("]}\n")).alias("text"),
+        return _body(df, F.concat(F.when(F.col("seq") > 0, ", ").otherwise(""), F.to_json(F.struct(*shown))), first_ord)
+
+    meta = F.to_json(F.struct(*fields))
+    middle = jobs.select("media_id", F.lit(MIDDLE).cast("bigint").alias("ord"), F.lit('], "paragraphs": [').alias("chunk"))
+    head = F.concat(F.left(meta, F.length(meta) - 1), F.lit(', "segments": ['))
+    return (
+        _head(jobs, head).unionByName(entries(segments, 1)).unionByName(middle)
+        .unionByName(entries(paragraphs, MIDDLE + 1)).unionByName(_tail(jobs, F.lit("]}\n")))
     )
 
 
@@ -264,12 +253,16 @@ def document_parts(chunks: DataFrame, per_part: int = PART_CHUNKS) -> DataFrame:
 def write_files(parts: DataFrame, names: DataFrame, folder: str, extension: str, bom: bool = False) -> DataFrame:
     """One file per recording, ``folder``/basename.extension; the manifest: media_id, path, size_bytes.
 
-    names(media_id, basename); where recordings share a name, the id follows it. A task streams the
+    names(media_id, basename). The id follows a name that recordings share, in whatever case, and one
+    that ends like a name with an id, so no two files ever meet. A task streams the
     parts of its recordings in order, so it never holds a document. Writing again gives the same
     bytes under the same names, so a task that is repeated changes nothing."""
-    shared = names.groupBy("basename").agg(F.count(F.lit(1)).alias("__n"))
-    told = F.when(F.col("__n") > 1, F.concat_ws("-", "basename", F.col("media_id").cast("string"))).otherwise(F.col("basename"))
-    named = names.join(shared, "basename").select("media_id", told.alias("name"))
+    folded = names.withColumn("__folded", F.lower("basename"))
+    shared = folded.groupBy("__folded").agg(F.count(F.lit(1)).alias("__n"))
+    sign = F.when(F.col("media_id") < 0, "-m").otherwise("-")
+    alike = (F.col("__n") > 1) | F.col("basename").rlike("-m?[0-9]+$")
+    told = F.when(alike, F.concat("basename", sign, F.abs("media_id").cast("string"))).otherwise(F.col("basename"))
+    named = folded.join(shared, "__folded").select("media_id", told.alias("name"))
     rows = parts.join(named, "media_id").select("media_id", "part", "name", "text").repartition("media_id").sortWithinPartitions("media_id", "part")
     start = BOM if bom else ""
 
@@ -296,16 +289,6 @@ def write_files(parts: DataFrame, names: DataFrame, folder: str, extension: str,
     return rows.mapInPandas(write, "media_id BIGINT, path STRING, size_bytes BIGINT")
 
 
-def write_documents(parts: DataFrame, path: str, bom: bool = False) -> None:
-    """Text files sorted by recording and part; ``bom`` marks the start of each document."""
-    text = F.concat(F.when(F.lit(bom) & (F.col("part") == 0), BOM).otherwise(""), "text")
-    (
-        parts.withColumn("text", text)
-        .repartitionByRange("media_id", "part").sortWithinPartitions("media_id", "part")
-        .select("text").write.option("lineSep", "").text(path)
-    )
-
-
 def export_names(jobs: DataFrame) -> DataFrame:
     """Base file name per job: title, else the upload's name without extension, else the id."""
     upload = F.when(F.col("kind") == "upload", F.regexp_replace("file_name", "\\.[^.]+$", ""))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cuelake.operators.joins import asof_join
 from cuelake.operators.ordered import Scan, ordered_scan, row_block
+from cuelake.sources.files import SAMPLE_BYTES, register_media_files
 
 # Accepted extensions with their MIME types, and admission limits.
 FORMATS = {
@@ -22,28 +23,30 @@ FORMATS = {
 }
 MAX_FILE_BYTES = 1_500_000_000
 MAX_DURATION_SEC = 7_200
-SAMPLE_BYTES = 65_536
 ATOMS = ["ftyp", "moov", "mdat", "wide", "free", "skip"]
 
 
 def read_media_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """files(path, file_name, modified_ms, size_bytes, content, mime_type) from a folder."""
-    raw = (
-        spark.read.format("binaryFile").option("pathGlobFilter", glob)
-        .option("recursiveFileLookup", "true").load(path)
-    )
-    return raw.select(
-        "path", F.element_at(F.split("path", "/"), -1).alias("file_name"),
-        F.unix_millis("modificationTime").alias("modified_ms"), F.col("length").alias("size_bytes"),
-        "content", F.lit("").alias("mime_type"),
-    )
+    """files(path, file_name, modified_ms, size_bytes, head, tail, mime_type) of a folder. Only the ends
+    of the files are read."""
+    register_media_files(spark)
+    return spark.read.format("media_files").option("glob", glob).load(path).withColumn("mime_type", F.lit(""))
+
+
+def with_ends(files: DataFrame) -> DataFrame:
+    """head and tail of files whose whole content is a column."""
+    size = F.octet_length("content")
+    start = F.greatest(F.lit(SAMPLE_BYTES), size - SAMPLE_BYTES)
+    return files.withColumns({
+        "head": F.substring("content", 1, SAMPLE_BYTES), "tail": F.substring(F.col("content"), start + 1, F.lit(SAMPLE_BYTES)),
+    }).drop("content")
 
 
 def _extension(name: Column) -> Column:
     return F.lower(F.element_at(F.split(name, "\\."), -1))
 
 
-def media_problem(df_name: Column, mime: Column, size: Column, content: Column) -> Column:
+def media_problem(df_name: Column, mime: Column, size: Column, start: Column) -> Column:
     """unsupported_type, empty, file_too_large, bad_container, or null when accepted."""
     ext = _extension(df_name)
     listed = F.create_map(*[
@@ -51,7 +54,7 @@ def media_problem(df_name: Column, mime: Column, size: Column, content: Column)
     ])
     mimes = F.try_element_at(listed, ext)
     mime_ok = (mime == "") | (mime == "application/octet-stream") | F.array_contains(mimes, F.lower(mime))
-    head = F.hex(F.substring(content, 1, 16))
+    head = F.hex(F.substring(start, 1, 16))
     piece = lambda at, n: F.substring(head, at * 2 + 1, n * 2)
     text = lambda s: s.encode().hex().upper()
     sync = F.conv(piece(1, 1), 16, 10).cast("int").bitwiseAND(0xE0) == 0xE0
@@ -78,30 +81,20 @@ def media_problem(df_name: Column, mime: Column, size: Column, content: Column)
 def media_inventory(files: DataFrame) -> DataFrame:
     return files.withColumn(
         "problem",
-        media_problem(F.col("file_name"), F.col("mime_type"), F.col("size_bytes"), F.col("content")),
+        media_problem(F.col("file_name"), F.col("mime_type"), F.col("size_bytes"), F.col("head")),
     )
 
 
-def fingerprint(name: Column, size: Column, modified_ms: Column, content: Column) -> Column:
+def fingerprint(name: Column, size: Column, modified_ms: Column, head: Column, tail: Column) -> Column:
     """SHA-256 over name, size, time, the first and the last 64 KiB (not overlapping)."""
     zero = F.unhex(F.lit("00"))
     part = lambda c: F.encode(c.cast("string"), "UTF-8")
-    tail_at = F.greatest(F.lit(SAMPLE_BYTES), size - SAMPLE_BYTES)
-    tail = F.substring(content, (tail_at + 1).cast("int"), F.lit(SAMPLE_BYTES))
-    return F.sha2(
-        F.concat(
-            part(name), zero, part(size), zero, part(modified_ms), zero,
-            F.substring(content, 1, SAMPLE_BYTES), tail,
-        ),
-        256,
-    )
+    return F.sha2(F.concat(part(name), zero, part(size), zero, part(modified_ms), zero, head, tail), 256)
 
 
 def fingerprint_files(files: DataFrame) -> DataFrame:
-    return files.withColumn(
-        "fingerprint",
-        fingerprint(F.col("file_name"), F.col("size_bytes"), F.col("modified_ms"), F.col("content")),
-    )
+    names = ("file_name", "size_bytes", "modified_ms", "head", "tail")
+    return files.withColumn("fingerprint", fingerprint(*[F.col(c) for c in names]))
 
 
 def resume_gate(picked: DataFrame, jobs: DataFrame) -> DataFrame:

@@ -68,18 +68,18 @@ def test_terms(spark):
     assert search.term_counts(docs, "text", terms.limit(0)).collect() == []
 
 
-def test_json_parts_are_whole_documents(spark, tables):
+def test_json_parts_make_one_document(spark, tables):
     jobs = spark.createDataFrame(
         [(1, "id", "s", "v", "u", "en", "manual", "T", "p", None, None, None, "video"), (2, "id2", "s", "v", "u", "en", "manual", "T", "p", None, None, None, "video")],
         "media_id BIGINT, id STRING, source STRING, video_id STRING, url STRING, language STRING, source_type STRING, title STRING, provider STRING, "
         "timestamp_quality STRING, summary_kind STRING, summary STRING, kind STRING")
     jobs = jobs.withColumns({"source_label": jobs.title, "file_name": jobs.title})
-    whole = [json.loads(r.text) for r in documents.export_json(jobs, *tables).orderBy("media_id").collect()]
-    assert [len(d["segments"]) for d in whole] == [3, 0] and "part" not in whole[0]
-    parts = [json.loads(r.text) for r in documents.export_json(jobs, *tables, per_part=2).where("media_id = 1").orderBy("part").collect()]
-    assert [s["text"] for d in parts for s in d["segments"]] == ["a", "b", "c"]
-    assert [s["text"] for d in parts for s in d["paragraphs"]] == ["a b", "c"]
-    assert [(d.get("segmentsBefore"), d.get("paragraphsBefore")) for d in parts] == [(None, None), (2, 0), (3, 1)]
+    whole = documents.document_parts(documents.export_json(jobs, *tables)).orderBy("media_id").collect()
+    docs = [json.loads(r.text) for r in whole]
+    assert [len(d["segments"]) for d in docs] == [3, 0] and [r.part for r in whole] == [0, 0]
+    parts = documents.document_parts(documents.export_json(jobs, *tables), per_part=2).where("media_id = 1").orderBy("part").collect()
+    assert len(parts) > 2 and json.loads("".join(r.text for r in parts)) == docs[0]
+    assert [s["text"] for s in docs[0]["paragraphs"]] == ["a b", "c"]
 
 
 def test_resume_gate_with_missing_values(spark):
