@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from catalog.adapters import SEGMENTS_SQL, segments
 from catalog.base import query
 from cuelake.functions.checks import failed
+from cuelake.operators import backup as B
 from cuelake.operators import store as S
+from cuelake.operators import validation as V
 from cuelake.sources.media import resume_gate
 
 
@@ -159,30 +161,30 @@ def settings(t):
 
 @query("src11_read_backup", f"""SELECT {_ID} AS id, source AS title, n_chars::DOUBLE AS duration_sec FROM documents""")
 def _(t):
-    lines = S.backup_lines(sound(t), settings(t), "2026-01-01T00:00:00Z")
-    return S.read_backup(lines)[0].select("id", "title", "duration_sec")
+    lines = B.backup_lines(sound(t), settings(t), "2026-01-01T00:00:00Z")
+    return B.read_backup(lines)[0].select("id", "title", "duration_sec")
 
 
 @query("src11_backup_problems", "SELECT 'invalid_job' AS problem FROM documents WHERE lang = 'es' OR source IN ('src2', 'src4') OR n_chars < 100 LIMIT 1")
 def _(t):
-    return S.read_backup(S.backup_lines(jobs(t), settings(t), "x"))[1]
+    return B.read_backup(B.backup_lines(jobs(t), settings(t), "x"))[1]
 
 
 @query("snk09_backup_counts", """SELECT 'job' AS kind, count(*)::BIGINT AS n FROM documents UNION ALL SELECT 'setting', count(DISTINCT event_type)::BIGINT FROM events WHERE event_type <> 'error' UNION ALL SELECT 'envelope', 1""")
 def _(t):
-    return S.backup_lines(jobs(t), settings(t), "x").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    return B.backup_lines(jobs(t), settings(t), "x").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("ag16_backup_version", "SELECT CASE WHEN count(*) FILTER (source = 'src4') > 0 THEN 2 ELSE 1 END AS version, count(*)::BIGINT AS jobs FROM documents")
 def _(t):
-    e = S.backup_lines(jobs(t), settings(t), "x").where(F.col("kind") == "envelope")
+    e = B.backup_lines(jobs(t), settings(t), "x").where(F.col("kind") == "envelope")
     return e.select(F.from_json("line", "STRUCT<version: INT, jobs: BIGINT>").alias("e")).select("e.*")
 
 
 @query("so04_import_backup", f"""SELECT {_ID} AS id, source AS title FROM documents UNION ALL SELECT 'keep-' || event_type, 'kept' FROM (SELECT DISTINCT event_type FROM events)""")
 def _(t):
     old = t.events.select(F.concat(F.lit("keep-"), "event_type").alias("id"), F.lit("kept").alias("title")).distinct()
-    return S.import_backup(old, S.backup_lines(sound(t), settings(t), "x"))
+    return B.import_backup(old, B.backup_lines(sound(t), settings(t), "x"))
 
 
 @query("src12_save_and_load_jobs", f"SELECT {_ID} AS id, 1700000000000 + doc_id * 1000 AS created_at FROM documents")
@@ -205,3 +207,66 @@ def _(t):
         F.col("doc_id").alias("job_id"), F.md5(F.when(lang("de"), F.lit("?")).otherwise(F.col("text")).cast("binary")).alias("fingerprint"),
         (F.col("n_chars") + F.when(lang("fr"), 0.2).otherwise(0.05)).alias("duration_sec"), F.lit(1280).alias("width"), F.when(lang("es"), 1080).otherwise(720).alias("height"))
     return resume_gate(got, have)
+
+
+# -- nested rows and setting values -------------------------------------------------------
+
+
+def nested_jobs(t):
+    """Documents as jobs: a line is a segment, some with a bad time; a plan of two chunks; edits."""
+    lines = F.split("text", "\n")
+    cue = lambda x, i: F.struct(F.when(i % 5 == 3, -1.0).otherwise(i.cast("double")).alias("start"), F.lit(1.0).alias("duration"), F.nullif(x, F.lit("")).alias("text"), F.lit(None).cast("string").alias("speaker"))
+    chunk = lambda k, index, end: F.struct(F.lit(f"c{k}").alias("id"), index.alias("index"), F.lit(0.0).alias("start"), end.alias("end"), F.lit(1.0).alias("coreStart"), F.lit(5.0).alias("coreEnd"))
+    odd = F.col("doc_id") % 3 == 0
+    plan = F.array(chunk(0, F.when(odd, 0.5).otherwise(0.0), F.lit(6.0)), chunk(1, F.lit(1.0), F.when(F.col("lang") == "de", 4.0).otherwise(6.0)))
+    upload = F.struct(
+        F.when(F.col("lang") == "fr", "asleep").otherwise("idle").alias("status"),
+        F.struct(F.lit("ko").alias("language"), F.lit("speech").alias("contentMode"), F.array(F.lit("a"), F.when(~odd, "b")).alias("keywords")).alias("settings"),
+        plan.alias("plan"), F.array().cast("array<struct<id:string,index:double,start:double,end:double,coreStart:double,coreEnd:double,transcript:struct<text:string,timestampQuality:string>,completedAt:double,sizeBytes:double>>").alias("chunks"))
+    edit = F.struct(F.nullif(F.col("source"), F.lit("src1")).alias("text"), F.lit(None).cast("string").alias("speaker"))
+    edits = F.create_map(F.when(odd, "01").otherwise("12.5"), edit)
+    return t.documents.select("doc_id", F.transform(lines, cue).alias("segments"), upload.alias("upload"), edits.alias("edits"))
+
+
+@query("flt13_nested_violations", """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
+e AS (SELECT doc_id, lang, source, CASE WHEN doc_id % 3 = 0 THEN '01' ELSE '12.5' END AS k FROM documents)
+SELECT doc_id, 'segments[' || i || '].text' AS path, 'text' AS rule FROM l WHERE x = ''
+UNION ALL SELECT doc_id, 'segments[' || i || '].start', 'time' FROM l WHERE i % 5 = 3
+UNION ALL SELECT doc_id, 'edits{' || k || '}.key', 'timestamp' FROM e WHERE k = '01'
+UNION ALL SELECT doc_id, 'edits{' || k || '}.value.text', 'text' FROM e WHERE source = 'src1'
+UNION ALL SELECT doc_id, 'upload.status', 'status' FROM e WHERE lang = 'fr'
+UNION ALL SELECT doc_id, 'upload.settings.keywords[1]', 'text' FROM e WHERE doc_id % 3 = 0
+UNION ALL SELECT doc_id, 'upload.plan[0].index', 'index' FROM e WHERE doc_id % 3 = 0
+UNION ALL SELECT doc_id, 'upload.plan[1]', 'interval' FROM e WHERE lang = 'de'""")
+def _(t):
+    return V.job_violations(nested_jobs(t), "doc_id")
+
+
+SLIDES_JSON = (
+    '{"sampleRate": RATE, "detectionWidth": 192, "sensitivity": 1, "refineStep": 0.2, "stableSamples": 2, "maxCandidates": 200, "maxRequests": 100, '
+    '"budgetUsd": 5, "allowance": 0.25, "inputTokensPerMegapixel": 1500, "outputAllowance": 1024, "retryAllowance": 1, "profile": "standard", "regions": [{"time": 0}]}'
+)
+
+
+def setting_values(t):
+    value = (
+        F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit('{"language": "'), "lang", F.lit('", "contentMode": "speech", "keywords": ["a"]}')))
+        .when(F.col("doc_id") % 4 == 1, F.replace(F.lit(SLIDES_JSON), F.lit("RATE"), F.col("n_chars").cast("string")))
+        .when(F.col("doc_id") % 4 == 2, F.lit("true")).otherwise(F.when(F.col("lang") == "de", "{broken").otherwise("[1]"))
+    )
+    key = F.element_at(F.array(F.lit("upload"), F.lit("slides"), F.lit("__internal:lock"), F.lit("theme")), (F.col("doc_id") % 4 + 1).cast("int"))
+    return t.documents.select(key.alias("key"), value.alias("value"))
+
+
+@query("flt20_setting_values", """SELECT 'upload' AS key, 'upload.language' AS path, 'language' AS rule, count(*)::BIGINT AS n FROM documents WHERE doc_id % 4 = 0 AND lang NOT IN ('en', 'ko') HAVING count(*) > 0
+UNION ALL SELECT 'slides', 'slides.sampleRate', 'range', count(*) FROM documents WHERE doc_id % 4 = 1 AND NOT (n_chars BETWEEN 0.5 AND 4) HAVING count(*) > 0
+UNION ALL SELECT '__internal:lock', 'key', 'key', count(*) FROM documents WHERE doc_id % 4 = 2 HAVING count(*) > 0""")
+def _(t):
+    return V.setting_violations(setting_values(t)).groupBy("key", "path", "rule").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("so04_import_settings", """SELECT event_type AS key, '"' || 'new' || '"' AS value FROM events GROUP BY 1 UNION ALL SELECT 'kept', '1'""")
+def _(t):
+    fresh = t.events.select(F.col("event_type").alias("key")).distinct().withColumn("value", F.lit('"new"'))
+    had = fresh.where("key = 'click'").withColumn("value", F.lit("0")).unionByName(t.events.select(F.lit("kept").alias("key"), F.lit("1").alias("value")).distinct())
+    return B.import_all(jobs(t).limit(0), had, B.backup_lines(sound(t), fresh, "x"))[1]

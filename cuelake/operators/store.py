@@ -1,15 +1,12 @@
-"""Job collections: identity, validation, upserts, deletion, import and backup."""
+"""Job collections: identity, validation, upserts, deletion and import."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelake import schemas
 from cuelake.functions import text as T
-from cuelake.functions.checks import (
-    finite_nonnegative, one_of, rejected, whole, with_reasons, within,
-)
+from cuelake.functions.checks import finite_nonnegative, one_of, whole, within
 from cuelake.operators.paragraphs import extent
 from cuelake.session import stage_table
 from cuelake.sources.links import WATCH_URL
@@ -20,7 +17,6 @@ SOURCE_TYPES = ["manual", "asr", "transcription", "visual"]
 QUALITIES = ["source", "provider", "chunk-estimated", "none"]
 MODES = ["captions", "audio", "slides"]
 STATE_STATUSES = ["pending", "completed", "failed", "incomplete", "unknown-billing", "excluded"]
-BACKUP_VERSIONS = [1, 2]
 SETTING_RANGES = {
     "sample_rate": (0.5, 4, False), "detection_width": (192, 1024, True), "sensitivity": (0.5, 3, False),
     "refine_step": (0.1, 0.25, False), "stable_samples": (2, 4, True), "max_candidates": (2, 1000, True),
@@ -160,56 +156,6 @@ def delete_jobs(ids: DataFrame, *tables: DataFrame) -> tuple[DataFrame, ...]:
     return tuple(t.join(ids.select("job_id"), "job_id", "left_anti") for t in tables)
 
 
-# -- backups -----------------------------------------------------------------------------
-# A backup is a folder of JSON lines: one envelope line, one line per setting, one per job.
-
-
-def backup_lines(jobs: DataFrame, settings: DataFrame, exported_at: str, tag: str = "transcript-backup") -> DataFrame:
-    """lines(kind, line). Version 2 as soon as there is a slides job; reserved settings stay out."""
-    info = jobs.agg(
-        F.max(F.when(F.col("processing_mode") == "slides", 2).otherwise(1)).alias("v"), F.count(F.lit(1)).alias("n"))
-    envelope = info.select(
-        F.lit("envelope").alias("kind"),
-        F.to_json(F.struct(F.lit(tag).alias("format"), F.coalesce("v", F.lit(1)).alias("version"), F.lit(exported_at).alias("exportedAt"), F.col("n").alias("jobs"))).alias("line"))
-    kept = settings.where(setting_key_ok(F.col("key"))).select(
-        F.lit("setting").alias("kind"), F.to_json(F.struct("key", "value")).alias("line"))
-    rows = jobs.select(F.lit("job").alias("kind"), F.to_json(F.struct(*jobs.columns)).alias("line"))
-    return envelope.unionByName(kept).unionByName(rows)
-
-
-def read_backup(lines: DataFrame, tag: str = "transcript-backup") -> tuple[DataFrame, DataFrame]:
-    """(jobs, problems) from backup lines. Any problem rejects the whole backup: ``jobs`` is then
-    empty. Problems: bad_envelope, invalid_job, slides_in_version_1, duplicate_id, lost_jobs."""
-    env = lines.where(F.col("kind") == "envelope").select(
-        F.from_json("line", "STRUCT<format: STRING, version: INT, jobs: BIGINT>").alias("e")).select("e.*")
-    parsed = lines.where(F.col("kind") == "job").select(F.from_json("line", schemas.BACKUP_JOB).alias("j")).select("j.*")
-    jobs = normalize_jobs(parsed)
-    bad = rejected(with_reasons(parsed, job_checks())).agg(F.count(F.lit(1)).alias("n"))
-    twice = duplicate_identities(jobs).agg(F.count(F.lit(1)).alias("n"))
-    totals = jobs.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("processing_mode") == "slides").alias("slides"))
-    good = env.where((F.col("format") == tag) & F.col("version").isin(BACKUP_VERSIONS))
-    head = good.agg(F.count(F.lit(1)).alias("envelopes"), F.max("version").alias("version"), F.max("jobs").alias("listed"))
-    # Each side is one row of totals; stacking them keeps this free of joins.
-    one = lambda df, name, ok: df.select(F.lit(name).alias("problem"), ok.alias("found"))
-    sides = head.unionByName(totals.select(F.col("n").alias("got"), "slides"), allowMissingColumns=True)
-    facts = sides.agg(*[F.max(c).alias(c) for c in sides.columns])
-    problems = (
-        one(facts, "bad_envelope", F.col("envelopes") != 1)
-        .unionByName(one(facts, "lost_jobs", F.coalesce(F.col("listed") != F.col("got"), F.lit(False))))
-        .unionByName(one(facts, "slides_in_version_1", F.coalesce((F.col("version") == 1) & (F.col("slides") > 0), F.lit(False))))
-        .unionByName(one(bad, "invalid_job", F.col("n") > 0)).unionByName(one(twice, "duplicate_id", F.col("n") > 0))
-    ).where("found").select("problem")
-    blocked = not problems.limit(1).isEmpty()
-    return (jobs.limit(0) if blocked else jobs), problems
-
-
-def import_backup(existing: DataFrame, lines: DataFrame, tag: str = "transcript-backup") -> DataFrame:
-    """Existing jobs with the backup's jobs on top, or unchanged when the backup is rejected."""
-    jobs, _ = read_backup(lines, tag)
-    fresh = jobs.select(*existing.columns).withColumn("ord", F.lit(0).cast("bigint"))
-    return upsert(existing, fresh)
-
-
 def save_jobs(path: str, jobs: DataFrame) -> None:
     """The collection as a plain table. It is written aside first, so that jobs read from the same
     path can be saved there."""
