@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cuelake.functions import breaks
+
 # The white space, marks, endings and word lists the results depend on.
 SPACE = "\\t\\n\\x0B\\f\\r \\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff"
 HANGUL = "[\\uAC00-\\uD7A3]"
@@ -24,6 +26,14 @@ BOILERPLATE = "구독|좋아요|고정\\s*댓글|참고하세요|알람|알림\\
 NAMED_ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "amp": "&"}
 QUESTION_ENDINGS = "까요|나요|세요|습니까|입니까|죠"
 SCORED_QUESTIONS = "[?？]|까요|나요|습니까|입니까"
+LABELLED = (
+    "^(?:\\[([^\\]]{1,40})\\]|([A-Za-z가-힣][A-Za-z가-힣0-9 .'-]{0,32}))"
+    f"[{SPACE}]*[:：][{SPACE}]+([\\s\\S]+)$"
+)
+NAME_LINE = (
+    f"(?:^|\\n)[{SPACE}]*[-*•]?[{SPACE}]*(?:\\*\\*)?"
+    f"([A-Za-z가-힣][A-Za-z가-힣0-9·.{SPACE}]{{0,24}}?)(?:\\*\\*)?[{SPACE}]*[:：]"
+)
 
 
 def lit(value) -> Column:
@@ -216,43 +226,29 @@ def should_break_sentence(
     next_mark: Column,
 ) -> Column:
     korean = is_korean_heavy(F.concat(prev, nxt))
-    return (
-        F.when(speakers_differ(prev_speaker, next_speaker), True)
-        .when(next_mark & (compact_len(prev) > 8), True)
-        .when((compact_len(prev) <= 6) & (elapsed_ms < 5000), False)
-        .when(elapsed_ms >= 3200, True)
-        .when(ends_sentence(prev), elapsed_ms >= 250)
-        .when(
-            ~korean
-            & F.regexp_like(prev, F.lit("[a-z0-9)]$"))
-            & F.regexp_like(nxt, F.lit("^[A-Z]"))
-            & (elapsed_ms >= 800),
-            True,
-        )
-        .when(
-            korean
-            & F.regexp_like(prev, F.lit("(?:다|요|죠|니다|까요|세요)[.!?…]*$"))
-            & (elapsed_ms >= 450),
-            True,
-        )
-        .otherwise(False)
-    )
+    facts = {
+        **_break_facts(prev, prev_speaker, next_speaker, next_mark),
+        "closed": ends_sentence(prev),
+        "korean closed": korean & F.regexp_like(prev, F.lit(breaks.KOREAN_SENTENCE_END)),
+        "capital follows": ~korean & F.regexp_like(prev, F.lit(breaks.LOW_END)) & F.regexp_like(nxt, F.lit(breaks.CAPITAL_START)),
+    }
+    return breaks.decided(breaks.SENTENCE_RULES, facts, elapsed_ms)
 
 
 def should_break_paragraph(
     prev: Column, nxt_mark: Column, elapsed_ms: Column, span_ms: Column, prev_speaker: Column,
     next_speaker: Column,
 ) -> Column:
-    stop = ends_sentence(prev) | F.regexp_like(prev, F.lit("(?:다|요|죠|니다)\\.?$"))
-    return (
-        F.when(speakers_differ(prev_speaker, next_speaker), True)
-        .when(nxt_mark & (compact_len(prev) > 8), True)
-        .when((compact_len(prev) <= 6) & (elapsed_ms < 5000), False)
-        .when(elapsed_ms >= 2600, True)
-        .when(stop & (elapsed_ms >= 700), True)
-        .when(stop & (span_ms >= 8000), True)
-        .otherwise(span_ms >= 14000)
-    )
+    stop = ends_sentence(prev) | F.regexp_like(prev, F.lit(breaks.KOREAN_PARAGRAPH_END))
+    facts = {**_break_facts(prev, prev_speaker, next_speaker, nxt_mark), "stop": stop}
+    return breaks.decided(breaks.PARAGRAPH_RULES, facts, elapsed_ms, span_ms)
+
+
+def _break_facts(prev: Column, prev_speaker: Column, next_speaker: Column, next_mark: Column) -> dict[str, Column]:
+    return {
+        "any": F.lit(True), "other speaker": speakers_differ(prev_speaker, next_speaker),
+        "turn mark": next_mark & (compact_len(prev) > breaks.MARKED_KEY), "short": compact_len(prev) <= breaks.SHORT_KEY,
+    }
 
 
 # -- speakers ----------------------------------------------------------------------------
@@ -282,12 +278,6 @@ def plausible_names(names: Column) -> Column:
     return F.filter(trimmed, lambda n: present(n) & ~is_false_speaker(n) & ~is_single_letter(n))
 
 
-LABELLED = (
-    "^(?:\\[([^\\]]{1,40})\\]|([A-Za-z가-힣][A-Za-z가-힣0-9 .'-]{0,32}))"
-    f"[{SPACE}]*[:：][{SPACE}]+([\\s\\S]+)$"
-)
-
-
 def peel_speaker(c: Column) -> Column:
     """struct(speaker, text, turn_mark): strip marks, lift a leading ``Name: ``."""
     plain = trim(F.replace(c, F.lit("\u00a0"), F.lit(" ")))
@@ -330,12 +320,6 @@ def remap_speaker(raw: Column, names: Column) -> Column:
     )
 
 
-NAME_LINE = (
-    f"(?:^|\\n)[{SPACE}]*[-*•]?[{SPACE}]*(?:\\*\\*)?"
-    f"([A-Za-z가-힣][A-Za-z가-힣0-9·.{SPACE}]{{0,24}}?)(?:\\*\\*)?[{SPACE}]*[:：]"
-)
-
-
 def speakers_from_summary(summary: Column, limit: int = 6) -> Column:
     names = F.transform(F.regexp_extract_all(summary, F.lit(NAME_LINE), 1), squash)
     kept = F.filter(names, lambda n: (n != "") & ~is_false_speaker(n))
