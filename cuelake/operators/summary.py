@@ -1,4 +1,4 @@
-"""Extractive summaries and the limits of a summary request."""
+"""Extractive summaries and the limits of a summary request. The phrases of a summary are fixed values."""
 
 from __future__ import annotations
 
@@ -120,8 +120,10 @@ def summary_sentences(paragraphs: DataFrame) -> DataFrame:
     return numbered.select("media_id", "idx", total.alias("total"), "sentence")
 
 
-def top_sentences(pool: DataFrame) -> DataFrame:
-    """The three best sentences of each third, ties by position: in blocks first, then overall."""
+def top_sentences(pool: DataFrame, with_first: bool = False) -> DataFrame:
+    """The three best sentences of each third, ties by position: in blocks first, then overall. With
+    ``with_first`` the first sentence of the pool comes too, in a third of its own, numbered 3."""
+    opening = F.when((F.col("idx") == 0) & F.lit(with_first), F.array(F.lit(3))).otherwise(F.array().cast("array<int>"))
     scored = pool.withColumns({
         "score": T.score_sentence(F.col("sentence"), F.col("idx"), F.col("total")),
         # A short pool reads one sentence in each third even where thirds would be empty.
@@ -131,7 +133,7 @@ def top_sentences(pool: DataFrame) -> DataFrame:
             & (F.col("idx") < F.greatest(
                 F.floor(F.col("total") * k / 3) + 1, F.floor(F.col("total") * (k + 1) / 3))),
         ),
-    }).withColumn("third", F.explode("thirds")).drop("thirds")
+    }).withColumn("third", F.explode(F.concat("thirds", opening))).drop("thirds")
     best = [F.col("score").desc(), F.col("idx")]
     local = Window.partitionBy("media_id", "third", F.floor(F.col("idx") / BLOCK_ROWS)).orderBy(*best)
     whole = Window.partitionBy("media_id", "third").orderBy(*best)
@@ -142,12 +144,11 @@ def top_sentences(pool: DataFrame) -> DataFrame:
 def summarize(jobs: DataFrame, paragraphs: DataFrame) -> DataFrame:
     """jobs(media_id, title, kind) to (media_id, summary): key points from the opening, the middle
     and the end, never a pasted opening."""
-    top = top_sentences(summary_sentences(paragraphs)).withColumn("point", T.shorten_point(F.col("sentence")))
+    top = top_sentences(summary_sentences(paragraphs), with_first=True).withColumn("point", T.shorten_point(F.col("sentence")))
+    best = F.when(F.col("third") < 3, F.struct("third", "rank", "point"))
     points = top.groupBy("media_id").agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("third", "rank", "point"))), lambda x: x["point"]
-        ).alias("points"),
-        F.min_by("sentence", "idx").alias("first"),
+        F.transform(F.array_sort(F.collect_list(best)), lambda x: x["point"]).alias("points"),
+        F.min_by("sentence", "idx").alias("first"),  # of the whole pool
     )
     empty = F.array().cast("array<string>")
     kept = F.aggregate(

@@ -49,6 +49,7 @@ def read_caption_json3(payloads: DataFrame) -> DataFrame:
 
 
 def timedtext_cues(payload: Column) -> Column:
+    # the markup patterns here and below are fixed values
     block = F.lit("(?i)<p\\b([^>]*)>([\\s\\S]*?)</p>")
     pairs = F.arrays_zip(
         F.regexp_extract_all(payload, block, 1).alias("attrs"),

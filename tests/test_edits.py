@@ -90,3 +90,16 @@ def test_resume_gate_with_missing_values(spark):
         schema)
     got = {r.job_id: r.mismatch for r in resume_gate(picked, jobs).collect()}
     assert got == {0: None, 1: "fingerprint", 2: "duration", 3: "dimensions", 4: "file", 5: "file"}
+
+
+def test_the_line_of_an_empty_summary_is_the_first_sentence(spark):
+    """Every bullet is empty: the line comes from the pool's first sentence, not from its best one."""
+    from pyspark.sql import functions as F
+
+    from cuelake.operators import summary as S
+
+    pool = spark.createDataFrame([(1, i, 12, f"sentence {i} " + "x" * (40 if i == 2 else 5)) for i in range(12)], "media_id BIGINT, idx BIGINT, total BIGINT, sentence STRING")
+    top = S.top_sentences(pool, with_first=True)
+    assert top.where("third = 3").select("idx").collect() == [(0,)]
+    plain = lambda d: sorted(map(str, d.select("third", "rank", "idx").collect()))
+    assert plain(top.where(F.col("third") < 3)) == plain(S.top_sentences(pool))
