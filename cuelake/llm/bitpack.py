@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuelake.llm.common import row_hash, stage_table, text_batches
-from cuelake.llm.encoder import encoder, in_slices
+from cuelake.llm.encoder import encoder, in_slices, with_ends
 from cuelake.session import ensure_checkpoint_dir
 
 MAGIC = b"CLBP"
@@ -48,11 +48,17 @@ def bits_for(vocabulary: int) -> int:
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
-    planes = np.unpackbits(ids.astype(">u4").view(np.uint8).reshape(-1, 4), axis=1)
-    return np.packbits(planes[:, 32 - bits :]).tobytes()
+    octets = ids.astype(">u4").view(np.uint8).reshape(-1, 4)
+    if bits % 8 == 0:  # whole bytes need no single bits
+        return octets[:, 4 - bits // 8 :].tobytes()
+    return np.packbits(np.unpackbits(octets, axis=1)[:, 32 - bits :]).tobytes()
 
 
 def unpack(data: bytes, bits: int, count: int) -> np.ndarray:
+    if bits % 8 == 0:
+        octets = np.zeros((count, 4), np.uint8)
+        octets[:, 4 - bits // 8 :] = np.frombuffer(data, np.uint8, count * bits // 8).reshape(count, bits // 8)
+        return octets.view(">u4").ravel().astype(np.uint32)
     planes = np.zeros((count, 32), np.uint8)
     planes[:, 32 - bits :] = np.unpackbits(np.frombuffer(data, np.uint8), count=count * bits).reshape(count, bits)
     return np.packbits(planes, axis=1).view(">u4").ravel().astype(np.uint32)
@@ -75,8 +81,12 @@ class PackedWriter:
         self.at += len(data)
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.doc_ids.append(doc_id)
-        self.firsts.append(self.ids)
+        self.add_all([doc_id], ids, np.array([len(ids)]))
+
+    def add_all(self, doc_ids: list[int | None], ids: np.ndarray, counts: np.ndarray) -> None:
+        """Documents whose ids follow one another in `ids`."""
+        self.doc_ids += doc_ids
+        self.firsts += (self.ids + np.cumsum(counts) - counts).tolist()
         self.ids += len(ids)
         self.waiting.append(ids)
         self.held += len(ids)
@@ -181,18 +191,15 @@ def write_corpus(
         bits = bits_for(max(enc.tokenizer.get_vocab_size(), end_id + 1))
         context = TaskContext.get()
         path = f"{root}/part-{context.partitionId():06d}-{context.taskAttemptId()}.bin"
-        end, writer = np.array([end_id], np.uint32), None
+        writer = None
         for batch in batches:
             texts = [t or "" for t in batch["text"]]
             doc_ids = batch["doc_id"].tolist()
             for a, b in in_slices(texts):
-                ids, counts = enc.encode(texts[a:b])
-                at = np.concatenate([[0], np.cumsum(counts)])
-                for k in range(a, b):
-                    if writer is None:
-                        writer = PackedWriter(io.BufferedWriter(_open(path, "w"), 1 << 20), bits, block)
-                    doc = None if doc_ids[k] is None or pd.isna(doc_ids[k]) else int(doc_ids[k])
-                    writer.add(doc, np.concatenate([ids[at[k - a] : at[k - a + 1]], end]))
+                if writer is None:
+                    writer = PackedWriter(io.BufferedWriter(_open(path, "w"), 1 << 20), bits, block)
+                own = [None if d is None or pd.isna(d) else int(d) for d in doc_ids[a:b]]
+                writer.add_all(own, *with_ends(*enc.encode(texts[a:b]), end_id))
         if writer is not None:
             writer.close()
             writer.stream.close()
@@ -221,7 +228,7 @@ def read_documents(manifest: DataFrame) -> DataFrame:
             for row in batch.itertuples(index=False):
                 with _open(row.path, "r") as stream:
                     rows = [
-                        (doc, row.start + first, len(ids), zlib.crc32(ids.astype("<u4").tobytes()))
+                        (doc, row.start + first, len(ids), zlib.crc32(ids.astype("<u4", copy=False)))
                         for doc, first, ids in PackedFile(stream).documents()
                     ]
                 out = pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32"])

@@ -166,6 +166,17 @@ def encoder(path: str, keeps_spaces: bool) -> Encoder:
     return _ENCODERS[key]
 
 
+def with_ends(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of many texts and their counts, with an end id behind each text."""
+    counts = counts + 1
+    closed = np.empty(len(ids) + len(counts), np.uint32)
+    ends = np.cumsum(counts) - 1
+    inside = np.ones(len(closed), bool)
+    inside[ends] = False
+    closed[inside], closed[ends] = ids, end_id
+    return closed, counts
+
+
 def in_slices(texts: list[str], most_chars: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about `most_chars` characters; a longer text comes alone."""
     start, chars = 0, 0
