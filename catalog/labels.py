@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalog import sqltext as S
 from catalog.adapters import PARAGRAPHS_SQL, SEGMENTS_SQL, paragraphs, segments
 from catalog.base import query
+from catalog.texts import SCORE_SQL
 from cuelake.functions import clock as K
 from cuelake.functions import text as T
 from cuelake.operators import joins as J
@@ -213,21 +217,48 @@ def doc_jobs(t):
     return t.documents.select(F.col("doc_id").alias("media_id"), F.col("source").alias("title"), F.lit("podcast").alias("kind"))
 
 
-@query("tk02_extractive_summary")
+_SENTENCE_CUT = f"regexp_replace(regexp_replace({S.strip_noise('text')}, '([{T.SENTENCE_MARKS}])[{S.SP}]+', '\\1' || chr(1), 'g'), '((?:니다|까요|세요|죠))[{S.SP}]+', '\\1' || chr(1), 'g')"
+SUMMARY_SQL = f"""lines AS (SELECT doc_id, title, i - 1 AS seq, l[i] AS text FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM
+  (SELECT doc_id, source AS title, string_split(text, chr(10)) AS l FROM documents))),
+cut AS (SELECT doc_id, seq, list_filter(list_transform(string_split(x, chr(1)), lambda s: {S.trim('s')}), lambda s: length(s) >= 10) AS parts FROM (SELECT doc_id, seq, {_SENTENCE_CUT} AS x FROM lines)),
+said AS (SELECT *, NOT {S.boilerplate('s')} AS usable FROM (SELECT doc_id, seq, i, parts[i] AS s FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM cut))),
+tally AS (SELECT doc_id, count(*) FILTER (usable) AS n_usable, count(*) AS n_all FROM said GROUP BY 1),
+pool AS (SELECT doc_id, s, CASE WHEN n_usable = 0 THEN n_all ELSE n_usable END AS total, row_number() OVER (PARTITION BY doc_id ORDER BY seq, i) - 1 AS idx
+  FROM said JOIN tally USING (doc_id) WHERE usable OR n_usable = 0),
+scored AS (SELECT *, {SCORE_SQL} AS score FROM (SELECT *, CASE WHEN total <= 1 THEN 0.5::DOUBLE ELSE idx::DOUBLE / (total - 1) END AS pos FROM pool)),
+thirds AS (SELECT * FROM scored CROSS JOIN range(3) AS k(third) WHERE idx >= total * third // 3 AND idx < greatest(total * third // 3 + 1, total * (third + 1) // 3)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, third ORDER BY score DESC, idx) AS r FROM thirds),
+points AS (SELECT doc_id, list(point ORDER BY third, r) AS points FROM (SELECT doc_id, third, r, {S.shorten('s')} AS point FROM ranked WHERE r <= 3) GROUP BY 1),
+kept AS (SELECT doc_id, points, 0 AS i, []::VARCHAR[] AS acc FROM points
+  UNION ALL SELECT doc_id, points, i + 1, CASE WHEN points[i + 1] = '' OR len(list_filter(acc, lambda a: contains(a, left(points[i + 1], 24)))) > 0 THEN acc ELSE list_append(acc, points[i + 1]) END
+  FROM kept WHERE i < len(points)),
+firsts AS (SELECT doc_id, {S.shorten('s', 120)} AS line FROM pool WHERE idx = 0),
+summaries AS (SELECT d.doc_id AS media_id, CASE WHEN k.doc_id IS NULL THEN 'No usable caption text to summarize for “' || coalesce(nullif(d.source, ''), 'this video') || '”.'
+  WHEN len(k.acc) = 0 THEN '- ' || f.line ELSE '{T.KEY_POINT_LABELS["podcast"]} key points:' || chr(10) || array_to_string(list_transform(k.acc[1:10], lambda p: '- ' || p), chr(10)) END AS summary
+  FROM documents d LEFT JOIN (SELECT * FROM kept WHERE i = len(points)) k USING (doc_id) LEFT JOIN firsts f USING (doc_id))"""
+
+
+@query("tk02_extractive_summary", f"WITH RECURSIVE {SUMMARY_SQL} SELECT media_id, summary FROM summaries")
 def _(t):
     return U.summarize(doc_jobs(t), doc_paragraphs(t))
 
 
-@query("summarize_corpus_flags")
+def dump_sql(summaries):
+    """WITH parts and the flag of summaries(doc_id, l, s): the lines of a text and its summary."""
+    return f"""e AS (SELECT doc_id, {S.trim('s')} AS s, regexp_replace(array_to_string(l[1:6], ' '), '[{S.SP}]+', ' ', 'g') AS o FROM {summaries}),
+f AS (SELECT *, {S.squash("regexp_replace(s, '(?m)^[-*•][" + S.SP + "]*', '', 'g')")} AS c, list_filter(list_transform(regexp_split_to_array(s, '\\n'), lambda x: {S.trim('x')}), lambda x: x <> '') AS k FROM e),
+g AS (SELECT doc_id, (s = '' OR regexp_matches(s, '(?i)auto-extracted') OR (length(c) >= 80 AND contains(o, left(c, 72))) OR
+  (len(list_filter(k, lambda x: length(x) > 180)) >= 2 AND len(k) <= 4)) AS dump FROM f)"""
+
+
+@query("summarize_corpus_flags", f"""WITH RECURSIVE {SUMMARY_SQL}, d AS (SELECT doc_id, regexp_split_to_array(text, '\\n') AS l, summary AS s FROM documents JOIN summaries ON media_id = doc_id),
+{dump_sql('d')} SELECT media_id, summary, dump FROM summaries JOIN g ON doc_id = media_id""")
 def _(t):
     return U.transcript_dumps(U.summarize(doc_jobs(t), doc_paragraphs(t)), doc_paragraphs(t))
 
 
 @query("flt12_transcript_dumps", f"""WITH d AS (SELECT doc_id, regexp_split_to_array(text, '\\n') AS l, CASE lang WHEN 'en' THEN text WHEN 'de' THEN '' WHEN 'fr' THEN 'Auto-Extracted' ELSE source END AS s FROM documents),
-e AS (SELECT doc_id, {S.trim('s')} AS s, regexp_replace(array_to_string(l[1:6], ' '), '[{S.SP}]+', ' ', 'g') AS o FROM d),
-f AS (SELECT *, {S.squash("regexp_replace(s, '(?m)^[-*•][" + S.SP + "]*', '', 'g')")} AS c, list_filter(list_transform(regexp_split_to_array(s, '\\n'), lambda x: {S.trim('x')}), lambda x: x <> '') AS k FROM e)
-SELECT doc_id AS media_id, (s = '' OR regexp_matches(s, '(?i)auto-extracted') OR (length(c) >= 80 AND contains(o, left(c, 72))) OR
-  (len(list_filter(k, lambda x: length(x) > 180)) >= 2 AND len(k) <= 4)) AS dump FROM f""")
+{dump_sql('d')} SELECT doc_id AS media_id, dump FROM g""")
 def _(t):
     s = F.when(F.col("lang") == "en", F.col("text")).when(F.col("lang") == "de", "").when(F.col("lang") == "fr", "Auto-Extracted").otherwise(F.col("source"))
     return U.transcript_dumps(t.documents.select(F.col("doc_id").alias("media_id"), s.alias("summary")), doc_paragraphs(t)).select("media_id", "dump")
@@ -362,6 +393,19 @@ def _(t):
     return Q.search_history(with_slides, paragraphs(t), "en SRC", slides)
 
 
+HISTORY_TERMS = ("e la", "ion", "s", "the assistant", "no such words here")
+
+
+@query("flt05_history_index", f"""WITH {PARAGRAPHS_SQL}, b AS (SELECT media_id, string_agg(text, ' ' ORDER BY seq) AS body FROM paragraphs GROUP BY 1),
+terms AS (SELECT unnest({list(HISTORY_TERMS)}) AS term)
+SELECT term, c.conv_id AS media_id FROM conversations c JOIN b ON b.media_id = c.conv_id, terms WHERE c.turn = 0 AND contains(lower(concat(c.role, ' ', b.body, ' ')), term)""")
+def _(t):
+    jobs = t.conversations.where(F.col("turn") == 0).select(F.col("conv_id").alias("media_id"), F.col("role").alias("title"))
+    index = Q.build_history_index(jobs.join(paragraphs(t).select("media_id").distinct(), "media_id"), paragraphs(t))
+    found = [index.search(term.upper()).select(F.lit(term).alias("term"), "media_id") for term in HISTORY_TERMS]
+    return reduce(DataFrame.unionByName, found)
+
+
 @query("ag11_term_counts", """WITH terms AS (SELECT DISTINCT lower(regexp_extract(text, '^[^ ,.]+')) AS term FROM benchmark),
 h AS (SELECT term, (length(lower(d.text)) - length(replace(lower(d.text), term, ''))) / length(term) AS n FROM documents d, terms)
 SELECT term, sum(n)::BIGINT AS n FROM h GROUP BY term""")

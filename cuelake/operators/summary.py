@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuelake.functions import text as T
 from cuelake.functions.arrays import posexplode_rows
-from cuelake.operators.folds import FOLD_ROWS, block_fold
 from cuelake.operators.joins import attach_key_values
 from cuelake.operators.ordered import BLOCK_ROWS, Scan, ordered_scan, row_block
 from cuelake.session import stage_table
@@ -51,29 +48,37 @@ def body_prefix(paragraphs: DataFrame, limit: int = BODY_CHARS) -> DataFrame:
     return out.where(F.col("__used") <= limit).select("media_id", "seq", "line")
 
 
-class _Packs:
-    """Greedy packs by length: does a line open the next pack? State: length so far, whether it holds
-    a line. The number of the pack stays out of the state, which would never settle with it."""
-
-    def __init__(self) -> None:
-        self.state: list = [0, False]
-
-    def push(self, row: tuple) -> Iterable[tuple]:
-        seq, size = row
-        used, filled = self.state
-        opens = filled and used + size > PACK_CHARS
-        self.state = [(0 if opens else used) + size + 1, True]
-        return [(seq, int(opens))]
-
-    def finish(self) -> Iterable[tuple]:
-        return []
+def pack_lines(paragraphs: DataFrame, span: int = BLOCK_ROWS) -> DataFrame:
+    """packs(media_id, pack, text): consecutive lines in packs of about 7,000 characters; a line
+    without text takes no room.
 
-
-def pack_lines(paragraphs: DataFrame, fold_rows: int = FOLD_ROWS) -> DataFrame:
-    """packs(media_id, pack, text): consecutive lines in packs of about 7,000 characters."""
-    line = paragraphs.withColumn("line", spoken_line()).withColumn("size", F.length("line").cast("bigint"))
-    opens = block_fold(line, KEY, ["seq"], row_block(rows=fold_rows), ["seq", "size"], _Packs, "seq BIGINT, opens BIGINT")
-    packs = ordered_scan(opens, KEY, ["seq"], row_block(), [Scan("pack", "sum", F.col("opens"))])
+    A pack that begins with a line ends before the first line whose end lies more than PACK_CHARS behind
+    its start; lines end in rising order, so that line's number is the count of the ends up to there: one
+    ordered scan over ends and limits gives every line its next pack, whether a pack begins with it or
+    not. From the first line on these pointers are doubled: a round finds as many packs as there were
+    before, and the number of rounds is the logarithm of the packs of the longest recording. Rows meet by
+    recording and line, so a long recording is spread. ``span``: characters in a block of the scan."""
+    line = paragraphs.withColumn("line", spoken_line())
+    sizes = line.select("media_id", "seq", F.coalesce(F.length("line"), F.lit(0)).cast("bigint").alias("size"))
+    placed = stage_table(ordered_scan(
+        sizes, KEY, ["seq"], row_block(), [Scan("at", "position"), Scan("ends", "sum", F.col("size") + 1)]
+    ), "lines")
+    ends = placed.select("media_id", (F.col("ends") - 1).alias("reach"), F.lit(0).alias("asks"), "at")
+    limits = placed.select("media_id", (F.col("ends") - F.col("size") - 1 + PACK_CHARS).alias("reach"), F.lit(1).alias("asks"), "at")
+    counted = ordered_scan(
+        ends.unionByName(limits), KEY, ["reach", "asks", "at"], row_block("reach", span), [Scan("ended", "sum", 1 - F.col("asks"))]
+    ).where("asks = 1")
+    hops = stage_table(counted.select("media_id", "at", F.greatest("ended", F.col("at") + 1).cast("bigint").alias("to")), "hops")
+    starts = placed.where("at = 0").select("media_id", "at", F.lit(0).cast("bigint").alias("pack"))
+    width = 1
+    while not hops.isEmpty():
+        after = starts.join(hops, ["media_id", "at"]).select("media_id", F.col("to").alias("at"), (F.col("pack") + width).alias("pack"))
+        starts = stage_table(starts.unionByName(after), "starts")
+        on = hops.select("media_id", F.col("at").alias("to"), F.col("to").alias("next"))
+        hops = stage_table(hops.join(on, ["media_id", "to"]).select("media_id", "at", F.col("next").alias("to")), "hops")
+        width *= 2
+    opened = placed.select("media_id", "seq", "at").join(starts, ["media_id", "at"], "left").select("media_id", "seq", F.col("pack").alias("opens"))
+    packs = ordered_scan(opened, KEY, ["seq"], row_block(), [Scan("pack", "last", F.col("opens"))]).drop("opens")
     lines = F.array_sort(F.collect_list(F.struct("seq", "line")))
     return line.join(packs, ["media_id", "seq"]).groupBy("media_id", "pack").agg(
         F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("text")
@@ -104,25 +109,34 @@ def sample_packs(packs: DataFrame) -> DataFrame:
 
 
 def summary_sentences(paragraphs: DataFrame) -> DataFrame:
-    """pool(media_id, idx, total, sentence): usable sentences, or all when none is usable."""
-    rows = posexplode_rows(
-        paragraphs.select("media_id", "seq", T.split_sentences(F.col("text")).alias("parts")),
-        ["media_id", "seq"], F.col("parts"), "pos", "sentence",
-    ).withColumn("usable", ~T.is_boilerplate(F.col("sentence")))
+    """pool(media_id, idx, total, sentence): usable sentences, or all when none is usable. Positions are
+    counted over paragraphs, which are narrow rows then; texts meet them once."""
+    parts = F.transform(T.split_sentences(F.col("text")), lambda s: F.struct(s.alias("sentence"), (~T.is_boilerplate(s)).alias("usable")))
+    cut = paragraphs.select("media_id", "seq", parts.alias("parts")).select(
+        "media_id", "seq", "parts", F.coalesce(F.size("parts"), F.lit(0)).cast("bigint").alias("n_all"),
+        F.coalesce(F.size(F.filter("parts", lambda x: x["usable"])), F.lit(0)).cast("bigint").alias("n_usable"),
+    )
     # Splitting is the costly part and the rows are read several times below.
-    rows = stage_table(rows, "sentences")
-    some = rows.groupBy("media_id").agg(
-        F.count_if("usable").alias("n_usable"), F.count(F.lit(1)).alias("n_all")
+    cut = stage_table(cut, "sentences")
+    counts = cut.where("n_all > 0").select("media_id", "seq", "n_all", "n_usable")
+    whole = counts.groupBy("media_id").agg(F.sum("n_usable").alias("t_usable"), F.sum("n_all").alias("t_all"))
+    before = ordered_scan(counts, KEY, ["seq"], row_block(), [
+        Scan("b_usable", "sum_before", F.col("n_usable")), Scan("b_all", "sum_before", F.col("n_all"))])
+    known = attach_key_values(before, KEY, row_block(), whole)
+    none = F.col("t_usable") == 0
+    place = known.select(
+        "media_id", "seq", none.alias("any"), F.when(none, F.col("t_all")).otherwise(F.col("t_usable")).alias("total"),
+        F.when(none, F.col("b_all")).otherwise(F.col("b_usable")).alias("first"),
     )
-    pool = attach_key_values(rows, KEY, row_block(), some).where(F.col("usable") | (F.col("n_usable") == 0))
-    numbered = ordered_scan(pool, KEY, ["seq", "pos"], row_block(), [Scan("idx", "position")])
-    total = F.when(F.col("n_usable") == 0, F.col("n_all")).otherwise(F.col("n_usable"))
-    return numbered.select("media_id", "idx", total.alias("total"), "sentence")
+    mine = F.when(F.col("any"), F.col("parts")).otherwise(F.filter("parts", lambda x: x["usable"]))
+    rows = posexplode_rows(cut.select("media_id", "seq", "parts").join(place, ["media_id", "seq"]), ["media_id", "first", "total"], mine, "pos", "part")
+    return rows.select("media_id", (F.col("first") + F.col("pos")).alias("idx"), "total", F.col("part.sentence").alias("sentence"))
 
 
 def top_sentences(pool: DataFrame, with_first: bool = False) -> DataFrame:
-    """The three best sentences of each third, ties by position: in blocks first, then overall. With
-    ``with_first`` the first sentence of the pool comes too, in a third of its own, numbered 3."""
+    """The three best sentences of each third, ties by position. The limit on the rank lets Spark keep
+    three rows of a third in each task before they are shuffled. With ``with_first`` the first sentence
+    of the pool comes too, in a third of its own, numbered 3."""
     opening = F.when((F.col("idx") == 0) & F.lit(with_first), F.array(F.lit(3))).otherwise(F.array().cast("array<int>"))
     scored = pool.withColumns({
         "score": T.score_sentence(F.col("sentence"), F.col("idx"), F.col("total")),
@@ -134,11 +148,8 @@ def top_sentences(pool: DataFrame, with_first: bool = False) -> DataFrame:
                 F.floor(F.col("total") * k / 3) + 1, F.floor(F.col("total") * (k + 1) / 3))),
         ),
     }).withColumn("third", F.explode(F.concat("thirds", opening))).drop("thirds")
-    best = [F.col("score").desc(), F.col("idx")]
-    local = Window.partitionBy("media_id", "third", F.floor(F.col("idx") / BLOCK_ROWS)).orderBy(*best)
-    whole = Window.partitionBy("media_id", "third").orderBy(*best)
-    near = scored.withColumn("r", F.row_number().over(local)).where(F.col("r") <= PER_THIRD)
-    return near.withColumn("rank", F.row_number().over(whole)).where(F.col("rank") <= PER_THIRD).drop("r")
+    best = Window.partitionBy("media_id", "third").orderBy(F.col("score").desc(), F.col("idx"))
+    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= PER_THIRD)
 
 
 def summarize(jobs: DataFrame, paragraphs: DataFrame) -> DataFrame:

@@ -51,11 +51,24 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
+def staged_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder."""
+    return f"{ensure_checkpoint_dir(spark)}/staged-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
+def open_folder(root: str):
+    """(file system, path inside it) of a folder, for tasks that read it with pyarrow."""
+    from pyarrow import fs
+
+    # Hadoop writes local paths with one slash behind the scheme
+    plain = root.replace("file:/", "/", 1) if root.startswith("file:/") and not root.startswith("file://") else root
+    return fs.FileSystem.from_uri(plain)
+
+
 def stage_table(df: DataFrame, label: str) -> DataFrame:
     """Write a derived table once to the shared folder and read it back: later jobs prune its
     columns, and losing executors loses nothing."""
     spark = df.sparkSession
-    folder = ensure_checkpoint_dir(spark)
-    path = f"{folder}/staged-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    path = staged_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

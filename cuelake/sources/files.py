@@ -19,6 +19,8 @@ from dataclasses import dataclass
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from cuelake.session import open_folder
+
 SAMPLE_BYTES = 65_536
 SCHEMA = "path string, file_name string, modified_ms bigint, size_bytes bigint, head binary, tail binary"
 
@@ -43,17 +45,10 @@ class _Reader(DataSourceReader):
         self.sample = int(options.get("sample_bytes", SAMPLE_BYTES))
         self.per_task = int(options.get("files_per_task", 64))
 
-    def _system(self):
-        from pyarrow import fs
-
-        # Hadoop writes local paths with one slash behind the scheme
-        root = self.root.replace("file:/", "/", 1) if self.root.startswith("file:/") and not self.root.startswith("file://") else self.root
-        return fs.FileSystem.from_uri(root)
-
     def partitions(self) -> list[Run]:
         from pyarrow import fs
 
-        system, inner = self._system()
+        system, inner = open_folder(self.root)
         found = system.get_file_info(fs.FileSelector(inner, recursive=self.recursive))
         files = sorted(
             (f.path, f.size, (f.mtime_ns or 0) // 1_000_000) for f in found if f.is_file and fnmatch.fnmatch(f.base_name, self.glob)
@@ -61,7 +56,7 @@ class _Reader(DataSourceReader):
         return [Run(files[k : k + self.per_task]) for k in range(0, len(files), self.per_task)] or [Run([])]
 
     def read(self, partition: Run) -> Iterator[tuple]:
-        system, _ = self._system()
+        system, _ = open_folder(self.root)
         for path, size, modified in partition.files:
             with system.open_input_file(path) as stream:
                 yield (path, path.rsplit("/", 1)[-1], modified, size, *read_ends(stream, size, self.sample))
