@@ -5,13 +5,16 @@ nodes of a path the lengths, punctuation marks and link characters are summed. A
 mean text length times its mean punctuation, lowered by the share of link text and fused with what
 its elements say about themselves (an article counts for more; menus, forms and the like for
 nothing). Ratios are smoothed along the page and thresholded against their spread; what exceeds the
-threshold is the core. The content is every node, however short, of the declared article that holds
+threshold, smoothed and by itself, is the core. The content is every node, however short, of the declared article that holds
 the core, else of the innermost element that holds all of it, without what was ruled out.
 
-One pass of a pattern cuts the markup; there is no tree. Pages are independent, so the job is one map.
+One forward cursor cuts the markup; elements are numbers with the number of their parent, and paths are
+numbered likewise, so time and memory are in proportion to the page, however deep or broken it is.
+Pages are independent, so the job is one map.
 
 Edge cases. Null or empty html: empty text. Text without markup is content. Unclosed and misnested
-elements are closed as browsers close them in the common cases. Null or repeated ids: each row by
+elements are closed as browsers close them in the common cases. A tag with a quote that never ends is
+cut at its first `>`; without one it is text. Null or repeated ids: each row by
 itself. Other columns are ignored. Empty table: empty result."""
 
 from __future__ import annotations
@@ -19,7 +22,8 @@ from __future__ import annotations
 import html as entities
 import math
 import re
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -28,7 +32,7 @@ from pyspark.sql import functions as F
 from cuelake.llm.common import text_batches
 
 # Elements whose text is never article text.
-RAW = "script|style|title|template|textarea|noscript|iframe|svg|math|canvas|object|audio|video|select|datalist"
+RAW = {"script", "style", "title", "template", "textarea", "noscript", "iframe", "svg", "math", "canvas", "object", "audio", "video", "select", "datalist"}
 BOILERPLATE = {"nav", "footer", "aside", "form", "button", "dialog", "menu", "head", "fieldset", "label", "input"}
 # Elements inside a line of text; they do not part blocks.
 INLINE = {
@@ -64,13 +68,9 @@ CONTENT_ELEMENTS = {"article", "main"}
 CRUMB = 8
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
-_MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?:svg|math)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*/>"
-    rf"|<(?P<raw>{RAW})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attributes>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<attributes2>[^>]*)>",
-    re.S | re.I,
-)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_STOP = re.compile(r"[>\"']")
+_RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 _ATTRIBUTE = re.compile(r"([^\s\"'=<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
@@ -78,24 +78,99 @@ _MARKS = re.compile(r"[.,;:!?…。，；：！？]")
 
 
 class Element:
-    __slots__ = ("name", "path", "key", "out", "inside")
+    __slots__ = ("name", "path", "number", "out", "inside")
 
-    def __init__(self, name: str, path: str, key: tuple[int, ...], out: int, inside: int) -> None:
-        self.name, self.path, self.key, self.out, self.inside = name, path, key, out, inside
+    def __init__(self, name: str, path: int, number: int, out: int, inside: int) -> None:
+        self.name, self.path, self.number, self.out, self.inside = name, path, number, out, inside
 
 
 class Node:
-    """A run of text in one block: tag path, keys of the elements around it, the outermost declared article
-    (0 for none), text, link characters."""
+    """A run of text in one block: numbers of its tag path and of its element, the outermost declared
+    article (0 for none), text, link characters."""
 
-    __slots__ = ("path", "key", "out", "inside", "parts", "link")
+    __slots__ = ("path", "at", "out", "inside", "parts", "link")
 
     def __init__(self, at: Element) -> None:
-        self.path, self.key, self.out, self.inside = at.path, at.key, at.out, at.inside
+        self.path, self.at, self.out, self.inside = at.path, at.number, at.out, at.inside
         self.parts: list[str] = []
         self.link = 0
 
 
+class Stack:
+    """Open elements, and the places of each name among them."""
+
+    def __init__(self, root: Element) -> None:
+        self.open, self.places = [root], defaultdict(list)
+
+    @property
+    def top(self) -> Element:
+        return self.open[-1]
+
+    def push(self, element: Element) -> None:
+        self.places[element.name].append(len(self.open))
+        self.open.append(element)
+
+    def innermost(self, names: Iterable[str]) -> int:
+        return max((self.places[n][-1] for n in names if self.places[n]), default=0)
+
+    def close(self, names: Iterable[str], stops: Iterable[str] = ()) -> None:
+        """Close the innermost element of these names, and what is in it, if none of the stops is nearer."""
+        at = self.innermost(names)
+        if at > self.innermost(stops):
+            while len(self.open) > at:
+                self.places[self.open.pop().name].pop()
+
+
+def markup(html: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """Markup of a page in order: begin, end, whether it is an end tag, name (empty for comments and raw
+    elements), attributes. Everything is looked at a bounded number of times: a tag that ends moves the
+    cursor behind it, and of a tag that does not the opening quotes are remembered, since no tag that
+    meets one of them ends either."""
+    dead: set[int] = set()
+    last = html.rfind(">")
+    size = len(html)
+
+    def tag_end(at: int) -> int:
+        """Position behind the first `>` outside of quotes, -1 if there is none."""
+        opened = []
+        while True:
+            stop = _STOP.search(html, at)
+            if stop is not None and stop[0] == ">":
+                return stop.end()
+            close = -1
+            if stop is not None and stop.start() not in dead:
+                opened.append(stop.start())
+                close = html.find(stop[0], stop.end())
+            if close < 0:
+                dead.update(opened)
+                return -1
+            at = close + 1
+
+    at = html.find("<")
+    while at >= 0:
+        end = -1
+        if html.startswith("<!--", at):
+            end = html.find("-->", at + 4) + 3
+            end = size if end < 3 else end
+            yield at, end, False, "", ""
+        elif html.startswith(("<!", "<?"), at):
+            end = html.find(">", at + 2) + 1 or size
+            yield at, end, False, "", ""
+        elif at < last and (m := _TAG.match(html, at)):
+            name, ends = m[2].lower(), bool(m[1])
+            end = tag_end(m.end())
+            if end > 0 and not ends and name in RAW:
+                if not (name in ("svg", "math") and html[end - 2] == "/"):
+                    close = _RAW_END[name].search(html, end)
+                    end = close.end() if close else size
+                yield at, end, False, "", ""
+            else:
+                end = end if end > 0 else html.find(">", m.end()) + 1
+                if end > 0:
+                    yield at, end, ends, name, html[m.end() : end - 1]
+        at = html.find("<", end if end > 0 else at + 1)
+
+
 KEPT, LOOSE, NAMED, OUT = range(4)  # what an element says of itself: nothing, or how surely it is ruled out
 
 
@@ -128,72 +203,61 @@ def says_aside(name: str, attributes: str, inside: int) -> int:
     return found
 
 
-def text_nodes(html: str, spared: frozenset[int] = frozenset()) -> list[Node]:
-    """The text nodes of a page in order. `out` is 0 for content, the number of the outermost element
-    that rules the node out by a loose name, or -1 where others do; elements in `spared` do not."""
-    root = Element("", "", (), 0, 0)
-    stack, nodes = [root], []
+def text_nodes(html: str, spared: frozenset[int] = frozenset()) -> tuple[list[Node], list[int]]:
+    """The text nodes of a page in order, and the parent of each element by number (the root is 0, a parent
+    comes before its children). `out` is 0 for content, the number of the outermost element that rules the
+    node out by a loose name, or -1 where others do; elements in `spared` do not."""
+    stack, parents, nodes = Stack(Element("", 0, 0, 0, 0)), [-1], []
+    paths: dict[tuple[int, str], int] = {}
     node: Node | None = None
-    links = serial = at = 0
+    links = at = 0
 
     def add(text: str) -> None:
         nonlocal node
         if not text:
             return
-        if node is None or node.key != stack[-1].key:
-            node = Node(stack[-1])
+        if node is None or node.at != stack.top.number:
+            node = Node(stack.top)
             nodes.append(node)
         node.parts.append(text)
         if links > 0:
             node.link += len(text)
 
-    for m in _MARKUP.finditer(html):
-        if m.start() > at:
-            add(html[at : m.start()])
-        at = m.end()
-        name = (m["name"] or m["name2"] or "").lower()
+    for begin, end, ends, name, attributes in markup(html):
+        add(html[at:begin])
+        at = end
         if not name:
             continue
-        ends, attributes = m["end"] or m["end2"], m["attributes"] or m["attributes2"] or ""
-        if name in INLINE and not (name not in ("a", "img") and not ends and attributes and says_aside(name, attributes, stack[-1].inside)):
+        top = stack.top
+        if name in INLINE and not (name not in ("a", "img") and not ends and attributes and says_aside(name, attributes, top.inside)):
             if name == "a":
                 links = max(0, links - 1) if ends else links + 1
-            if name != "wbr" and ends and len(stack) > 1 and stack[-1].name == name:
-                stack.pop()
+            if name != "wbr" and ends and top.name == name:
+                stack.close((name,))
                 node = None
             continue
         node = None  # a block boundary
         if ends:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name == name:
-                    del stack[k:]
-                    break
+            stack.close((name,))
             links = 0
             continue
         if name in VOID:
             continue
         links = 0
-        if stack[-1].name == "p" or any(e.name == "p" for e in stack[-2:]):
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name == "p":
-                    del stack[k:]
-                    break
-        closing, stops = CLOSES.get(name, (set(), set()))
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].name in stops:
-                break
-            if stack[k].name in closing:
-                del stack[k:]
-                break
-        top = stack[-1]
-        serial += 1
+        if any(e.name == "p" for e in stack.open[-2:]):
+            stack.close(("p",))
+        if name in CLOSES:
+            stack.close(*CLOSES[name])
+        top = stack.top
+        number = len(parents)
+        parents.append(top.number)
         says = says_aside(name, attributes, top.inside)
         # below a loose name a sure one still counts; what it rules out does not speak for the element
-        out = -1 if top.out < 0 or says > LOOSE else top.out or (serial if says and serial not in spared else 0)
-        stack.append(Element(name, f"{top.path}/{name}", (*top.key, serial), out, top.inside or (serial if name in CONTENT_ELEMENTS else 0)))
-    if at < len(html):
-        add(html[at:])
-    return nodes
+        out = -1 if top.out < 0 or says > LOOSE else top.out or (number if says and number not in spared else 0)
+        path = paths.setdefault((top.path, name), len(paths) + 1)
+        stack.push(Element(name, path, number, out, top.inside or (number if name in CONTENT_ELEMENTS else 0)))
+    add(html[at:])
+    return nodes, parents
 
 
 def main_text(html: str | None) -> str:
@@ -202,7 +266,8 @@ def main_text(html: str | None) -> str:
     spared: frozenset[int] = frozenset()
     while True:
         kept, loose, longest = [], {}, {}
-        for node in text_nodes(html, spared):
+        nodes, parents = text_nodes(html, spared)
+        for node in nodes:
             if node.out < 0:
                 continue
             text = "".join(node.parts)
@@ -211,20 +276,24 @@ def main_text(html: str | None) -> str:
                 continue
             if node.out:
                 loose[node.out] = loose.get(node.out, 0) + max(0, len(text) - node.link)
-                longest[node.out] = max(longest.get(node.out, (0, ())), (len(text), node.key))
+                longest[node.out] = max(longest.get(node.out, (0, 0)), (len(text), node.at))
             else:
                 kept.append((node, text))
         most = max(loose, key=loose.get, default=0)
         if not most or loose[most] <= LOOSE_SHARE * sum(len(text) for _, text in kept):
-            return " ".join(text for _, text in choose(kept))
-        spared = spared | set(longest[most][1])  # with what is around its longest text, so the rounds are few
+            return " ".join(text for _, text in choose(kept, parents))
+        around, at = set(), longest[most][1]  # with what is around its longest text, so the rounds are few
+        while at > 0:
+            around.add(at)
+            at = parents[at]
+        spared = spared | around
 
 
-def choose(nodes: list[tuple[Node, str]]) -> list[tuple[Node, str]]:
+def choose(nodes: list[tuple[Node, str]], parents: list[int]) -> list[tuple[Node, str]]:
     """Content nodes among the nodes that are not ruled out."""
     if len(nodes) < 2:
         return nodes
-    sums: dict[str, list[float]] = {}
+    sums: dict[int, list[float]] = {}
     for node, text in nodes:
         s = sums.setdefault(node.path, [0.0, 0.0, 0.0, 0.0])
         s[0] += 1
@@ -244,7 +313,7 @@ def choose(nodes: list[tuple[Node, str]]) -> list[tuple[Node, str]]:
     mean = sum(smooth) / len(smooth)
     spread = math.sqrt(sum((w - mean) ** 2 for w in smooth) / len(smooth))
     threshold = min(spread, 0.5 * max(smooth))
-    core = [k for k, w in enumerate(smooth) if w >= threshold and weights[k] > 0] or list(range(len(nodes)))
+    core = [k for k, w in enumerate(smooth) if min(w, weights[k]) >= threshold and weights[k] > 0] or list(range(len(nodes)))
     # an element that says it is the article is one if it holds the core, its own text counting for more;
     # all of it is content then, and so is every other such element with a part of the core
     held: dict[int, int] = {}
@@ -254,15 +323,22 @@ def choose(nodes: list[tuple[Node, str]]) -> list[tuple[Node, str]]:
     if best and 4 * best >= sum(held.values()) - best:
         return [(node, text) for node, text in nodes if node.inside and node.inside in held]
     # elsewhere: the innermost element that holds every core node
-    keys = [nodes[k][0].key for k in core]
-    depth = 0
-    while all(len(k) > depth and k[depth] == keys[0][depth] for k in keys):
-        depth += 1
-    key = keys[0][:depth]
-    # a single block is not a container: its parent is, with the headings beside it
-    if key and all(k == key for k in keys):
-        key = key[:-1]
-    return [(node, text) for node, text in nodes if node.key[: len(key)] == key]
+    holders = {nodes[k][0].at for k in core}
+    if len(holders) == 1:
+        # a single block is not a container: its parent is, with the headings beside it
+        whole = max(0, parents[holders.pop()])
+    else:
+        below = [0] * len(parents)
+        for k in core:
+            below[nodes[k][0].at] += 1
+        whole = len(parents) - 1
+        while whole > 0 and below[whole] < len(core):
+            below[parents[whole]] += below[whole]
+            whole -= 1
+    within = [k == whole for k in range(len(parents))]
+    for k in range(1, len(parents)):
+        within[k] = within[k] or within[parents[k]]
+    return [(node, text) for node, text in nodes if within[node.at]]
 
 
 def extract(pages: DataFrame) -> DataFrame:

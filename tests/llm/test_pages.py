@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from cuelake.llm import pages as p
@@ -38,6 +40,22 @@ def test_long_and_deep_pages():
     assert p.main_text("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
 
 
+@pytest.mark.parametrize("html,chars", [
+    ('<a b="' * 170_000, 1_020_000), ("<svg a='b' " * 95_000, 1_044_999), ('<a b="' * 170_001 + ">", 0), ("<!--" * 250_000, 0),
+    ("<div>" * 100_000 + "x", 1), ("<div>" * 50_000 + "</x>" * 50_000, 0), ("<ul>" + "<div>" * 50_000 + "<li>x</li>" * 50_000, 99_999),
+    ('<div class="widget">x ' * 50_000, 99_999), ("<a \"'\">' " * 60_000 + '"', 120_001),
+])
+def test_hostile_pages_take_seconds(html, chars):
+    begin = time.monotonic()
+    assert len(p.main_text(html)) == chars
+    assert time.monotonic() - begin < 20
+
+
+def test_tags_with_quotes_that_never_end():
+    assert [html[b:e] for html in ("a<b c=\"d>e<i>f", "<x 'y\"><z '>", "<p a='>' b=\">t") for b, e, *_ in p.markup(html)] == [
+        '<b c="d>', "<i>", "<x 'y\"><z '>", "<p a='>"]
+
+
 BODY = "".join(f"<p>Paragraph {k} of the story, which goes on. It has some length, as stories do.</p>" for k in range(10))
 STORY = p.main_text(f"<div>{BODY}</div>")
 
@@ -70,6 +88,13 @@ def test_names_do_not_rule_out_the_article(html, text):
     assert p.main_text(f"<html><body>{html}</body></html>") == text
 
 
+def test_ratios_alone_find_the_article():
+    """Nothing is named and nothing is declared: menus, an advert and a footer are told by their paths."""
+    links = "".join(f"<li><a href=/{k}>Link {k}</a>" for k in range(8))
+    page = f"<html><body><div><ul>{links}</ul></div><div>Buy this, now.</div><div><h1>Title</h1>{BODY}</div><div>All rights, reserved.</div></body></html>"
+    assert p.main_text(page) == f"Title {STORY}"
+
+
 def test_rows(spark):
     rows = [(1, "u", PAGE, "x"), (None, None, None, None), (2, "u", "", "x"), (2, "u", "<p>é</p>", "x"), (2, "u", "<p>é</p>", "x")]
     frame = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
