@@ -397,7 +397,8 @@ def is_boilerplate(c: Column) -> Column:
     return F.regexp_like(c, F.lit(f"(?iu){BOILERPLATE}"))
 
 
-def score_sentence(c: Column, index: Column, total: Column) -> Column:
+def score_sentence(c: Column, index: Column, total: Column, boilerplate: Column | None = None) -> Column:
+    """``boilerplate``: where it is known; found in the sentence otherwise."""
     pos = F.when(total <= 1, 0.5).otherwise(index / (total - 1))
     size = F.length(c)
     return F.round(
@@ -406,7 +407,7 @@ def score_sentence(c: Column, index: Column, total: Column) -> Column:
         + F.when(F.regexp_like(c, F.lit("[0-9]")), 1.3).otherwise(0.0)
         + F.when(size.between(22, 140), 1.0).otherwise(0.0)
         - F.when(size > 220, 0.8).otherwise(0.0)
-        - F.when(is_boilerplate(c), 3.0).otherwise(0.0),
+        - F.when(is_boilerplate(c) if boilerplate is None else boilerplate, 3.0).otherwise(0.0),
         6,
     )
 

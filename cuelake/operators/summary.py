@@ -134,12 +134,13 @@ def summary_sentences(paragraphs: DataFrame) -> DataFrame:
 
 
 def top_sentences(pool: DataFrame, with_first: bool = False) -> DataFrame:
-    """The three best sentences of each third, ties by position. The limit on the rank lets Spark keep
+    """The three best sentences of each third, ties by position. A pool is free of boilerplate or nothing
+    else, so that part of the score is left out: it changes no order. The limit on the rank lets Spark keep
     three rows of a third in each task before they are shuffled. With ``with_first`` the first sentence
     of the pool comes too, in a third of its own, numbered 3."""
     opening = F.when((F.col("idx") == 0) & F.lit(with_first), F.array(F.lit(3))).otherwise(F.array().cast("array<int>"))
     scored = pool.withColumns({
-        "score": T.score_sentence(F.col("sentence"), F.col("idx"), F.col("total")),
+        "score": T.score_sentence(F.col("sentence"), F.col("idx"), F.col("total"), F.lit(False)),
         # A short pool reads one sentence in each third even where thirds would be empty.
         "thirds": F.filter(
             F.sequence(F.lit(0), F.lit(2)),
